@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, packing
+from isohyet.llm import bpe, media, packing
 from isohyet.llm.common import table
 
 
@@ -21,6 +21,21 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = media.read(media.store(table(spark, sf_dir, "documents")))
+    size = F.octet_length("pixels")
+    return got.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, octet_length(pixels) - 63, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.col("width").cast("string"), F.col("height").cast("string"), "thumbnail_hash").alias("feature"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -35,6 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_pack": op4_pack,
+        "op5_media": op5_media,
         "op10_bpe": op10_bpe,
     }
 
