@@ -6,7 +6,7 @@ the lowest rank until no pair is left; ordered aggregation turns rows into id li
 and, for decoding, ids into bytes.
 
 Words already seen by the worker are kept in a memo of bounded size, which is dropped
-when full; it changes the time only. Pieces over ``LONG_PIECE`` bytes (runs
+when full but for the words in use; it changes the time only. Pieces over ``LONG_PIECE`` bytes (runs
 without any break) go through the same contraction order with a heap, since one
 contraction a round would need as many rounds as the piece has bytes.
 
@@ -30,31 +30,30 @@ from pyspark.sql import types as T
 
 LONG_PIECE = 192
 WORDS_A_QUERY = 20_000
-MEMO_WORDS = 900_000
+#: Words of each of the memo's two generations.
+MEMO_WORDS = 450_000
 ROWS_A_DECODE = 400_000
 
 ENCODE = """
-WITH RECURSIVE step(word, pos, token, done) AS (
-    SELECT word, pos, token, false FROM seed
+WITH RECURSIVE step(place, token, done) AS (
+    SELECT word::BIGINT * 256 + pos, token, false FROM seed
     UNION ALL
-    SELECT word, pos,
-           CASE WHEN best IS NOT NULL AND pos = best % 256 THEN (best // 256)::INTEGER ELSE token END,
-           best IS NULL
-    FROM (
-        SELECT word, pos, token, before, min(rank * 256 + pos) OVER (PARTITION BY word) AS best
-        FROM (
-            SELECT p.word, p.pos, p.token, p.before, m.merged::BIGINT AS rank
-            FROM (
-                SELECT word, pos, token,
-                       lead(token) OVER w AS follower, lag(pos) OVER w AS before
-                FROM step WHERE NOT done
-                WINDOW w AS (PARTITION BY word ORDER BY pos)
-            ) p LEFT JOIN merges m ON m.pair = p.token::BIGINT * 65536 + p.follower
-        )
+    SELECT place, token, done FROM (
+        WITH live AS MATERIALIZED (SELECT place, token FROM step WHERE NOT done),
+        ranked AS MATERIALIZED (
+            SELECT a.place, m.merged::BIGINT * 256 + a.place % 256 AS ranking
+            FROM live a JOIN live b ON b.place = a.place + 1
+            JOIN merges m ON m.pair = a.token::BIGINT * 65536 + b.token
+        ),
+        best AS MATERIALIZED (SELECT place // 256 AS word, min(ranking) AS ranking FROM ranked GROUP BY 1)
+        SELECT place - CASE WHEN place % 256 > ranking % 256 THEN 1 ELSE 0 END AS place,
+               CASE WHEN place % 256 = ranking % 256 THEN (ranking // 256)::INTEGER ELSE token END AS token,
+               ranking IS NULL AS done
+        FROM live LEFT JOIN best ON best.word = place // 256
+        WHERE ranking IS NULL OR place % 256 <> ranking % 256 + 1
     )
-    WHERE best IS NULL OR before IS NULL OR before <> best % 256
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE done GROUP BY word
+SELECT (place // 256)::INTEGER AS word, list(token ORDER BY place) AS ids FROM step WHERE done GROUP BY 1
 """
 
 DECODE = """
@@ -89,6 +88,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = splitter(pattern)
         self.memo: dict[str, bytes] = {}  # ids as int32
+        self.older: dict[str, bytes] = {}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         pair, merged = (np.array(x, np.int64) for x in zip(*merges))
@@ -147,15 +147,20 @@ class Vocabulary:
             for n, i in enumerate(got["word"].to_pylist()):
                 self.memo[some[i]] = flat[at[n] : at[n + 1]]
 
+    def recall(self, words: set[str]) -> None:
+        """Have all words in the memo."""
+        new = words - self.memo.keys()
+        if len(new) + len(self.memo) > MEMO_WORDS:
+            self.memo, self.older, new = {}, self.memo, words
+        known = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in known)
+        self.learn(list(new - known))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for lo in range(0, len(texts), 256):
             split = [self.pieces(t) for t in texts[lo : lo + 256]]
-            new = set().union(*split) - self.memo.keys()
-            if len(new) + len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-                new = set().union(*split)
-            self.learn(list(new))
+            self.recall(set().union(*split))
             get = self.memo.__getitem__
             out += [np.frombuffer(b"".join(map(get, x)), np.int32) for x in split]
         return out
