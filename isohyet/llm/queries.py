@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, media, packing, quality, rules, stats
+from isohyet.llm import bpe, chat, media, packing, quality, rules, stats
 from isohyet.llm.common import table
 
 
@@ -46,6 +46,49 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.col("counts")[stats.COUNTS.index(c)].alias(c) for c in base], "base_failed", "height", "kept")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    got = chat.format_chats(rows.unionByName(probe))
+    loss = chat.masked_text(F.col("formatted"), F.col("mask"))
+    return got.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = """
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+template(role, extra) AS (VALUES ('user', 18), ('assistant', 6), ('system', 19)),
+folded AS (
+    SELECT conv_id, count(*) AS n_turns,
+           string_agg(rows.role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, rows.role, text) AS turns,
+           coalesce(string_agg(CASE WHEN rows.role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, rows.role, text), '') AS loss,
+           sum(length(text) + coalesce(extra, 16 + length(rows.role)) + CASE
+               WHEN contains(text, chr(92) || chr(92)) OR contains(text, chr(92) || '[') OR contains(text, chr(92) || '<') OR contains(text, chr(92) || '>')
+                 OR (rows.role = 'user' AND contains(text, ' [/INST]')) OR (rows.role = 'assistant' AND contains(text, ' </s>'))
+                 OR (rows.role = 'system' AND contains(text, chr(10) || '<</SYS>>' || chr(10) || chr(10)))
+               THEN length(regexp_replace(text, '[^\\\\\\[<>]', '', 'g')) ELSE 0 END) AS formatted_chars
+    FROM rows LEFT JOIN template USING (role) GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM folded
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -63,9 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pack": op4_pack,
         "op5_media": op5_media,
         "op6_rules": op6_rules,
+        "op7_chat": op7_chat,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": OP7_SQL}
