@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, media, packing, quality, rules, stats
+from isohyet.llm import bpe, chat, media, packing, pii, quality, rules, stats
 from isohyet.llm.common import table
 
 
@@ -17,6 +17,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.col("_base")
+    return got.select("doc_id", *map(n, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.concat(base, F.col("_terms"))).alias("spans"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,6 +109,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op3_quality": op3_quality,
         "op4_pack": op4_pack,
         "op5_media": op5_media,
