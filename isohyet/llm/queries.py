@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, media, packing, pii, quality, rules, stats
+from isohyet.llm import bpe, chat, linedup, media, packing, pii, quality, rules, stats
 from isohyet.llm.common import table
 
 
@@ -96,6 +96,65 @@ FROM folded
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = linedup.dedup(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    return got.select(
+        "doc_id",
+        "n_lines",
+        F.size("_lost").cast("long").alias("n_deleted"),
+        F.concat_ws(",", F.col("_lost").cast("array<string>")).alias("deleted_lines"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+OP8_SQL = """
+WITH parts AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+),
+numbered AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS n FROM parts
+),
+counted AS (
+    SELECT *, least(10, len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS words FROM numbered
+),
+full_lines AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i FROM counted WHERE words > 0
+),
+ahead AS (
+    SELECT a.doc_id, a.i, b.i - a.i + 1 AS size,
+           sum(b.words) OVER w AS total, string_agg(b.line, chr(10)) OVER w AS run
+    FROM full_lines a JOIN full_lines b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 9
+    WINDOW w AS (PARTITION BY a.doc_id, a.i ORDER BY b.i)
+),
+behind AS (
+    SELECT a.doc_id, b.i, a.i - b.i + 1 AS size,
+           sum(b.words) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i DESC) AS total,
+           string_agg(b.line, chr(10)) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS run,
+           a.i AS last
+    FROM full_lines a JOIN full_lines b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 9 AND a.i
+),
+runs AS (
+    SELECT doc_id, i, size, run FROM ahead WHERE total >= 10
+    QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY size) = 1
+    UNION
+    SELECT doc_id, i, size, run FROM (SELECT * FROM behind WHERE total >= 10 QUALIFY row_number() OVER (PARTITION BY doc_id, last ORDER BY size) = 1)
+),
+later AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS copy FROM runs) WHERE copy > 1
+),
+gone AS (
+    SELECT DISTINCT f.doc_id, f.n FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS i FROM later) l JOIN full_lines f USING (doc_id, i)
+)
+SELECT doc_id, len(lines) AS n_lines, coalesce(len(lost), 0)::BIGINT AS n_deleted,
+       coalesce(array_to_string(lost, ','), '') AS deleted_lines,
+       sha256(CASE WHEN lost IS NULL THEN text ELSE coalesce(kept, '') END) AS text_sha256
+FROM parts
+LEFT JOIN (SELECT doc_id, list(n ORDER BY n) AS lost FROM gone GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS kept FROM numbered ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -115,9 +174,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media": op5_media,
         "op6_rules": op6_rules,
         "op7_chat": op7_chat,
+        "op8_line_dedup": op8_line_dedup,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op7_chat": OP7_SQL, "op8_line_dedup": OP8_SQL}
