@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, linedup, media, packing, pii, quality, rules, stats
+from isohyet.llm import bpe, chat, jaccard, linedup, media, packing, pii, quality, rules, stats
 from isohyet.llm.common import table
 
 
@@ -155,6 +155,10 @@ LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS kept FROM numb
 """
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -175,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_rules": op6_rules,
         "op7_chat": op7_chat,
         "op8_line_dedup": op8_line_dedup,
+        "op9_jaccard": op9_jaccard,
         "op10_bpe": op10_bpe,
     }
 
