@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.llm import bpe, chat, jaccard, linedup, media, packing, pii, quality, rules, stats
+from isohyet.llm import bpe, chat, jaccard, licenses, linedup, media, packing, pii, quality, rules, stats
 from isohyet.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(n, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.concat(base, F.col("_terms"))).alias("spans"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.families(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -173,6 +177,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
+        "op2_licenses": op2_licenses,
         "op3_quality": op3_quality,
         "op4_pack": op4_pack,
         "op5_media": op5_media,
