@@ -6,7 +6,7 @@ the lowest rank until no pair is left; ordered aggregation turns rows into id li
 and, for decoding, ids into bytes.
 
 Words already seen by the worker are kept in a memo of bounded size, which is dropped
-when full but for the words in use; it changes the time only. Pieces over ``LONG_PIECE`` bytes (runs
+when full but for words met again; it changes the time only. Pieces over ``LONG_PIECE`` bytes (runs
 without any break) go through the same contraction order with a heap, since one
 contraction a round would need as many rounds as the piece has bytes.
 
@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_PIECE = 192
-WORDS_A_QUERY = 20_000
-#: Words of each of the memo's two generations.
-MEMO_WORDS = 450_000
-ROWS_A_DECODE = 400_000
+WORDS_A_QUERY = 10_000
+MEMO_WORDS = 560_000
+ROWS_A_DECODE = 200_000
 
 ENCODE = """
 WITH RECURSIVE step(place, token, done) AS (
@@ -88,11 +87,11 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = splitter(pattern)
         self.memo: dict[str, bytes] = {}  # ids as int32
-        self.older: dict[str, bytes] = {}
+        self.again: set[str] = set()  # words met in more than one batch
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         pair, merged = (np.array(x, np.int64) for x in zip(*merges))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         self.db.register("m", pa.table({"pair": pair, "merged": merged.astype(np.int32)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"token": np.fromiter(self.ranks.values(), np.int32), "hex": [t.hex() for t in self.ranks]}))
@@ -149,12 +148,14 @@ class Vocabulary:
 
     def recall(self, words: set[str]) -> None:
         """Have all words in the memo."""
-        new = words - self.memo.keys()
+        new = words.difference(self.memo)
         if len(new) + len(self.memo) > MEMO_WORDS:
-            self.memo, self.older, new = {}, self.memo, words
-        known = new & self.older.keys()
-        self.memo.update((w, self.older[w]) for w in known)
-        self.learn(list(new - known))
+            self.memo = {w: self.memo[w] for w in self.again}
+            if len(self.memo) > MEMO_WORDS // 2:
+                self.memo, self.again = {}, set()
+            new = words.difference(self.memo)
+        self.again |= words - new
+        self.learn(list(new))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
