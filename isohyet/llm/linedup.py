@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from isohyet.llm.common import written
 
 MIN_WORDS = 10
+#: Line numbers to delete that may be broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_LINES = 1_000_000
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -134,6 +136,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """docs with later copies of repeated runs deleted from the text, and _lost, the numbers of the lines deleted."""
     docs = docs.drop("_lost")
     gone = deletions(docs, id_col, text_col, min_words)
+    lines = gone.agg(F.sum(F.size("lines") + 2)).first()[0] or 0
+    gone = F.broadcast(gone) if lines <= BROADCAST_LINES else gone.hint("merge")
     own = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
     joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("doc")) & (F.col("_own") == F.col("key")), "left")
     left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains("lines", n))
