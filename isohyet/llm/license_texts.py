@@ -46,3 +46,11 @@ OTHERS = [
     "He asked for a copy of the source of that story.",
     "Seats are reserved for members of the public.",
 ]
+
+#: Words of everyday English, which are no sign of a licence.
+EVERYDAY = """
+a above all also an and any appear are as at be but by can code copy deal either except extent file files following for form forms
+free from general has have if in including into is it its later law library may met no not of on one or other part person possible prior
+program provided public purpose related same sell she source subject terms that the their they this to under use version was were which with
+without work written you your
+""".split()

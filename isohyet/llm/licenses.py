@@ -1,8 +1,8 @@
 """Licence scan: a trained paragraph classifier with a confirming template comparison.
 
 In DataFrame functions on the path of the texts. Features are word 1- to 3-grams of
-the templates that hold an anchor, a template word that is rare in a bounded
-background sample of the corpus. A multinomial logistic regression over the licence
+the templates that hold an anchor, a template word that is not an everyday word and rare in a
+bounded background sample of the corpus. A multinomial logistic regression over the licence
 families and an unknown class is fitted on the driver, with an L1 penalty that keeps
 few weights: positives are templates, whole and damaged; negatives are the background
 and sentences on other things. The probability from which a family is told is
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.license_texts import OTHERS, TEMPLATES
+from isohyet.llm.license_texts import EVERYDAY, OTHERS, TEMPLATES
 
 BACKGROUND = 2000
 DAMAGED = 24  # copies of each template with words lost, cut or put around
@@ -69,8 +69,7 @@ class Model:
         for w in plain:
             for x in set(w):
                 seen[x] = seen.get(x, 0) + 1
-        everyday = {x for o in OTHERS for x in words(o) if sum(x in words(p) for p in OTHERS) > 2}
-        self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in everyday and seen.get(w, 0) <= COMMON * max(1, len(plain))}
+        self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in EVERYDAY and seen.get(w, 0) <= COMMON * max(1, len(plain))}
         rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for w in plain] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
         fill = [x for w in plain for x in w][:20000] or [x for o in OTHERS for x in words(o)]
         for family, t in templates:
@@ -122,17 +121,19 @@ def background(docs: DataFrame, text_col: str = "text") -> list[str]:
 
 
 def _ngrams(tokens: Column) -> Column:
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-        return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Distinct 1- to 3-grams; the outer transform has the tokens made once for all of them."""
 
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+    def of(t: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        return F.when(F.size(t) >= n, F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.transform(F.array(tokens), lambda t: F.concat(of(t, 1), of(t, 2), of(t, 3)))[0])
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, line, family, probability, overlap, confirmed) of every licence paragraph; key: xxhash64 of the text."""
     spark = docs.sparkSession
-    whole = sorted({max(re.findall("[a-z0-9]+", a), key=len) for a in model.anchors})
+    whole = sorted({max(re.findall("[a-z0-9]+", a), key=lambda w: (w not in EVERYDAY, len(w))) for a in model.anchors})
     anchor = F.lit(whole) if whole else F.array().cast("array<string>")
     parts = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
     some = docs.where(F.arrays_overlap(parts(F.col(text_col)), anchor))
