@@ -12,6 +12,7 @@ from isohyet.grid import Grid
 
 COLUMNS = ["var", "level", "ts", "t", "x", "y", "v"]
 SERIES = ["var", "level", "x", "y"]
+TIE = 3.1e-7
 FIELD = ["var", "level", "ts", "t"]
 
 
@@ -45,8 +46,8 @@ class Dataset:
         return self.of(self.cells.where(condition))
 
     def table(self) -> DataFrame:
-        """Result rows without the time stamp, rounded, for comparison."""
-        return self.cells.select("var", F.col("level").cast("double").alias("level"), F.col("ts").cast("long").alias("ts"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round("v", 4).alias("v"))
+        """Result rows without the time stamp, rounded, for comparison; TIE moves decimal ties off the boundary."""
+        return self.cells.select("var", F.col("level").cast("double").alias("level"), F.col("ts").cast("long").alias("ts"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.round(F.col("v") + TIE, 4).alias("v"))
 
     def lon(self) -> Column:
         return self.grid.lon()

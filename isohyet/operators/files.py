@@ -210,7 +210,7 @@ for _n, _c in {
 }.items():
     put(_n, lambda ds, c=_c: _printed(_whole(ds), c), -1)
 put("outputint", lambda ds: _printed(_whole(ds), ["value"]).withColumn("value", F.round("value").cast("long")), -1)
-put("outputf", lambda ds, form="%13.6g", n=1: _printed(_whole(ds), ["value"]).select(F.format_string(form, "value").alias("value")), -1)
+put("outputf", lambda ds, form="%13.6g", n=1: _printed(_whole(ds), ["value"]).select(F.when(F.col("value").isNotNull(), F.format_string(form, "value")).alias("value")), -1)
 put("outputtab", lambda ds, *keys: _printed(_whole(ds), [str(k).split(":")[0] for k in keys]), -1)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from isohyet.dataset import SERIES, Dataset
+from isohyet.functions.kernels import RADIUS, detrended, dv_to_uv, from_fourier, from_spectral, order, passband, resized, taper, to_fourier, to_spectral, uv_to_dv
 from isohyet.grid import Grid, gaussian_latitudes
 from isohyet.operators.modify import as_grid
 from isohyet.operators.registry import op, put
@@ -29,24 +30,13 @@ def by_series(d: Dataset, f) -> Dataset:  # noqa: ANN001
     return d.of(d.cells.groupBy(*SERIES).applyInPandas(run, CELLS))
 
 
-def _kept(n: int, low: float, high: float, rate: float) -> np.ndarray:
-    """Which frequencies pass: from floor(n low / rate) to ceil(n high / rate), on both sides of zero."""
-    first = max(0, math.floor(n * low / rate))
-    last = min(n // 2, math.ceil(n * high / rate))
-    mask = np.zeros(n, bool)
-    mask[first : last + 1] = True
-    for k in range(max(1, first + 1), last + 1):
-        mask[n - k] = True
-    return mask
-
-
 def _filter(d: Dataset, low: float | None, high: float | None, rate: float = 365.0) -> Dataset:
     """Frequencies in cycles a year; rate: steps a year. Missing values are an error."""
 
     def one(v: np.ndarray) -> np.ndarray:
         if np.isnan(v).any():
             raise ValueError("missing values cannot be filtered")
-        mask = _kept(len(v), float(low or 0), float(high) if high is not None else rate, float(rate))
+        mask = passband(len(v), float(low or 0), float(high) if high is not None else rate, float(rate))
         return np.fft.ifft(np.fft.fft(v) * mask).real
 
     return by_series(d, one)
@@ -89,23 +79,6 @@ def harmonic(d: Dataset, n_out: int, n: int) -> list[Dataset]:
     return out
 
 
-def _window(name: str, n: int) -> np.ndarray:
-    k = np.arange(n) + 0.5
-    return {
-        "none": np.ones(n),
-        "hann": 0.5 - 0.5 * np.cos(2 * np.pi * k / n),
-        "bartlett": 1 - np.abs(2 * k / n - 1),
-        "welch": 1 - (2 * k / n - 1) ** 2,
-        "hamming": 0.54 - 0.46 * np.cos(2 * np.pi * k / n),
-        "blackman": 0.42 - 0.5 * np.cos(2 * np.pi * k / n) + 0.08 * np.cos(4 * np.pi * k / n),
-    }[name]
-
-
-def _detrended(v: np.ndarray) -> np.ndarray:
-    k = np.arange(len(v))
-    return v - np.polyval(np.polyfit(k, v, 1), k)
-
-
 @op("spectrum")
 def spectrum(d: Dataset, detrend: int = 0, segments: int = 1, length: int | None = None, window: str = "none") -> Dataset:
     """Power by frequency, averaged over overlapping segments; detrend 0 none, 1 mean, 2 line, 3 line by segment.
@@ -118,13 +91,13 @@ def spectrum(d: Dataset, detrend: int = 0, segments: int = 1, length: int | None
         pdf = pdf.sort_values("ts")
         v = pdf["v"].to_numpy(float)
         seg = int(length or len(v))
-        v = v - v.mean() if detrend == 1 else _detrended(v) if detrend == 2 else v
-        w = _window(window, seg)
+        v = v - v.mean() if detrend == 1 else detrended(v) if detrend == 2 else v
+        w = taper(window, seg)
         total = np.zeros(seg // 2 + 1)
         for i in range(segments):
             at = 0 if segments == 1 else int((len(v) - seg) / (segments - 1) * i)
             part = v[at : at + seg]
-            part = (_detrended(part) if detrend == 3 else part) * w
+            part = (detrended(part) if detrend == 3 else part) * w
             power = np.abs(np.fft.fft(part)) ** 2 / seg
             total[0] += power[0]
             for k in range(1, (seg + 1) // 2):
@@ -208,20 +181,6 @@ put("eofcoeff3d", lambda p, d: _coefficients(p, d, True), 2)
 # Spherical harmonics. Coefficients are cells: y holds the order m, x twice the degree over m, plus one for the imaginary part.
 
 
-def legendre(mu: np.ndarray, top: int) -> np.ndarray:
-    """Normalised associated functions [m, n, latitude] up to a triangular truncation, by recursion on the degree."""
-    p = np.zeros((top + 2, top + 2, len(mu)))
-    root = np.sqrt(1 - mu * mu)
-    for m in range(top + 2):
-        p[m, m] = math.sqrt(0.5) if m == 0 else p[m - 1, m - 1] * root * math.sqrt((2 * m + 1) / (2 * m))
-        if m <= top:
-            p[m, m + 1] = mu * math.sqrt(2 * m + 3) * p[m, m]
-        for n in range(m + 2, top + 2):
-            e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1))  # noqa: B023, E731
-            p[m, n] = (mu * p[m, n - 1] - e(n - 1) * p[m, n - 2]) / e(n)
-    return p
-
-
 def truncation(grid: Grid, linear: bool = False) -> int:
     """The triangular truncation that belongs to a Gaussian grid."""
     return (grid.ny * 2 - 1) // (2 if linear else 3)
@@ -248,59 +207,31 @@ def spectral_grid(top: int) -> Grid:
     return Grid(tuple(range(2 * (top + 1))), tuple(range(top + 1)), "spectral", attrs={"truncation": top})
 
 
-def _mu(lats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Sines of Gaussian latitudes as given, and their quadrature weights."""
-    mu = np.sin(np.radians(lats))
-    nodes, w = np.polynomial.legendre.leggauss(len(lats))
-    return mu, w[np.argsort(np.argsort(mu))]
-
-
-def to_spectral(field: np.ndarray, lats: tuple[float, ...], top: int) -> np.ndarray:
-    mu, w = _mu(lats)
-    p = legendre(mu, top)
-    f = np.fft.fft(field, axis=1) / field.shape[1]
-    out = np.zeros((top + 1, 2 * (top + 1)))
-    for m in range(top + 1):
-        c = np.einsum("nj,j,j->n", p[m, m : top + 1], w, f[:, m])
-        out[m, 0 : 2 * len(c) : 2], out[m, 1 : 2 * len(c) : 2] = c.real, c.imag
-    return out
-
-
-def from_spectral(coefficients: np.ndarray, lats: tuple[float, ...], nlon: int) -> np.ndarray:
-    top = coefficients.shape[0] - 1
-    p = legendre(np.sin(np.radians(lats)), top)
-    f = np.zeros((len(lats), nlon), complex)
-    for m in range(min(top, nlon // 2) + 1):
-        n = top + 1 - m
-        c = coefficients[m, 0 : 2 * n : 2] + 1j * coefficients[m, 1 : 2 * n : 2]
-        f[:, m] = p[m, m : top + 1].T @ c
-        if m:
-            f[:, nlon - m] = np.conj(f[:, m])
-    return np.fft.ifft(f, axis=1).real * nlon
-
-
 def _gaussian(top: int, linear: bool) -> Grid:
     ny = 2 * ((top + 1 + 1) // 2) if linear else 2 * ((3 * top + 1 + 3) // 4)
     return Grid(tuple(360 / (2 * ny) * i for i in range(2 * ny)), gaussian_latitudes(ny // 2), "gaussian")
 
 
-for _s, _linear in (("", False), ("l", True)):
-    put(f"gp2sp{_s}", lambda d, lin=_linear: by_field(d, lambda f: to_spectral(f, d.grid.lats, truncation(d.grid, lin)), spectral_grid(truncation(d.grid, lin))))
-    put(f"sp2gp{_s}", lambda d, lin=_linear: (lambda g: by_field(d, lambda f: from_spectral(f, g.lats, g.nx), g))(_gaussian(d.grid.ny - 1, lin)))
+def _analysed(d: Dataset, linear: bool) -> Dataset:
+    lats, top = d.grid.lats, truncation(d.grid, linear)
+    return by_field(d, lambda f: to_spectral(f, lats, top), spectral_grid(top))
 
 
-def _resized(c: np.ndarray, top: int) -> np.ndarray:
-    out = np.zeros((top + 1, 2 * (top + 1)))
-    old = c.shape[0] - 1
-    for m in range(min(top, old) + 1):
-        n = 2 * (min(top, old) + 1 - m)
-        out[m, :n] = c[m, :n]
-    return out
+def _synthesised(d: Dataset, linear: bool) -> Dataset:
+    g = _gaussian(d.grid.ny - 1, linear)
+    lats, nx = g.lats, g.nx
+    return by_field(d, lambda f: from_spectral(f, lats, nx), g)
+
+
+for _s, _linear in (("", False), ("l", True)):
+    put(f"gp2sp{_s}", lambda d, lin=_linear: _analysed(d, lin))
+    put(f"sp2gp{_s}", lambda d, lin=_linear: _synthesised(d, lin))
 
 
 @op("sp2sp")
 def sp2sp(d: Dataset, top: int) -> Dataset:
-    return by_field(d, lambda c: _resized(c, int(top)), spectral_grid(int(top)))
+    top = int(top)
+    return by_field(d, lambda c: resized(c, top), spectral_grid(top))
 
 
 @op("spcut")
@@ -312,16 +243,6 @@ def spcut(d: Dataset, *waves: int) -> Dataset:
 # Fourier coefficients along latitudes: cells with x twice the wave number, plus one for the imaginary part.
 
 
-def _to_fourier(f: np.ndarray) -> np.ndarray:
-    c = np.fft.rfft(f, axis=1) / f.shape[1]
-    return np.stack([c.real, c.imag], axis=-1).reshape(f.shape[0], -1)
-
-
-def _from_fourier(c: np.ndarray) -> np.ndarray:
-    z = c[:, 0::2] + 1j * c[:, 1::2]
-    return np.fft.irfft(z, 2 * (z.shape[1] - 1), axis=1) * 2 * (z.shape[1] - 1)
-
-
 def _fourier_grid(g: Grid) -> Grid:
     return g.with_(lons=tuple(range(2 * (g.nx // 2 + 1))), kind="fourier")
 
@@ -331,12 +252,21 @@ def _grid_of_fourier(g: Grid) -> Grid:
     return g.with_(lons=tuple(360 / nx * i for i in range(nx)), kind="gaussian")
 
 
-put("gp2fc", lambda d: by_field(d, _to_fourier, _fourier_grid(d.grid)))
-put("fc2gp", lambda d: by_field(d, _from_fourier, _grid_of_fourier(d.grid)))
-put("fc2sp", lambda d: by_field(d, lambda c: to_spectral(_from_fourier(c), d.grid.lats, truncation(d.grid)), spectral_grid(truncation(d.grid))))
-put("sp2fc", lambda d: (lambda g: by_field(d, lambda c: _to_fourier(from_spectral(c, g.lats, g.nx)), _fourier_grid(g)))(_gaussian(d.grid.ny - 1, False)))
+put("gp2fc", lambda d: by_field(d, to_fourier, _fourier_grid(d.grid)))
+put("fc2gp", lambda d: by_field(d, from_fourier, _grid_of_fourier(d.grid)))
+
+
+@op("fc2sp")
+def fc2sp(d: Dataset) -> Dataset:
+    lats, top = d.grid.lats, truncation(d.grid)
+    return by_field(d, lambda c: to_spectral(from_fourier(c), lats, top), spectral_grid(top))
 
-RADIUS = 6371000.0
+
+@op("sp2fc")
+def sp2fc(d: Dataset) -> Dataset:
+    g = _gaussian(d.grid.ny - 1, False)
+    lats, nx = g.lats, g.nx
+    return by_field(d, lambda c: to_fourier(from_spectral(c, lats, nx)), _fourier_grid(g))
 
 
 def _wind(d: Dataset, names: tuple[str, str], made: tuple[str, str], f, grid: Grid) -> Dataset:  # noqa: ANN001
@@ -360,58 +290,20 @@ def _wind(d: Dataset, names: tuple[str, str], made: tuple[str, str], f, grid: Gr
     return d.of(d.cells.where(F.col("var").isin(list(names))).groupBy("level", "ts").applyInPandas(run, CELLS), grid=grid, variables={n: {} for n in made})
 
 
-def _complex(c: np.ndarray, m: int) -> np.ndarray:
-    n = c.shape[0] - m
-    return c[m, 0 : 2 * n : 2] + 1j * c[m, 1 : 2 * n : 2]
-
-
-def _put(out: np.ndarray, m: int, z: np.ndarray) -> None:
-    out[m, 0 : 2 * len(z) : 2], out[m, 1 : 2 * len(z) : 2] = z.real, z.imag
-
-
-def uv_to_dv(u: np.ndarray, v: np.ndarray, lats: tuple[float, ...], top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spectral divergence and vorticity of wind on a Gaussian grid, by parts in latitude."""
-    mu, w = _mu(lats)
-    cos2 = 1 - mu * mu
-    p = legendre(mu, top)
-    fu, fv = (np.fft.fft(a * np.sqrt(cos2)[:, None], axis=1) / a.shape[1] for a in (u, v))
-    div, vor = np.zeros((top + 1, 2 * (top + 1))), np.zeros((top + 1, 2 * (top + 1)))
-    for m in range(top + 1):
-        e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1)) if k else 0.0  # noqa: B023, E731
-        zd, zv = [], []
-        for n in range(m, top + 1):
-            h = (n + 1) * e(n) * p[m, n - 1] * (n > m) - n * e(n + 1) * p[m, n + 1]  # (1 - mu^2) dP/dmu
-            a, b = w / cos2 * p[m, n], w / cos2 * h
-            zd.append((1j * m * (a @ fu[:, m]) - b @ fv[:, m]) / RADIUS)
-            zv.append((1j * m * (a @ fv[:, m]) + b @ fu[:, m]) / RADIUS)
-        _put(div, m, np.array(zd)), _put(vor, m, np.array(zv))
-    return div, vor
-
-
-def dv_to_uv(div: np.ndarray, vor: np.ndarray, lats: tuple[float, ...], nlon: int) -> tuple[np.ndarray, np.ndarray]:
-    """Wind on a Gaussian grid of spectral divergence and vorticity."""
-    top = div.shape[0] - 1
-    mu = np.sin(np.radians(lats))
-    cos = np.sqrt(1 - mu * mu)
-    p = legendre(mu, top)
-    fu, fv = np.zeros((len(mu), nlon), complex), np.zeros((len(mu), nlon), complex)
-    for m in range(min(top, nlon // 2) + 1):
-        n = np.arange(m, top + 1)
-        scale = np.where(n > 0, -RADIUS * RADIUS / np.maximum(n * (n + 1), 1), 0.0)
-        chi, psi = _complex(div, m) * scale, _complex(vor, m) * scale
-        e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1)) if k else 0.0  # noqa: B023, E731
-        h = np.array([(k + 1) * e(k) * p[m, k - 1] * (k > m) - k * e(k + 1) * p[m, k + 1] for k in n])
-        q = p[m, m : top + 1]
-        fu[:, m] = (1j * m * (chi @ q) - psi @ h) / RADIUS / cos
-        fv[:, m] = (1j * m * (psi @ q) + chi @ h) / RADIUS / cos
-        if m:
-            fu[:, nlon - m], fv[:, nlon - m] = np.conj(fu[:, m]), np.conj(fv[:, m])
-    return np.fft.ifft(fu, axis=1).real * nlon, np.fft.ifft(fv, axis=1).real * nlon
+def _to_divergence(d: Dataset, linear: bool, u: str, v: str) -> Dataset:
+    lats, top = d.grid.lats, truncation(d.grid, linear)
+    return _wind(d, (u, v), ("sd", "svo"), lambda a, b: uv_to_dv(a, b, lats, top), spectral_grid(top))
+
+
+def _to_wind(d: Dataset, linear: bool, div: str, vor: str) -> Dataset:
+    g = _gaussian(d.grid.ny - 1, linear)
+    lats, nx = g.lats, g.nx
+    return _wind(d, (div, vor), ("u", "v"), lambda a, b: dv_to_uv(a, b, lats, nx), g)
 
 
 for _s, _linear in (("", False), ("l", True)):
-    put(f"uv2dv{_s}", lambda d, u="u", v="v", lin=_linear: (lambda top: _wind(d, (u, v), ("sd", "svo"), lambda a, b: uv_to_dv(a, b, d.grid.lats, top), spectral_grid(top)))(truncation(d.grid, lin)))
-    put(f"dv2uv{_s}", lambda d, div="sd", vor="svo", lin=_linear: (lambda g: _wind(d, (div, vor), ("u", "v"), lambda a, b: dv_to_uv(a, b, g.lats, g.nx), g))(_gaussian(d.grid.ny - 1, lin)))
+    put(f"uv2dv{_s}", lambda d, u="u", v="v", lin=_linear: _to_divergence(d, lin, u, v))
+    put(f"dv2uv{_s}", lambda d, div="sd", vor="svo", lin=_linear: _to_wind(d, lin, div, vor))
 
 
 @op("dv2ps")

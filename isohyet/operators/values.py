@@ -103,7 +103,7 @@ def setvals(d: Dataset, *pairs: float) -> Dataset:
     """old1, new1, old2, new2 ...; the first that matches counts."""
     out = None
     for old, new in zip(pairs[::2], pairs[1::2]):
-        out = (out or F).when(V == float(old), F.lit(float(new)))
+        out = (F if out is None else out).when(V == float(old), F.lit(float(new)))
     return d.map(out.otherwise(V))
 
 
