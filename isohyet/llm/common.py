@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +37,15 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on; null texts read as empty."""
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with the session's Arrow batches held to *rows* rows at most.
+
+    Rows carry whole texts here; the usual 10,000 of them, in the JVM and in two Python
+    workers at once, take more memory than an executor has beside its heap. A lower
+    setting stays as it is.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import written
+from isohyet.llm.common import small_batches, written
 from isohyet.llm.graph import components
 
 WORDS = 5
@@ -77,7 +77,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     split = text.encode().split()
     if not split:
         return np.zeros(0, np.uint64)
-    if len(_memo) > 300_000:
+    if len(_memo) > 150_000:
         _memo.clear()
     new = set(split).difference(_memo)
     _memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
@@ -131,7 +131,7 @@ def sets(df: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     schema = f"id {kind}, key long, name binary, n int, sketch binary, buckets array<long>, splits array<array<long>>"
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, schema)
+    return small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, schema)
 
 
 class Forest:
@@ -260,14 +260,13 @@ def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
         at = np.repeat(start[some] - np.concatenate([[0], np.cumsum(count[some])[:-1]]), count[some]) + np.arange(len(column))
         own[owner[at], column] = 1
         common += own @ own.T
-    pairs = np.zeros(rows * rows, np.int64)
+    cells = common.reshape(-1)
     for c in np.unique(count[(count > 1) & (count <= max(1, rows // 50))]):
         own = owner[start[count == c][:, None] + np.arange(c)]
         for i in range(c):
             for j in range(c):
                 if i != j:
-                    pairs += np.bincount(own[:, i] * rows + own[:, j], minlength=rows * rows)
-    common += pairs.reshape(rows, rows)
+                    np.add.at(cells, own[:, i] * rows + own[:, j], np.float32(1))
     return common
 
 

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from isohyet.llm.common import small_batches
+
 BLOCKS = 64  # a row, and so a restart interval
 MOST_ROWS = 8191  # 65535 picture lines / 8
 GROUP_BYTES = 1 << 20
@@ -322,7 +324,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 media = _write([r.ljust(max(1, -(-len(r) // BLOCKS)) * BLOCKS, b"\0") for r in some], [len(r) for r in some])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(media, pa.binary())], names=["id", "media"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, media binary").withColumnRenamed("id", id_col)
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, media binary").withColumnRenamed("id", id_col)
 
 
 def _read(blobs: list[bytes | None]) -> list[dict]:
@@ -374,4 +376,4 @@ def read(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Dat
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *columns], names=["id", "media", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"id {kind}, media binary, {READ}").withColumnRenamed("id", id_col)
+    return small_batches(df).select(id_col, media_col).mapInArrow(run, f"id {kind}, media binary, {READ}").withColumnRenamed("id", id_col)

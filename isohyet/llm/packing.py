@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import written
+from isohyet.llm.common import small_batches, written
 
 CAPACITY = 2048
 #: Lengths of this many kinds at most start triples; pairs cover all lengths.
@@ -44,11 +44,9 @@ def _encoder(path: str):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        spec = json.loads(t.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         pre = spec["pre_tokenizer"]
         if spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True}:
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,6 +56,10 @@ def _encoder(path: str):
             fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             _encoders[path] = lambda text: np.array(fast.encode_ordinary(text), np.uint32)
         else:
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(path)
+            t.encode_special_tokens = True
             _encoders[path] = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
     return _encoders[path]
 
@@ -86,7 +88,7 @@ def cut(df: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAP
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
+    return small_batches(df).select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
 def patterns(present: np.ndarray, capacity: int) -> np.ndarray:

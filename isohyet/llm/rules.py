@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import stats
-from isohyet.llm.common import written
+from isohyet.llm.common import small_batches, written
 from isohyet.llm.quality import matrix
 
 SAMPLE = 8192
@@ -154,4 +154,4 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
         return pd.Series(shared.value.kept(np.array([stats.count(t or "") for t in texts], np.int64).reshape(-1, len(stats.COUNTS)))[2])
 
-    return docs.where(passes(F.col(text_col)))
+    return small_batches(docs).where(passes(F.col(text_col)))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.llm.common import small_batches
+
 SYMBOLS = "#*$%&|<>"
 #: All counts, in order.
 COUNTS = ["n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_echoes", "n_upper", "n_letters", "n_digits", "n_bangs", "n_stops"]
@@ -75,4 +77,4 @@ def counted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 rows = [count(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "counts"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, counts array<bigint>").withColumnRenamed("id", id_col)
+    return small_batches(df).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, counts array<bigint>").withColumnRenamed("id", id_col)
