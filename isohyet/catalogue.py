@@ -543,8 +543,12 @@ _add("spcut", "spcut,1 -gp2sp -setgrid,n2 -selindexbox,1,8,1,4 m0", "m0", None)
 
 
 def queries() -> dict[str, Query]:
+    from isohyet import catalogue_more  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from isohyet import catalogue_more  # noqa: F401  registers more
+
     return dict(_SQL)

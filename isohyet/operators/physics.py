@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.dataset import Dataset
+from isohyet.functions.constants import BRYDEN, STATE
 from isohyet.operators.pairs import beside
 from isohyet.operators.registry import op, put
 
@@ -16,30 +17,6 @@ V = F.col("v")
 GRAVITY, GAS = 9.80665, 287.05
 KT = ["ts", "x", "y"]
 
-#: Polynomials of sea water (fixed values, lowest power first): Bryden 1973.
-BRYDEN = {
-    "a": (3.6504e-4, 8.3198e-5, -5.4065e-7, 4.0274e-9),
-    "b": (1.7439e-5, -2.9778e-7),
-    "c": (8.9309e-7, -3.1628e-8, 2.1987e-10),
-    "d": (4.1057e-9,),
-    "e": (-1.6056e-10, 5.0484e-12),
-}
-#: UNESCO equation of state (fixed values, lowest power first).
-STATE = {
-    "a": (999.842594, 6.793952e-2, -9.095290e-3, 1.001685e-4, -1.120083e-6, 6.536332e-9),
-    "b": (8.24493e-1, -4.0899e-3, 7.6438e-5, -8.2467e-7, 5.3875e-9),
-    "c": (-5.72466e-3, 1.0227e-4, -1.6546e-6),
-    "d": (4.8314e-4,),
-    "e": (19652.21, 148.4206, -2.327105, 1.360477e-2, -5.155288e-5),
-    "f": (54.6746, -0.603459, 1.09987e-2, -6.1670e-5),
-    "g": (7.944e-2, 1.6483e-2, -5.3009e-4),
-    "h": (3.239908, 1.43713e-3, 1.16092e-4, -5.77905e-7),
-    "i": (2.2838e-3, -1.0981e-5, -1.6078e-6),
-    "j": (1.91075e-4,),
-    "k": (8.50935e-5, -6.12293e-6, 5.2787e-8),
-    "m": (-9.9348e-7, 2.0816e-8, 9.1697e-10),
-}
-
 
 def poly(coefficients: tuple[float, ...], t: Column) -> Column:
     out = F.lit(coefficients[-1])
@@ -83,14 +60,19 @@ def in_situ(potential: Column, salt: Column, p: Column) -> Column:
 def _wide(d: Dataset, names: tuple[str, ...]) -> DataFrame:
     """The named variables of a level side by side."""
     own = d.cells.where(F.col("var").isin(list(names)))
-    return own.groupBy("level", *KT).agg(F.max("t").alias("t"), *[F.max(F.when(F.col("var") == n, V)).alias(n) for n in names])
+    return own.groupBy("level", *KT).agg(F.max("t").alias("t"), *[F.max(F.when(F.col("var") == n, V)).alias(f"w_{n}") for n in names])
+
+
+def _of(name: str) -> Column:
+    """A variable's column in _wide."""
+    return F.col(f"w_{name}")
 
 
 def _ocean(name: str, made: str, f: Callable[[Column, Column, Column], Column]) -> None:
     def run(d: Dataset, pressure: float | None = None, temperature: str = "t", salt: str = "s") -> Dataset:
         """Pressure in bar; without one, a tenth of the level in metres."""
         p = F.col("level") / 10 if pressure is None else F.lit(float(pressure))
-        own = _wide(d, (temperature, salt)).withColumn("v", f(F.col(temperature), F.col(salt), p)).withColumn("var", F.lit(made))
+        own = _wide(d, (temperature, salt)).withColumn("v", f(_of(temperature), _of(salt), p)).withColumn("var", F.lit(made))
         return d.of(own, variables={made: {}}).only("var")
 
     put(name, run)
@@ -146,7 +128,7 @@ put("deltap", lambda d, ps="ps": _pressures(d, ps, lambda p, k, h: _half(p, k +
 def _columns(d: Dataset, names: tuple[str, ...]) -> DataFrame:
     """Per step and cell, the column of (level, values of the named variables), from the top down."""
     wide = _wide(d, names)
-    return wide.groupBy(*KT).agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("level", *names))).alias("_c"))
+    return wide.groupBy(*KT).agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("level", *[_of(n) for n in names]))).alias("_c"))
 
 
 @op("gheight")
@@ -159,7 +141,7 @@ def gheight(d: Dataset, t: str = "t", q: str = "q", ps: str = "ps", geosp: str =
     height, out = F.col("_g") / GRAVITY, []
     for k in range(n - 1, -1, -1):
         layer = F.get("_c", F.lit(k))
-        virtual = layer[t] * (1 + 0.608 * F.coalesce(layer[q], F.lit(0.0)))
+        virtual = layer[f"w_{t}"] * (1 + 0.608 * F.coalesce(layer[f"w_{q}"], F.lit(0.0)))
         top = F.greatest(_half(F.col("_ps"), k, halves), F.lit(0.1))
         height = height + GAS / GRAVITY * virtual * F.log(_half(F.col("_ps"), k + 1, halves) / top)
         out.append(F.struct(F.lit(float(k + 1)).alias("level"), height.alias("v")))
@@ -259,9 +241,9 @@ def vertwind(d: Dataset, t: str = "t", q: str = "q", omega: str = "omega", press
     """Vertical velocity in m/s: omega over g and the density of moist air. Pressure from a variable or the level."""
     names = (t, q, omega)
     own = _wide(d, (*names, pressure))
-    p = F.coalesce(F.col(pressure), F.col("level"))
-    rho = p / (GAS * F.col(t) * (1 + 0.608 * F.col(q)))
-    return d.of(own.withColumn("v", F.col(omega) / (GRAVITY * rho)).withColumn("var", F.lit("wz")), variables={"wz": {}}).only("var")
+    p = F.coalesce(_of(pressure), F.col("level"))
+    rho = p / (GAS * _of(t) * (1 + 0.608 * _of(q)))
+    return d.of(own.withColumn("v", _of(omega) / (GRAVITY * rho)).withColumn("var", F.lit("wz")), variables={"wz": {}}).only("var")
 
 
 @op("mastrfu")
@@ -313,7 +295,7 @@ def rotuvb(d: Dataset, *pairs: str, lon_pole: float = -170.0, lat_pole: float =
     out = d.cells.where(~F.col("var").isin(list(pairs))).select("var", "level", *KT, "t", "v")
     for u, v in zip(pairs[::2], pairs[1::2]):
         own = _wide(d, (u, v))
-        turned = F.explode(F.array(F.struct(F.lit(u).alias("var"), (F.col(u) * c + F.col(v) * s).alias("v")), F.struct(F.lit(v).alias("var"), (F.col(v) * c - F.col(u) * s).alias("v"))))
+        turned = F.explode(F.array(F.struct(F.lit(u).alias("var"), (_of(u) * c + _of(v) * s).alias("v")), F.struct(F.lit(v).alias("var"), (_of(v) * c - _of(u) * s).alias("v"))))
         out = out.unionByName(own.withColumn("_r", turned).select("_r.var", "level", *KT, "t", "_r.v"))
     return d.of(out)
 
@@ -332,8 +314,8 @@ def _grid_wind(name: str) -> None:
         """Wind along the grid's axes, its length kept; on regular grids the axes are east and north up to sign."""
         a, b, c, e = _axes(d)
         own = _wide(d, (u, v))
-        x, y = F.col(u) * a + F.col(v) * b, F.col(u) * c + F.col(v) * e
-        length, now = F.sqrt(F.col(u) ** 2 + F.col(v) ** 2), F.sqrt(x * x + y * y)
+        x, y = _of(u) * a + _of(v) * b, _of(u) * c + _of(v) * e
+        length, now = F.sqrt(_of(u) ** 2 + _of(v) ** 2), F.sqrt(x * x + y * y)
         scale = F.when(now > 0, length / now).otherwise(1.0)
         rows = F.explode(F.array(F.struct(F.lit(u).alias("var"), (x * scale).alias("v")), F.struct(F.lit(v).alias("var"), (y * scale).alias("v"))))
         return d.of(own.withColumn("_r", rows).select("_r.var", "level", *KT, "t", "_r.v"))
