@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +50,8 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     if not 0 < int(conf.get(key, "10000")) <= rows:
         conf.set(key, str(rows))
     return df
+
+
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """(_row, own ...): all columns of df as one struct beside an operator's own, so that no names clash."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in own.items()])

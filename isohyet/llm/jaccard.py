@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import small_batches, written
+from isohyet.llm.common import boxed, small_batches, written
 from isohyet.llm.graph import components
 
 WORDS = 5
@@ -336,10 +336,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the later members of each class: the row of the least id stays, with all its columns.
 
-    Of rows equal in id and text one stays.
+    Of rows equal in id and text one stays; only where there are any, those rows are shuffled.
     """
     found = join(docs, id_col, text_col, threshold)
     gone = written(found.where((F.col(id_col) > F.col("class_id")) | (F.col(id_col).isNull() & F.col("class_id").isNotNull())).select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct())
     few = gone.count() <= BROADCAST_ROWS
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left_anti")
+    own = boxed(docs, _of=docs[id_col], _own=F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    left = own.join(F.broadcast(gone) if few else gone, F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_anti")
+    twice = written(found.groupBy(F.col(id_col).alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    same = F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
+    n = twice.count()
+    if n:
+        side = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+        left = left.join(side, same, "left_anti").unionByName(left.join(side, same, "left_semi").dropDuplicates(["_of", "_own"]))
+    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import written
+from isohyet.llm.common import boxed, written
 
 MIN_WORDS = 10
 #: Line numbers to delete that may be broadcast to the texts; beyond, texts are shuffled to them.
@@ -134,13 +134,12 @@ def _later(runs: DataFrame, names: DataFrame, depth: int, line_numbers: DataFram
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs deleted from the text, and _lost, the numbers of the lines deleted."""
-    docs = docs.drop("_lost")
     gone = deletions(docs, id_col, text_col, min_words)
     lines = gone.agg(F.sum(F.size("lines") + 2)).first()[0] or 0
     gone = F.broadcast(gone) if lines <= BROADCAST_LINES else gone.hint("merge")
-    own = docs.withColumn("_own", F.xxhash64(F.col(text_col)))
-    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("doc")) & (F.col("_own") == F.col("key")), "left")
-    left = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains("lines", n))
+    own = boxed(docs, _of=docs[id_col], _text=docs[text_col], _own=F.xxhash64(docs[text_col]))
+    joined = own.join(gone, F.col("_of").eqNullSafe(F.col("doc")) & (F.col("_own") == F.col("key")), "left")
+    left = F.filter(F.split("_text", "\n", -1), lambda x, n: ~F.array_contains("lines", n))
     lost = F.coalesce(F.col("lines"), F.expr("cast(array() as array<int>)"))
-    text = F.when(F.col("lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text_col))
-    return joined.select(*[text.alias(c) if c == text_col else own[c] for c in docs.columns], lost.alias("_lost"))
+    text = F.when(F.col("lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != "_lost"], lost.alias("_lost"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import written
+from isohyet.llm.common import boxed, written
 
 #: The base patterns of the contract. Where a match can start inside a run of its own
 #: characters only behind another match, the start is pinned to the run's begin or that match.
@@ -156,27 +156,29 @@ def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(F.expr(NONE))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _base and _terms, arrays of (kind, start, end); all columns stay.
-
-    Names that start with an underscore are the operator's own and win over the input's.
-    """
-    docs = docs.drop("_base", "_terms", "_key", "_found")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _text, _base, _terms): the rows of docs with their spans."""
+    text = F.coalesce(docs[text_col], F.lit(""))
     terms = disclosing(docs, id_col, text_col)
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), text))
-    tokens = keyed.select(F.col(id_col).alias("_id"), "_key", F.explode(F.array_distinct(_words(text))).alias("term"))
+    keyed = boxed(docs, _of=docs[id_col], _text=text, _key=F.xxhash64(docs[id_col], text))
+    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
     few = terms.count() <= BROADCAST_ROWS
-    hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
-    joined = keyed.join(hits.withColumnRenamed("_key", "_key2"), (F.col("_key") == F.col("_key2")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key2").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
+    joined = keyed.join(hits, (F.col("_key") == F.col("_key2")) & F.col("_of").eqNullSafe(F.col("_id")), "left")
     found = F.coalesce(F.col("_found"), F.expr("cast(array() as array<struct<term:string,kind:string>>)"))
-    based = joined.withColumn("_base", base_spans(text)).withColumn("_terms", _term_spans(text, F.col("_base"), found))
-    return based.drop("_key", "_key2", "_id", "_found")
+    based = joined.withColumn("_base", base_spans(F.col("_text")))
+    return based.select("_row", "_text", "_base", _term_spans(F.col("_text"), F.col("_base"), found).alias("_terms"))
+
+
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _base and _terms, arrays of (kind, start, end); these two win over the input's columns."""
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_base", "_terms")]
+    return _located_all(docs, id_col, text_col).select(*kept, "_base", "_terms")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cleaned: base spans and terms give way to marks, or to nothing."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("_text")
     spans = F.array_sort(F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -187,8 +189,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = with_spans(docs, id_col, text_col)
-    return found.withColumn(text_col, F.when(F.size("_base") + F.size("_terms") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.when(F.size("_base") + F.size("_terms") > 0, clean).otherwise(F.col("_row")[text_col])
+    return _located_all(docs, id_col, text_col).select(*[changed.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:

@@ -124,6 +124,13 @@ def test_join_is_that_of_brute_force(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
 
 
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (None, "x")]
+    names = "_id long, _row string"
+    kept = jaccard.keep_one(spark.createDataFrame(rows, names), "_id", "_row").collect()
+    assert sorted((r["_id"] or 0, r["_row"] or "") for r in kept) == [(0, "x"), (1, "a b c d e f"), (3, "")]
+
+
 def test_large_buckets_are_tiled(monkeypatch, spark):
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
