@@ -378,7 +378,7 @@ _MERGED = "SELECT var, level, dense_rank() OVER (ORDER BY t, k) - 1 AS ts, x, y,
 for _n in ("mergetime", "sorttimestamp", "sorttaxis"):
     _add(_n, f"{_n} m0 m1", "m0 m1", _MERGED)
 _add("mergegrid", "mergegrid m0 -selindexbox,2,4,2,4 -mulc,2 m0", "m0", "SELECT var, level, ts, x, y, CASE WHEN x BETWEEN 1 AND 3 AND y BETWEEN 1 AND 3 THEN 2 * v ELSE v END AS v FROM m0")
-_add("replace", "replace li -mulc,2 -selname,A li", "li", "SELECT var, level, dense_rank() OVER (ORDER BY ts) - 1 AS ts, x, y, v FROM li WHERE var <> 'A' UNION ALL SELECT var, level, dense_rank() OVER (ORDER BY ts) - 1, x, y, 2 * v FROM li WHERE var = 'A'")
+_add("replace", "replace li -mulc,2 -selname,A li", "li", "SELECT var, level, n AS ts, x, y, v FROM (SELECT *, dense_rank() OVER (ORDER BY ts) - 1 AS n FROM li) WHERE var <> 'A' UNION ALL SELECT var, level, dense_rank() OVER (ORDER BY ts) - 1, x, y, 2 * v FROM li WHERE var = 'A'")
 _add("collgrid", "collgrid -selindexbox,1,4,1,8 m0 -selindexbox,5,8,1,8 m0", "m0", "SELECT * FROM m0")
 _add("distgrid", "distgrid,2,2 m0", "m0", "SELECT * FROM m0 WHERE x < 4 AND y < 4")
 _PART = "part::VARCHAR AS part, count(*) AS n, round(sum(v), 2) AS v"

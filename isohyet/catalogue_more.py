@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isohyet.catalogue import _QUERIES, _SQL, COLUMNS, _add, _sql
+from isohyet.catalogue import _QUERIES, _SQL, COLUMNS, _add, _listing, _sql
 from isohyet.plans import adapters
 from isohyet.plans.adapters import EM_GRID, em_sql
 
@@ -72,7 +72,7 @@ _P = "SELECT '{n}' AS var, h.k AS level, ts, x, y, {v} AS v FROM low, " + _LEVEL
 _add("pressure_hl", "pressure_hl atm", "atm", _P.format(n="pressure", v="a + b * ps", w="TRUE"))
 _add("pressure_fl", "pressure_fl atm", "atm", _P.format(n="pressure", v="(a + b * ps + a2 + b2 * ps) / 2", w="k < 5"))
 _add("deltap", "deltap atm", "atm", _P.format(n="deltap", v="a2 + b2 * ps - (a + b * ps)", w="k < 5"))
-_add("vertwind", "vertwind -merge atm -pressure_fl atm", "atm", f"SELECT 'wz' AS var, u.level, u.ts, u.x, u.y, omega / (9.80665 * ((a + b * ps + a2 + b2 * ps) / 2 / (287.05 * t * (1 + 0.608 * q)))) AS v FROM up u JOIN low USING (ts, x, y) JOIN {_LEVELS} ON h.k = u.level")
+_add("vertwind", "vertwind -merge atm -pressure_fl atm", "atm", f"SELECT 'wz' AS var, k AS level, l.ts, l.x, l.y, omega / (9.80665 * ((a + b * ps + a2 + b2 * ps) / 2 / (287.05 * t * (1 + 0.608 * q)))) AS v FROM low l JOIN {_LEVELS} ON h.k < 5 LEFT JOIN up u ON (u.ts, u.x, u.y, u.level) = (l.ts, l.x, l.y, h.k)")
 for _n, _a in (("gheight", ""), ("sealevelpressure", ""), ("cloudlayer", ""), ("uv2dv", ""), ("uv2dvl", ""), ("rotuvb", ",u,v"), ("mrotuvb", ""), ("mrotuv", "")):
     _add(_n, f"{_n}{_a} atm", "atm", None)
 _add("dv2uv", "dv2uv -uv2dv atm", "atm", None)
@@ -96,7 +96,7 @@ _add("imtocomplex", "imtocomplex m0", "m0", _PASS, pick=1)
 _add("complextopol", "complextopol m0 m1", "m0 m1", "SELECT a.var, a.level, a.ts, a.x, a.y, sqrt(a.v * a.v + b.v * b.v) AS v FROM m0 a JOIN m1 b USING (ts, x, y)")
 _add("enlargegrid", "enlargegrid,r8x8 -selindexbox,2,4,1,8 -setgrid,r8x8 m0", "m0", "SELECT var, level, ts, x, y, CASE WHEN x BETWEEN 1 AND 3 THEN v END AS v FROM m0")
 _add("intyear", "intyear,1996 -selyear,1995 li -selyear,1997 li", "li", "SELECT a.var, a.level, a.ts, a.x, a.y, (a.v + b.v) / 2 AS v FROM (SELECT * FROM li WHERE year(t) = 1995) a JOIN (SELECT * FROM li WHERE year(t) = 1997) b ON (a.var, a.level, a.x, a.y) = (b.var, b.level, b.x, b.y) AND strftime(a.t, '%m-%d') = strftime(b.t, '%m-%d')")
-for _n, _k in (("change_e5slm", "v"), ("change_e5lsm", "(l >= 0.5)::INT"), ("change_e5mask", "CASE WHEN l < 0.5 THEN 0 ELSE v END")):
+for _n, _k in (("change_e5slm", "l"), ("change_e5lsm", "(l >= 0.5)::INT"), ("change_e5mask", "CASE WHEN l < 0.5 THEN 0 ELSE v END")):
     _add(_n, f"{_n} m0 -gtc,0 -seltimestep,1 m1", "m0 m1", f"SELECT a.var, a.level, a.ts, a.x, a.y, {_k} AS v FROM m0 a JOIN (SELECT x, y, (v > 0)::INT AS l FROM m1 WHERE ts = 0) USING (x, y)")
 _add("eofcoeff", "eofcoeff -timmean m0 m0", "m0", "SELECT a.var || '_0' AS var, a.level, a.ts, 0 AS x, 0 AS y, sum(a.v * p.v) AS v FROM m0 a JOIN (SELECT x, y, avg(v) AS v FROM m0 GROUP BY ALL) p USING (x, y) GROUP BY a.var, a.level, a.ts")
 _add("eofcoeff3d", "eofcoeff3d -timmean m0 m0", "m0", "SELECT a.var, 0 AS level, a.ts, 0 AS x, 0 AS y, sum(a.v * p.v) AS v FROM m0 a JOIN (SELECT x, y, avg(v) AS v FROM m0 GROUP BY ALL) p USING (x, y) GROUP BY a.var, a.ts")
@@ -149,3 +149,9 @@ def _level(d: Any) -> Any:
     from pyspark.sql import functions as F
 
     return F.col("level") == 20.0
+
+for _n in ("outputcenter", "outputcenter2", "outputcentercpt"):
+    _listing(_n, f"{_n} li", "li", ["lon", "lat", "value"], "SELECT 18.0::DOUBLE + 36 * x AS lon, -81.0::DOUBLE + 18 * y AS lat, v AS value FROM li")
+for _n in ("outputbounds", "outputboundscpt", "outputtri"):
+    _listing(_n, f"{_n} m0", "m0", ["ts", "value"], "SELECT ts::BIGINT AS ts, round(v, 4) AS value FROM m0")
+_listing("outputvector", "outputvector atm", "atm", ["level", "lon", "lat", "speed", "direction"], "SELECT level::DOUBLE AS level, 45.0::DOUBLE * x AS lon, -78.75::DOUBLE + 22.5 * y AS lat, round(sqrt(u * u + v * v), 4) AS speed, round(degrees(atan2(v, u)), 4) AS direction FROM up")

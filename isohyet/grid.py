@@ -69,7 +69,9 @@ class Grid:
         return _corners(self.lons)
 
     def lat_edges(self) -> list[float]:
-        return [max(-90.0, min(90.0, e)) for e in (_corners(self.lats) if self.ny > 1 else [-90.0, 90.0])]
+        """Edges of the rows; the outer ones are at the pole if they come within two degrees of it."""
+        edges = _corners(self.lats) if self.ny > 1 else [-90.0, 90.0]
+        return [math.copysign(90.0, e) if abs(e) > 88 and k in (0, len(edges) - 1) else e for k, e in enumerate(edges)]
 
     def area(self, x: int, y: int, radius: float = EARTH_RADIUS) -> float:
         """Area between the cell's corners along great circles."""

@@ -260,3 +260,67 @@ def writerandom(d: Dataset, path: str | None = None) -> Dataset:
     if path:
         d.cells.orderBy(F.rand(1)).write.parquet(path)
     return d
+
+
+# Text of cells for plotting tools, and small tables
+
+for _n in ("outputcenter", "outputcenter2", "outputcentercpt"):
+    put(_n, lambda d: _printed(d, ["lon", "lat", "value"]))
+
+
+def _bounds(d: Dataset) -> DataFrame:
+    """Each cell's value with its four corners, counter-clockwise from the south-west."""
+    west, south = F.element_at(F.lit(d.grid.lon_edges()), F.col("x") + 1), F.element_at(F.lit(d.grid.lat_edges()), F.col("y") + 1)
+    east, north = F.element_at(F.lit(d.grid.lon_edges()), F.col("x") + 2), F.element_at(F.lit(d.grid.lat_edges()), F.col("y") + 2)
+    return d.cells.select("var", "level", "ts", F.col("v").alias("value"), F.array(west, east, east, west).alias("lons"), F.array(south, south, north, north).alias("lats"))
+
+
+for _n in ("outputbounds", "outputboundscpt", "outputtri"):
+    put(_n, _bounds)
+
+
+@op("outputvector")
+def outputvector(d: Dataset, u: str = "u", v: str = "v") -> DataFrame:
+    """Position, length and direction (degrees from east) of the vectors of two variables."""
+    own = d.cells.where(F.col("var").isin(u, v)).groupBy("level", "ts", "x", "y").agg(F.max(F.when(F.col("var") == u, F.col("v"))).alias("_u"), F.max(F.when(F.col("var") == v, F.col("v"))).alias("_v"))
+    return own.select("level", "ts", d.lon().alias("lon"), d.lat().alias("lat"), F.hypot("_u", "_v").alias("speed"), F.degrees(F.atan2("_v", "_u")).alias("direction"))
+
+
+@op("gridverify")
+def gridverify(d: Dataset) -> list[str]:
+    """What is wrong with a grid: centres out of order or repeated, latitudes beyond the poles."""
+    found = []
+    for name, values in (("lon", d.grid.lons), ("lat", d.grid.lats)):
+        steps = [b - a for a, b in zip(values, values[1:])]
+        if steps and not (all(s > 0 for s in steps) or all(s < 0 for s in steps)):
+            found.append(f"{name} centres are not in order")
+    if any(abs(v) > 90 for v in d.grid.lats):
+        found.append("latitudes lie beyond a pole")
+    return found
+
+
+@op("read_cmor_table", inputs=0)
+def read_cmor_table(spark, path: str) -> list[dict[str, str]]:  # noqa: ANN001
+    from isohyet.sources.tables import read_entries
+
+    return read_entries(path)
+
+
+@op("conv_cmor_table", inputs=0)
+def conv_cmor_table(spark, path: str) -> str:  # noqa: ANN001
+    """The entries as namelist text."""
+    from isohyet.sources.tables import read_entries
+
+    lines = []
+    for e in read_entries(path):
+        kind = next((k for k in e if k.endswith("_entry")), "global")
+        inner = " ".join(f'{k}="{v}"' for k, v in e.items() if not k.endswith("_entry"))
+        lines.append(f"&{kind.removesuffix('_entry')} name=\"{e.get(kind, '')}\" {inner} /")
+    return "\n".join(lines)
+
+
+@op("nmltest", inputs=0)
+def nmltest(spark, text: str) -> list[dict[str, str]]:  # noqa: ANN001
+    from isohyet.sources.tables import namelists
+
+    return namelists(text)

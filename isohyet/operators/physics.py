@@ -49,7 +49,7 @@ def in_situ(potential: Column, salt: Column, p: Column) -> Column:
     """
     s = salt - 35
     at = lambda k, n: BRYDEN[k][n] if n < len(BRYDEN[k]) else 0.0
-    power = [-(p * (at("a", n) + s * at("b", n) + p * (at("c", n) - at("d", n) * s * (n == 0) + p * at("e", n)))) for n in range(4)]
+    power = [-(p * (at("a", n) + s * at("b", n) + p * (at("c", n) - at("d", n) * s + p * at("e", n)))) for n in range(4)]
     power[1] = power[1] + 1
     t = (potential - power[0]) / power[1]
     value = power[0] + t * (power[1] + t * (power[2] + t * power[3])) - potential
@@ -223,10 +223,10 @@ def _eta(name: str) -> None:
         cols = cols.withColumn("_f", F.arrays_zip(F.array(*full(halves)).alias("p"), F.transform("_c", lambda c: c["v"]).alias("v")))
         each = cols.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(float(k + 1)).alias("z"), p.alias("p")) for k, p in enumerate(full(target))])))
         p = F.col("_z.p")
-        above, below = F.filter("_f", lambda c: c["0"] <= p), F.filter("_f", lambda c: c["0"] >= p)
+        above, below = F.filter("_f", lambda c: c["p"] <= p), F.filter("_f", lambda c: c["p"] >= p)
         a, b = F.get(above, F.size(above) - 1), F.get(below, F.lit(0))
-        share = F.coalesce((p - a["0"]) / F.nullif(b["0"] - a["0"], F.lit(0.0)), F.lit(0.0))
-        v = F.when(F.size(above) == 0, b["1"]).when(F.size(below) == 0, a["1"]).otherwise(a["1"] * (1 - share) + b["1"] * share)
+        share = F.coalesce((p - a["p"]) / F.nullif(b["p"] - a["p"], F.lit(0.0)), F.lit(0.0))
+        v = F.when(F.size(above) == 0, b["v"]).when(F.size(below) == 0, a["v"]).otherwise(a["v"] * (1 - share) + b["v"] * share)
         return new.of(each.withColumn("v", v).withColumn("level", F.col("_z.z")))
 
     put(name, run)
@@ -258,6 +258,10 @@ def mastrfu(d: Dataset) -> Dataset:
     return d.of(own.withColumn("v", v).withColumn("level", F.get("_c", F.col("_k"))["p"]))
 
 
+def _within(low: float, high: float) -> Callable[[Column], Column]:
+    return lambda c: (c["level"] >= low) & (c["level"] < high)
+
+
 @op("cloudlayer")
 def cloudlayer(d: Dataset, cover: str = "aclcac") -> Dataset:
     """High, mid and low cloud cover with random overlap: pressure levels above 440 hPa, to 680 hPa, below."""
@@ -265,7 +269,7 @@ def cloudlayer(d: Dataset, cover: str = "aclcac") -> Dataset:
     cols = d.cells.where(F.col("var") == cover).groupBy(*KT).agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("level", "v"))).alias("_c"))
     rows = []
     for code, low, high in bands:
-        own = F.filter("_c", lambda c, low=low, high=high: (c["level"] >= low) & (c["level"] < high))
+        own = F.filter("_c", _within(low, high))
         state = F.struct(F.lit(1.0).alias("clear"), F.lit(0.0).alias("last"))
         clear = F.aggregate(own, state, lambda s, c: F.struct((s["clear"] * (1 - F.greatest(s["last"], c["v"])) / (1 - F.least(s["last"], F.lit(1 - 1e-12)))).alias("clear"), c["v"].alias("last")), lambda s: s["clear"])
         rows.append(F.struct(F.lit(f"var{code}").alias("var"), (1 - clear).alias("v")))

@@ -48,8 +48,10 @@ def rows(frame) -> list[tuple]:
     """Rows in any order, numbers as floats, for comparison."""
     columns = sorted(frame.columns)
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return "~"
         if isinstance(v, str):
             return v
