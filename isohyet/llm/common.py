@@ -52,6 +52,16 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def least_hashed(df: DataFrame, hash_col: str, n: int) -> DataFrame:
+    """From large tables the rows under a bound of a 64-bit hash, of which some 2 n are expected.
+
+    Ordered and limited to n afterwards, they are a sample whose rows are the same at
+    any partitioning; what the tasks send to be merged does not grow with their number.
+    """
+    total = df.count()
+    return df.where(F.col(hash_col) < int(2**64 * 2 * n / total) - 2**63) if total > 4 * n else df
+
+
 def boxed(df: DataFrame, **own: Column) -> DataFrame:
     """(_row, own ...): all columns of df as one struct beside an operator's own, so that no names clash."""
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in own.items()])

@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.llm.common import least_hashed
 from isohyet.llm.license_texts import EVERYDAY, OTHERS, TEMPLATES
 
 BACKGROUND = 2000
@@ -112,11 +113,12 @@ class Model:
         return last, b
 
 
-def background(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """BACKGROUND lines of the least hash; a line for each document, chosen by hash, is offered."""
+def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """A line, chosen by hash, of each of at most BACKGROUND documents, those of the least hash."""
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: x.rlike("[A-Za-z]"))
     h = F.pmod(F.xxhash64(text_col), F.greatest(F.size(lines), F.lit(1))).cast("int")
-    one = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.get(lines, h).alias("line")).where("line is not null").select("h", F.substring("line", 1, 2000).alias("line"))
+    named = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), text_col)
+    one = least_hashed(named, "h", BACKGROUND).select("h", F.get(lines, h).alias("line")).where("line is not null").select("h", F.substring("line", 1, 2000).alias("line"))
     return [r["line"] for r in one.orderBy("h", "line").limit(BACKGROUND).collect()]
 
 
@@ -165,7 +167,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def families(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, licences, unconfirmed): for every row the confirmed line:family list, and the other predictions."""
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"))
-    found = scan(docs, Model(background(docs, text_col)), id_col, text_col)
+    found = scan(docs, Model(background(docs, id_col, text_col)), id_col, text_col)
     mark = F.struct("line", "family")
     lists = found.groupBy(id_col, "key").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), mark))).alias("sure"), F.array_sort(F.collect_set(F.when(~F.col("confirmed"), mark))).alias("unsure"))
     shown = lambda c: F.concat_ws(",", F.transform(c, lambda m: F.concat_ws(":", m["line"].cast("string"), m["family"])))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import stats
-from isohyet.llm.common import small_batches, written
+from isohyet.llm.common import least_hashed, small_batches, written
 from isohyet.llm.quality import matrix
 
 SAMPLE = 8192
@@ -107,7 +107,8 @@ class Forest:
 def fit(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Forest:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
     rows = written(counts.join(known, F.col(id_col) == F.col("_id")).select(F.col("_id").cast("string").alias("_id"), "_label", "counts"))
-    some = rows.where("_label = 1").orderBy(F.xxhash64("_id"), "_id", "counts").limit(SAMPLE).select("counts").collect()
+    good = rows.where("_label = 1").withColumn("_h", F.xxhash64("_id", "counts"))
+    some = least_hashed(good, "_h", SAMPLE).orderBy("_h", "_id", "counts").limit(SAMPLE).select("counts").collect()
     forest = Forest(ratios(np.array([r["counts"] for r in some], float).reshape(-1, len(stats.COUNTS))))
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
