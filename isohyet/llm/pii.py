@@ -5,8 +5,10 @@ for address parts, Luhn sums and digit counts. Every matched value is a protecte
 entity. Words within ``CONTEXT`` characters of its spans are candidates: with c documents
 where the word stands by the entity, n(t) with the word anywhere, n(e) with the entity and
 N in all, a word discloses c / n(t) of the certainty about the entity, and
-log2(c N / (n(t) n(e))) bits. Words over both thresholds, seen by the entity in at least
-``SUPPORT`` documents, are generalised, or removed when they all but name the entity,
+log2(c N / (n(t) n(e))) bits, of log2(N / n(e)) that name it. Words with a posterior of at least
+``POSTERIOR`` and bits of at least the share ``SHARE`` of all, seen by the entity in at least ``SUPPORT``
+documents, and in so many that their probability is below 2 ** -``EVIDENCE`` were the two independent
+(Chernoff's bound), are generalised, or removed when they all but name the entity,
 wherever they occur in the corpus.
 
 All counts are over all documents. Rows shuffled: context pairs, of which a span gives
@@ -40,7 +42,9 @@ TERM_KINDS = ["generalise", "remove"]
 CONTEXT = 64
 SUPPORT = 2
 POSTERIOR = 0.5
-BITS = 6.0
+#: Of the bits that name the entity; what it asks is at most POSTERIOR for entities in up to a quarter of all documents.
+SHARE = 0.5
+EVIDENCE = 10.0
 REMOVE_AT = 0.9
 BROADCAST_ROWS = 200_000
 #: A term: a maximal run of at least this many letters, in lower case.
@@ -130,9 +134,10 @@ def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     else:
         with_term = tokens.groupBy("term").agg(F.count("*").alias("with_term")).join(candidates, "term")
     scored = pairs.join(with_term, "term").join(entities, "entity")
-    posterior = F.col("together") / F.col("with_term")
-    bits = F.log2(posterior * F.lit(float(total)) / F.col("with_entity"))
-    over = scored.select("term", posterior.alias("posterior"), bits.alias("bits")).where((F.col("posterior") >= POSTERIOR) & (F.col("bits") >= BITS))
+    p, q = F.col("together") / F.col("with_term"), F.col("with_entity") / F.lit(float(total))
+    told = (p >= POSTERIOR) & (q < 1) & (F.log2(p / q) >= -F.log2(q) * SHARE)
+    against = F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
+    over = scored.where(told & (F.col("with_term") * (p * F.log2(p / q) + against) >= EVIDENCE)).select("term", p.alias("posterior"))
     return written(over.groupBy("term").agg(F.max("posterior").alias("posterior")).select("term", F.when(F.col("posterior") >= REMOVE_AT, "remove").otherwise("generalise").alias("kind")))
 
 

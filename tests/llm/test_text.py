@@ -71,6 +71,15 @@ def test_terms_that_name_an_entity_go(spark):
     assert pii.sanitise(docs(spark, plain)).columns[:3] == ["doc_id", "text", "lang"]
 
 
+def test_terms_of_an_entity_that_many_documents_hold_go(spark):
+    """A third of all documents share an address; the word beside it is in no other document."""
+    plain = [f"plain words number {i} about weather and harvest" for i in range(20)]
+    known = [f"note {i} of zanzibarius about weather, desk@mail.org" for i in range(10)]
+    got = [r["text"] for r in pii.sanitise(docs(spark, plain + known)).orderBy("doc_id").collect()]
+    assert got[:20] == plain
+    assert all("zanzibarius" not in t and t.endswith("about weather, [email]") for t in got[20:])
+
+
 def test_pii_of_nothing(spark):
     assert pii.with_spans(docs(spark, [])).count() == 0
 
