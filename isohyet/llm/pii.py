@@ -2,20 +2,22 @@
 
 In SQL functions only. Base spans are the leftmost matches of four patterns, checked
 for address parts, Luhn sums and digit counts. Every matched value is a protected
-entity. Words within ``CONTEXT`` characters of its spans are candidates: with c documents
-where the word stands by the entity, n(t) with the word anywhere, n(e) with the entity and
-N in all, a word discloses c / n(t) of the certainty about the entity, and
-log2(c N / (n(t) n(e))) bits, of log2(N / n(e)) that name it. Words with a posterior of at least
-``POSTERIOR`` and bits of at least the share ``SHARE`` of all, seen by the entity in at least ``SUPPORT``
-documents, and in so many that their probability is below 2 ** -``EVIDENCE`` were the two independent
-(Chernoff's bound), are generalised, or removed when they all but name the entity,
-wherever they occur in the corpus.
-
-All counts are over all documents. Rows shuffled: context pairs, of which a span gives
-a bounded number; per-document distinct words, joined to or pre-aggregated against
-the candidate words; and texts once, unless the documents with terms are few enough
-for the planner to broadcast. Candidate tables are broadcast only when counted to
-``BROADCAST_ROWS`` at most; beyond that words are counted before a sort-merge join.
+entity. Words are maximal runs of letters, marks and digits clear of base spans, in lower case,
+of any length. With c documents that hold both a word and the entity, n(t) with the word, n(e)
+with the entity and N in all, the word's posterior is c / n(t), and it tells
+log2(c N / (n(t) n(e))) of the log2(N / n(e)) bits that name the entity. A word discloses
+the entity if the posterior is at least ``POSTERIOR``, the bits are at least the share
+``SHARE`` of all, c is at least ``SUPPORT``, and so many documents in common have a
+probability below 2 ** -``EVIDENCE`` were the two independent (Chernoff's bound). Such words are
+generalised, or removed when they all but name the entity, wherever they occur in the corpus.
+
+All counts are over all documents and whole texts. A document's distinct words are written once.
+Words in more than max n(e) / POSTERIOR documents, entities of fewer than SUPPORT documents
+and pairs with n(t) > n(e) / POSTERIOR can't reach the thresholds and give no pairs.
+Rows shuffled: words and pairs pre-aggregated; the words of documents with shared
+entities where the vocabulary is not broadcast; and texts once, unless the terms found in documents
+are counted to ``BROADCAST_FOUND`` at most. Vocabularies are broadcast only when counted to
+``BROADCAST_ROWS`` at most.
 
 Defined results: null texts are empty and have no spans; rows equal in id and text get
 equal results each; a null id is kept; other columns are not looked at by ``spans``,
@@ -39,7 +41,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 TERM_KINDS = ["generalise", "remove"]
 
-CONTEXT = 64
 SUPPORT = 2
 POSTERIOR = 0.5
 #: Of the bits that name the entity; what it asks is at most POSTERIOR for entities in up to a quarter of all documents.
@@ -47,8 +48,10 @@ SHARE = 0.5
 EVIDENCE = 10.0
 REMOVE_AT = 0.9
 BROADCAST_ROWS = 200_000
-#: A term: a maximal run of at least this many letters, in lower case.
-LETTERS = 4
+#: Found terms, summed over documents, that may be broadcast to the texts; beyond, texts are shuffled to them.
+BROADCAST_FOUND = 1_000_000
+#: A term: a maximal run of these, in lower case.
+LETTER = r"\p{L}\p{M}\p{N}"
 
 SPAN = "struct<kind:string,start:int,end:int>"
 NONE = f"cast(array() as array<{SPAN}>)"
@@ -97,53 +100,52 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
+    return F.split(F.lower(text), rf"[^{LETTER}]+")
 
 
-def _contexts(text: Column, spans: Column) -> Column:
-    """Distinct (entity, term) of a document; entity: a hash of kind and value."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    term = rf"(?<=[^\p{{L}}])\p{{L}}{{{LETTERS},}}(?=[^\p{{L}}])"
+def _clear_words(text: Column, spans: Column) -> Column:
+    """Distinct words of a text that touch no base span, joined by blanks; a string takes less memory to write than an array."""
+    cut = "\ue000"  # stands for a span, as a character of the words beside it
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    plain = F.translate(text, cut, " ")
 
-    def near(s: Column) -> Column:
-        value = F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        first = F.greatest(s["start"] + 2 - CONTEXT, F.lit(1))
-        before = F.substring(padded, first, s["start"] + 2 - first)
-        after = F.substring(padded, s["end"] + 2, F.lit(CONTEXT))
-        terms = F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(F.concat(a, x, b)), F.lit(term), F.lit(0)) for a, x, b in ((F.lit(""), before, F.lit(" ")), (F.lit(" "), after, F.lit("")))]))
-        return F.transform(terms, lambda t: F.struct(F.xxhash64(s["kind"], value).alias("entity"), t.alias("term")))
+    def step(s: Column, span: Column) -> Column:
+        gap = F.substring(plain, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap, F.lit(cut)).alias("out"))
 
-    return F.array_distinct(F.flatten(F.transform(spans, near)))
+    left = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), state, step, lambda s: F.concat(s["out"], F.substring(plain, s["at"] + 1, F.length(plain))))
+    words = F.when(F.size(spans) > 0, F.split(F.lower(left), rf"[^{LETTER}{cut}]+")).otherwise(_words(text))
+    return F.array_join(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.contains(cut))), " ")
 
 
 def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, kind): words that give an entity away, with what is done to them; a written table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(text.alias("text"))
-    total = own.count()
-    with_spans = own.where(F.col("text").contains("@") | F.col("text").rlike("[0-9]")).select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    pairs = written(with_spans.select(F.explode(_contexts(F.col("text"), F.col("spans"))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("together")))
     value = lambda s: F.xxhash64(s["kind"], F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
-    entities = with_spans.select(F.explode(F.array_distinct(F.transform("spans", value))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    pairs = pairs.where(F.col("together") >= SUPPORT)
-    candidates = written(pairs.select("term").distinct())
-    n = candidates.count()
-    tokens = own.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    if n <= BROADCAST_ROWS:
-        with_term = tokens.join(F.broadcast(candidates), "term").groupBy("term").agg(F.count("*").alias("with_term"))
-    else:
-        with_term = tokens.groupBy("term").agg(F.count("*").alias("with_term")).join(candidates, "term")
-    scored = pairs.join(with_term, "term").join(entities, "entity")
+    based = docs.select(text.alias("text")).select("text", base_spans(F.col("text")).alias("spans"))
+    own = written(based.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform("spans", value)).alias("entities"), _clear_words(F.col("text"), F.col("spans")).alias("words")))
+    holders = own.where(F.size("entities") > 0)
+    held = holders.select("row", F.explode("entities").alias("entity"))
+    entities = written(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= SUPPORT))
+    total, known, most = own.count(), *entities.agg(F.count("*"), F.max("with_entity")).first()
+    most = (most or 0) / POSTERIOR
+    few = F.broadcast if known <= BROADCAST_ROWS else lambda df: df
+    shared = held.join(few(entities), "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "with_entity")).alias("shared"))
+    vocabulary = written(own.select(F.explode(F.split("words", " ")).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term").between(SUPPORT, most)))
+    few = F.broadcast if vocabulary.count() <= BROADCAST_ROWS else lambda df: df
+    words = holders.select("row", "words").join(shared, "row").select("shared", F.explode(F.split("words", " ")).alias("term")).join(few(vocabulary), "term")
+    near = F.filter("shared", lambda e: F.col("with_term") * POSTERIOR <= e["with_entity"])
+    pairs = words.select("term", "with_term", F.explode(near).alias("e")).groupBy("term", "with_term", "e.entity", "e.with_entity").agg(F.count("*").alias("together"))
     p, q = F.col("together") / F.col("with_term"), F.col("with_entity") / F.lit(float(total))
-    told = (p >= POSTERIOR) & (q < 1) & (F.log2(p / q) >= -F.log2(q) * SHARE)
+    told = (p >= POSTERIOR) & (F.col("together") >= SUPPORT) & (q < 1) & (F.log2(p / q) >= -F.log2(q) * SHARE)
     against = F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
-    over = scored.where(told & (F.col("with_term") * (p * F.log2(p / q) + against) >= EVIDENCE)).select("term", p.alias("posterior"))
+    over = pairs.where(told & (F.col("with_term") * (p * F.log2(p / q) + against) >= EVIDENCE)).select("term", p.alias("posterior"))
     return written(over.groupBy("term").agg(F.max("posterior").alias("posterior")).select("term", F.when(F.col("posterior") >= REMOVE_AT, "remove").otherwise("generalise").alias("kind")))
 
 
 def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     """Spans of the terms (term, kind) in a text, clear of base spans."""
-    word = rf"\p{{L}}{{{LETTERS},}}"
+    word = rf"[{LETTER}]+"
     between = F.split(text, word, -1)
     found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("spans"))
@@ -169,6 +171,8 @@ def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
     few = terms.count() <= BROADCAST_ROWS
     hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key2").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
+    found = hits.agg(F.sum(F.size("_found") + 2)).first()[0] or 0
+    hits = F.broadcast(hits) if found <= BROADCAST_FOUND else hits.hint("merge")
     joined = keyed.join(hits, (F.col("_key") == F.col("_key2")) & F.col("_of").eqNullSafe(F.col("_id")), "left")
     found = F.coalesce(F.col("_found"), F.expr("cast(array() as array<struct<term:string,kind:string>>)"))
     based = joined.withColumn("_base", base_spans(F.col("_text")))

@@ -80,6 +80,15 @@ def test_terms_of_an_entity_that_many_documents_hold_go(spark):
     assert all("zanzibarius" not in t and t.endswith("about weather, [email]") for t in got[20:])
 
 
+def test_terms_far_from_the_entity_short_and_with_digits_go(spark):
+    far = " ".join(["about weather"] * 30)
+    plain = [f"plain words about weather {k}" for k in range(200)]
+    known = [f"Łuk j77 report {far} by a.b@mail.org" for _ in range(2)]
+    got = [r["text"] for r in pii.sanitise(docs(spark, plain + known)).orderBy("doc_id").collect()]
+    assert got[:200] == plain
+    assert got[200] == got[201] == f"   {far}  [email]"  # one blank a removed word
+
+
 def test_pii_of_nothing(spark):
     assert pii.with_spans(docs(spark, [])).count() == 0
 
