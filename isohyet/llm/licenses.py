@@ -12,10 +12,14 @@ so that documents without one pass at once.
 A prediction is confirmed where a template of the family shares at least ``CONFIRM`` of its
 3-grams (shorter ones: words) with the paragraph.
 
+Besides single lines, blocks of consecutive non-blank lines are scored as one paragraph, as
+licence texts are wrapped. A block counts, at its first line, where it is confirmed
+and none of its lines is confirmed for the same family by itself.
+
 Bounds: BACKGROUND paragraphs (those of the least hash) reach the driver; the table of
 weights has as many rows as the templates have n-grams, whatever the corpus, and is broadcast.
 
-Defined results: paragraphs are the lines of a text, numbered from 0; null and empty texts
+Defined results: paragraphs are the lines and blocks of a text, numbered by line from 0; a block tells one family; null and empty texts
 have none; rows without any family have empty lists; repeated rows are scored
 separately; other columns are not looked at; an empty table gives no rows (the model then
 has no background but the fixed sentences).
@@ -28,6 +32,7 @@ import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import least_hashed
@@ -132,17 +137,39 @@ def _ngrams(tokens: Column) -> Column:
     return F.array_distinct(F.transform(F.array(tokens), lambda t: F.concat(of(t, 1), of(t, 2), of(t, 3)))[0])
 
 
+UNIT = "array<struct<line:int,last:int,paragraph:string>>"
+_GAP = r"\n(?:[^\S\n]*\n)+"  # blank lines with the line ends around them
+
+
+def _blocks(text: Column, wanted) -> Column:  # noqa: ANN001
+    """(line, last, paragraph) of the wanted runs of two and more non-blank lines."""
+    padded = F.concat(F.lit("\n\n"), text)
+    breaks = lambda c: F.length(F.regexp_replace(c, r"[^\n]", ""))
+    pairs = F.zip_with(F.regexp_extract_all(padded, F.lit(_GAP), F.lit(0)), F.slice(F.split(padded, _GAP, -1), 2, F.size(F.split(padded, _GAP, -1))), lambda g, b: F.struct(g.alias("gap"), b.alias("block")))
+    start = F.struct(F.lit(-2).alias("at"), F.expr(f"cast(array() as {UNIT})").alias("found"))
+
+    def step(state: Column, pair: Column) -> Column:
+        line = state["at"] + breaks(pair["gap"])
+        last = line + breaks(pair["block"])
+        one = F.array(F.struct(line.alias("line"), last.alias("last"), pair["block"].alias("paragraph")))
+        return F.struct(last.alias("at"), F.when((last > line) & wanted(pair["block"]), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(pairs, start, step, lambda s: s["found"])
+
+
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, line, family, probability, overlap, confirmed) of every licence paragraph; key: xxhash64 of the text."""
+    """(id, key, line, family, probability, overlap, confirmed) of every licence line or block; key: xxhash64 of the text."""
     spark = docs.sparkSession
     whole = sorted({max(re.findall("[a-z0-9]+", a), key=lambda w: (w not in EVERYDAY, len(w))) for a in model.anchors})
     anchor = F.lit(whole) if whole else F.array().cast("array<string>")
     parts = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
     some = docs.where(F.arrays_overlap(parts(F.col(text_col)), anchor))
-    lines = some.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "paragraph"))
-    lines = lines.where(F.arrays_overlap(parts(F.col("paragraph")), anchor))
-    tokens = F.regexp_extract_all(F.lower("paragraph"), F.lit(WORD), F.lit(0))
-    found = lines.select("row", "id", "key", "line", F.explode(_ngrams(tokens)).alias("gram"))
+    wanted = lambda c: F.arrays_overlap(parts(c), anchor)
+    single = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, n: F.struct(n.alias("line"), n.alias("last"), x.alias("paragraph"))), lambda u: wanted(u["paragraph"]))
+    numbered = some.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.concat(single, _blocks(F.col(text_col), wanted)).alias("units"))
+    units = numbered.select("row", "id", "key", F.explode("units").alias("u"))  # in a step of its own: rows are numbered before it
+    tokens = F.regexp_extract_all(F.lower("u.paragraph"), F.lit(WORD), F.lit(0))
+    found = units.select("row", "id", "key", "u.line", "u.last", F.explode(_ngrams(tokens)).alias("gram"))
 
     n, classes = len(model.shapes), [UNKNOWN, *model.families]
     table = []
@@ -152,16 +179,20 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             table.append((g, w + [float(g in s) for _, s in model.shapes]))
     weights = spark.createDataFrame(table, "gram string, w array<double>")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(classes) + n)]
-    by = found.join(F.broadcast(weights), "gram").groupBy("row", "id", "key", "line").agg(*sums)
+    by = found.join(F.broadcast(weights), "gram").groupBy("row", "id", "key", "line", "last").agg(*sums)
     logits = F.array(*[F.col(f"s{k}") + float(model.bias[k]) for k in range(len(classes))])
     top = F.array_max(logits)
     total = F.aggregate(F.transform(logits, lambda z: F.exp(z - top)), F.lit(0.0), lambda a, z: a + z)
     names = F.lit(classes)
     overlap = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"s{len(classes) + j}") / len(s) for j, (f, s) in enumerate(model.shapes) if f == c]) for c in classes])
     best = F.array_position(logits, top).cast("int")
-    scored = by.select("id", "key", "line", F.element_at(names, best).alias("family"), (1 / total).alias("probability"), F.element_at(overlap, best).alias("overlap"))
+    scored = by.select("row", "id", "key", "line", "last", F.element_at(names, best).alias("family"), (1 / total).alias("probability"), F.element_at(overlap, best).alias("overlap"))
     told = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
-    return told.select(F.col("id").alias(id_col), "key", "line", "family", "probability", "overlap", (F.col("overlap") >= CONFIRM).alias("confirmed"))
+    told = told.withColumn("confirmed", F.col("overlap") >= CONFIRM)
+    alone = F.collect_list(F.when(F.col("confirmed") & (F.col("line") == F.col("last")), F.col("line"))).over(W.partitionBy("row", "family"))
+    block = F.col("confirmed") & ~F.exists("alone", lambda x: x.between(F.col("line"), F.col("last")))
+    told = told.withColumn("alone", alone).where((F.col("line") == F.col("last")) | block)
+    return told.select(F.col("id").alias(id_col), "key", "line", "family", "probability", "overlap", "confirmed")
 
 
 def families(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,6 +100,18 @@ def test_licences(spark):
     assert licenses.families(docs(spark, [])).count() == 0
 
 
+def test_licences_wrapped_over_lines(spark):
+    import textwrap
+
+    from isohyet.llm.license_texts import TEMPLATES
+
+    longest = {f: max((t for g, t in TEMPLATES if g == f), key=len) for f in ("MIT", "GPL")}
+    mit, gpl = (textwrap.wrap(longest[f], 40) for f in ("MIT", "GPL"))
+    texts = ["\n".join(mit), "Some prose.\n \n" + "\n".join("# " + x for x in gpl) + "\n\nMore prose.", "\n\n" + "\n".join(mit + ["", *gpl]), "He lost his\nlicense and went\nto Apache county."]
+    got = {r["doc_id"]: r["licences"] for r in licenses.families(docs(spark, texts)).collect()}
+    assert got == {0: "0:MIT", 1: "2:GPL", 2: f"2:MIT,{len(mit) + 3}:GPL", 3: ""}
+
+
 def count_slowly(t):
     words = t.encode().split()
     windows = {}
