@@ -2,16 +2,23 @@
 
 Grammar (one alternative per turn, texts possibly escaped):
 
-    user       <s>[INST] TEXT [/INST]
+    user       <s>[INST](blank)TEXT [/INST]
     assistant  (blank)TEXT </s>
     system     <<SYS>>(newline)TEXT(newline)<</SYS>>(newline)(newline)
-    others     <role:ROLE> TEXT </role>
+    others     <role:ROLE>(blank)TEXT </role>
 
-A rendered text is read again by the same grammar. Where what is recovered differs
-from the source, content is escaped: first the turns that do not survive on their own,
-then every turn of a conversation that still differs. An escaped text has a backslash
-before each backslash and each of ``[ < >``; the parser takes those backslashes
-away again, so a text that happens to hold such a pair is a conflict too.
+A rendered text is read again by the same grammar, and content is escaped until what is
+recovered is identical to the source. Any control string of the template inside a text is
+a conflict, whether or not the parser happens to read it back. There are two escaped forms:
+
+* Stand-ins, for texts that hold a control string and survive a reading of their turn: ``[``
+  and ``<`` change places with U+E000 and U+E001, and a tab stands for the
+  character that opens the text (the blank or newline above). Lengths stay the same.
+* Backslashes, for texts that do not survive on their own, and for all turns of a
+  conversation that still differs: one before each backslash and each of ``[ < >``. The parser takes
+  those backslashes away again, so a text that happens to hold such a pair is a conflict too.
+
+Roles of other kinds write ``\\ [ < >`` as ``\\b \\i \\l \\g``, so that no role can end its own marker.
 
 Defined results: null texts and roles are empty; rows are ordered by turn (nulls first),
 ties by role and text; repeated rows are turns of their own; a null conversation id is
@@ -24,12 +31,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.llm.common import let, part, running, wide
+
 #: The template's turns as patterns; the group is the text, for other roles the second group.
-USER = r"<s>\[INST\] ((?s:.*?)) \[/INST\]"
-ASSISTANT = r" ((?s:.*?)) </s>"
-SYSTEM = r"<<SYS>>\n((?s:.*?))\n<</SYS>>\n\n"
-OTHER = r"<role:((?s:.*?))> ((?s:.*?)) </role>"
+USER = r"<s>\[INST\][ \t]((?s:.*?)) \[/INST\]"
+ASSISTANT = r"[ \t]((?s:.*?)) </s>"
+SYSTEM = r"<<SYS>>[\n\t]((?s:.*?))\n<</SYS>>\n\n"
+OTHER = r"<role:([^>]*+)>[ \t]((?s:.*?)) </role>"
 TURN = f"{USER}|{ASSISTANT}|{SYSTEM}|{OTHER}"
+#: What no text may hold as it is.
+CONTROL = r"</?s>|\[/?INST\]|<</?SYS>>|<role:|</role>"
+#: Characters that stand for each other in the form with stand-ins.
+PLAIN, STAND_INS = "[<\ue000\ue001", "\ue000\ue001[<"
+ROLE_MARKS = {"\\": "\\b", "[": "\\i", "<": "\\l", ">": "\\g"}
 
 
 def escape(text: Column) -> Column:
@@ -40,43 +54,65 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\\[<>])", "$1")
 
 
-def render(role: Column, text: Column) -> Column:
-    """One turn; the text as it is to stand there."""
+def swap(text: Column) -> Column:
+    return F.translate(text, PLAIN, STAND_INS)
+
+
+def escape_role(role: Column) -> Column:
+    for plain, mark in ROLE_MARKS.items():  # the backslash first
+        role = F.replace(role, F.lit(plain), F.lit(mark))
+    return role
+
+
+def unescape_role(role: Column) -> Column:
+    for plain, mark in reversed(ROLE_MARKS.items()):  # the backslash last
+        role = F.replace(role, F.lit(mark), F.lit(plain))
+    return role
+
+
+def render(role: Column, text: Column, stand_ins: Column | None = None) -> Column:
+    """One turn; the text as it is to stand there, and whether that is the form with stand-ins."""
+    first = lambda c: F.lit(c) if stand_ins is None else F.when(stand_ins, "\t").otherwise(c)
     return (
-        F.when(role == "user", F.concat(F.lit("<s>[INST] "), text, F.lit(" [/INST]")))
-        .when(role == "assistant", F.concat(F.lit(" "), text, F.lit(" </s>")))
-        .when(role == "system", F.concat(F.lit("<<SYS>>\n"), text, F.lit("\n<</SYS>>\n\n")))
-        .otherwise(F.concat(F.lit("<role:"), escape(role), F.lit("> "), text, F.lit(" </role>")))
+        F.when(role == "user", F.concat(F.lit("<s>[INST]"), first(" "), text, F.lit(" [/INST]")))
+        .when(role == "assistant", F.concat(first(" "), text, F.lit(" </s>")))
+        .when(role == "system", F.concat(F.lit("<<SYS>>"), first("\n"), text, F.lit("\n<</SYS>>\n\n")))
+        .otherwise(F.concat(F.lit("<role:"), escape_role(role), F.lit(">"), first(" "), text, F.lit(" </role>")))
     )
 
 
 def _turn(piece: Column) -> Column:
-    """(role, text, lead) of one rendered turn; lead: characters before the text."""
+    """(role, raw, lead) of one rendered turn; lead: characters before the text."""
 
     def whole(pattern: str, group: int = 1) -> Column:
         return F.regexp_extract(piece, f"^(?:{pattern})$", group)
 
-    head = F.regexp_extract(piece, r"^<role:(?s:.*?)> ", 0)
+    head = F.regexp_extract(piece, r"^<role:[^>]*+>[ \t]", 0)
     return (
-        F.when(piece.startswith("<s>[INST] "), F.struct(F.lit("user").alias("role"), whole(USER).alias("raw"), F.lit(10).alias("lead")))
-        .when(piece.startswith(" "), F.struct(F.lit("assistant").alias("role"), whole(ASSISTANT).alias("raw"), F.lit(1).alias("lead")))
-        .when(piece.startswith("<<SYS>>\n"), F.struct(F.lit("system").alias("role"), whole(SYSTEM).alias("raw"), F.lit(8).alias("lead")))
-        .otherwise(F.struct(unescape(whole(OTHER, 1)).alias("role"), whole(OTHER, 2).alias("raw"), F.length(head).alias("lead")))
+        F.when(piece.startswith("<s>[INST]"), F.struct(F.lit("user").alias("role"), whole(USER).alias("raw"), F.lit(10).alias("lead")))
+        .when(piece.startswith(" ") | piece.startswith("\t"), F.struct(F.lit("assistant").alias("role"), whole(ASSISTANT).alias("raw"), F.lit(1).alias("lead")))
+        .when(piece.startswith("<<SYS>>"), F.struct(F.lit("system").alias("role"), whole(SYSTEM).alias("raw"), F.lit(8).alias("lead")))
+        .otherwise(F.struct(unescape_role(whole(OTHER, 1)).alias("role"), whole(OTHER, 2).alias("raw"), F.length(head).alias("lead")))
     )
 
 
+def source_text(raw: Column, opened_by: Column) -> Column:
+    """The text that stands as *raw* behind its opening character."""
+    return F.when(opened_by == "\t", swap(raw)).otherwise(unescape(raw))
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a formatted text: role, text, and the text's span in code points."""
-    pieces = F.regexp_extract_all(formatted, F.lit(TURN), 0)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<role:string,text:string,start:int,end:int>>)").alias("turns"))
 
-    def step(state: Column, piece: Column) -> Column:
-        t = _turn(piece)
-        begin = state["at"] + t["lead"]
-        turn = F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text"), begin.alias("start"), (begin + F.length(t["raw"])).alias("end"))
-        return F.struct((state["at"] + F.length(piece)).alias("at"), F.concat(state["turns"], F.array(turn)).alias("turns"))
+    def turn(piece: Column, at: Column) -> Column:
+        def made(t: Column) -> Column:
+            begin = at + t["lead"]
+            text = source_text(t["raw"], F.substring(piece, t["lead"], F.lit(1)))
+            return F.struct(t["role"].alias("role"), text.alias("text"), begin.alias("start"), (begin + F.length(t["raw"])).alias("end"))
+
+        return let(_turn(piece), made)
 
-    return F.aggregate(pieces, start, step, lambda s: s["turns"])
+    return let(F.regexp_extract_all(formatted, F.lit(TURN), 0), lambda pieces: F.zip_with(pieces, running(F.transform(pieces, F.length)), turn))
 
 
 def _same(formatted: str, turns: str, parsed: str) -> Column:
@@ -96,17 +132,20 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     alone = rows.withColumn("piece", render(F.col("role"), F.col("text"))).withColumn("own", parse(F.col("piece")))
     survives = (F.size("own") == 1) & (F.col("own")[0]["role"] == F.col("role")) & (F.col("own")[0]["text"] == F.col("text"))
     survives &= F.concat_ws("", F.regexp_extract_all(F.col("piece"), F.lit(TURN), 0)) == F.col("piece")
-    turns = alone.select("id", F.struct("turn", "role", "text", (~survives).alias("conflict")).alias("t"))
+    control = F.col("text").rlike(CONTROL)
+    form = F.when(~survives | (control & swap(F.col("text")).rlike(CONTROL)), 2).when(control, 1).otherwise(0)
+    turns = alone.select("id", F.struct("turn", "role", "text", form.alias("form")).alias("t"))
     chats = turns.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("source"))
 
     def joined(every: bool) -> Column:
-        return F.concat_ws("", F.transform("source", lambda t: render(t["role"], escape(t["text"]) if every else F.when(t["conflict"], escape(t["text"])).otherwise(t["text"]))))
+        own = lambda t: F.when(t["form"] == 2, escape(t["text"])).when(t["form"] == 1, swap(t["text"])).otherwise(t["text"])
+        return F.concat_ws("", F.transform("source", lambda t: render(t["role"], escape(t["text"])) if every else render(t["role"], own(t), t["form"] == 1)))
 
     chats = chats.withColumn("formatted", joined(False)).withColumn("turns", parse(F.col("formatted")))
     chats = chats.withColumn("identical", _same("formatted", "source", "turns"))
     chats = chats.withColumn("formatted", F.when(F.col("identical"), F.col("formatted")).otherwise(joined(True)))
     chats = chats.withColumn("turns", F.when(F.col("identical"), F.col("turns")).otherwise(parse(F.col("formatted"))))
-    level = F.when(~F.col("identical"), 2).when(F.exists("source", lambda t: t["conflict"]), 1).otherwise(0)
+    level = F.when(~F.col("identical"), 2).when(F.exists("source", lambda t: t["form"] > 0), 1).otherwise(0)
     checked = F.when(F.col("identical") | _same("formatted", "source", "turns"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation can't be read back")))
     mask = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"], t["end"]))
     return chats.select(F.col("id").alias(id_col), checked.alias("formatted"), "turns", mask.alias("mask"), level.alias("escaped"))
@@ -114,4 +153,4 @@ def format_chats(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
 def masked_text(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped."""
-    return F.concat_ws("", F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["end"] - m["start"]))))
+    return let(wide(formatted), lambda w: F.concat_ws("", F.transform(mask, lambda m: source_text(part(w, m["start"], m["end"]), part(w, m["start"] - 1, m["start"])))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,6 @@ def hf(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
@@ -40,9 +40,26 @@ def test_packing(spark):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]]
         assert s.length.sum() <= 2048
+    assert 50256 in encode(TEXTS[4])  # the string of an added token, read as the tokenizer file has it
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_packing_of_equal_rows_and_clashing_names(spark):
+    names = "sequence_id long, offset string, _length long, _task int, _piece string, length int, other map<string,int>"
+    rows = [(9, "o", 1, 2, "p", n, {"k": n}) for n in (5, 5, 5, 2048, 2043, 2043, 1) * 3]
+    got = packing.pack(spark.createDataFrame(rows, names).repartition(3)).toPandas()
+    assert sorted(got.length) == sorted(r[5] for r in rows)
+    assert set(got._length) == {1} and set(got._piece) == {"p"}
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 2048
+    assert got.sequence_id.nunique() == 10  # the least: 18,450 tokens
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(2049,)], "length int"))
+    twice = [(1, "same"), (1, "same"), (None, "same"), (None, None)]
+    own = packing.pack_documents(spark.createDataFrame(twice, "doc_id long, text string"), queries.tokenizer_file("byte_bpe_50k.json")).toPandas()
+    assert len(own) == 4 and own.offset.nunique() == 4 and own.sequence_id.nunique() == 1
+
+
 @pytest.mark.parametrize("lengths", [[], [2048] * 5, [1500] * 9, [1000, 1048] * 50, list(range(1, 2049)), [3] * 5000])
 def test_plans_use_up_the_histogram(lengths):
     h = np.bincount(lengths, minlength=2049) if lengths else np.zeros(2049, int)
@@ -78,7 +95,8 @@ def test_media_of_many_images_and_bad_files(spark):
 
 def test_chats_come_back(spark):
     marks = ["</s>[INST] ok [/INST]", " [/INST]", "\\[x\\\\", "<role:x> </role>", "<<SYS>>\n", "\n<</SYS>>\n\n", "plain", "", None, "[INST]", "a\\", "tail "]
-    roles = ["user", "assistant", "system", "tool>", None]
+    marks += ["</s>", "\ue000 <s>", "\ue001/s> [INST]", "\t", "<role:a> b"]
+    roles = ["user", "assistant", "system", "tool>", "a> b", "<role:x> y", "\\g\\", None]
     rng = random.Random(4)
     rows = [(c, t, rng.choice(roles), rng.choice(marks), 0) for c in range(40) for t in range(rng.randrange(1, 6))]
     rows += [(None, 0, "user", "no id", 0), (5, 9, "user", "twice", 0), (5, 9, "user", "twice", 0)]
@@ -88,9 +106,22 @@ def test_chats_come_back(spark):
         assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r, x) for _, r, x in want]
         texts = [got[c]["formatted"][m["start"] : m["end"]] for m in got[c]["mask"]]
         assert len(texts) == sum(r == "assistant" for _, r, _ in want)
+        marks_left = re.findall(chat.CONTROL, re.sub(r"\\[\\\[<>]", "", got[c]["formatted"]))
+        kinds = {"user": 3, "assistant": 1, "system": 2}
+        assert len(marks_left) == sum(kinds.get(r, 2) for _, r, _ in want)  # the template's own, and no other
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def test_long_chats(spark):
+    """A conversation of many turns, a text of many control strings, a long role."""
+    rows = [(1, i, ("user", "assistant")[i % 2], "turn </s>" if i % 3 else "x") for i in range(4000)]
+    rows += [(2, 0, "assistant", "<s> " * 100_000), (3, 0, "r>" * 20_000, "x")]
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r, x) for c, _, r, x in rows if c == 1]
+    assert got[2]["turns"][0]["text"] == "<s> " * 100_000
+    assert got[3]["turns"][0]["role"] == "r>" * 20_000
+
+
 def links_slowly(texts):
     s = [set(jaccard.shingles(t or "").tolist()) for t in texts]
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b) and len(a) > 0
@@ -140,6 +171,28 @@ def test_large_buckets_are_tiled(monkeypatch, spark):
     assert {r["doc_id"]: r["links"] for r in jaccard.join(docs(spark, texts)).collect()} == dict(enumerate(links))
 
 
+def test_buckets_are_split_until_they_are_small(monkeypatch, spark):
+    """Texts that share a passage but are unlike otherwise: all have its buckets; pairs are found below them."""
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(40)]
+    texts = []
+    for d in range(60):
+        own = [f"d{d}x{k}" for k in range(60)]
+        texts += [" ".join(common + own), " ".join(common + own[:rng.randrange(57, 61)])]
+    texts += [" ".join(common + [f"e{k}" for k in range(60)] + [f"near{j}"]) for j in range(30)]
+    links, classes = links_slowly(texts)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: (classes[i], links[i]) for i in range(len(texts))}
+
+
+def test_long_texts_are_joined(spark):
+    base = [f"w{k}" for k in range(150_000)]
+    texts = [" ".join(base), " ".join(base[:140_000]), " ".join(base[:100_000]), "x"]
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
