@@ -27,10 +27,12 @@ spans never touch base spans.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import boxed, written
+from isohyet.llm.common import boxed, let, part, running, wide, written
 
 #: The base patterns of the contract. Where a match can start inside a run of its own
 #: characters only behind another match, the start is pinned to the run's begin or that match.
@@ -53,24 +55,28 @@ BROADCAST_FOUND = 1_000_000
 #: A term: a maximal run of these, in lower case.
 LETTER = r"\p{L}\p{M}\p{N}"
 
+#: Stands for the characters of a base span; no letter, and a blank where a text holds it by itself.
+CUT = "\ue000"
+
 SPAN = "struct<kind:string,start:int,end:int>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
 def _located(text: Column, pattern: str, kind: str, valid) -> Column:  # noqa: ANN001
     """Spans of a pattern's valid matches: text between matches and matches take turns."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("spans"))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        span = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(valid(pair["match"]), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+        lengths = F.transform(found, F.length)
+
+        def placed(before: Column) -> Column:
+            begins = F.zip_with(before, gaps, lambda at, gap: at + gap)
+            made = F.zip_with(found, begins, lambda m, at: F.when(valid(m), F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"))))
+            return F.filter(made, lambda s: s.isNotNull())
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+        return let(running(F.zip_with(gaps, lengths, lambda g, n: g + n)), placed)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def _luhn(match: Column) -> Column:
@@ -100,30 +106,38 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), rf"[^{LETTER}]+")
+    """The words of a text; each is lowered by itself, as lower case can be longer and hold other characters."""
+    return F.transform(F.filter(F.split(text, rf"[^{LETTER}{CUT}]+"), lambda w: (w != "") & ~w.contains(CUT)), F.lower)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text, as long as before, with base spans as runs of CUT, which counts as a character of the words beside them."""
 
+    def of_kind(kind: str, plain: Column) -> Column:
+        def cut(own: Column) -> Column:
+            ends = F.concat(F.array(F.lit(0)), F.transform(own, lambda s: s["end"]))
+            at = F.zip_with(F.slice(ends, 1, F.size(own)), own, lambda e, s: F.struct(e.alias("after"), s["start"].alias("start"), s["end"].alias("end")))
+            pieces = lambda w: F.array_join(F.concat(F.transform(at, lambda s: F.concat(part(w, s["after"], s["start"]), F.repeat(F.lit(CUT), s["end"] - s["start"]))), F.array(part(w, F.element_at(ends, -1), F.length(plain)))), "")
+            return F.when(F.size(own) > 0, let(wide(plain), pieces)).otherwise(plain)
 
-def _clear_words(text: Column, spans: Column) -> Column:
-    """Distinct words of a text that touch no base span, joined by blanks; a string takes less memory to write than an array."""
-    cut = "\ue000"  # stands for a span, as a character of the words beside it
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    plain = F.translate(text, cut, " ")
+        return let(F.filter(spans, lambda s: s["kind"] == kind), cut)
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(plain, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap, F.lit(cut)).alias("out"))
+    out = F.translate(text, CUT, " ")
+    for kind in KINDS:
+        out = let(out, partial(of_kind, kind))
+    return F.when(F.size(spans) > 0, out).otherwise(F.translate(text, CUT, " "))
 
-    left = F.aggregate(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"]))), state, step, lambda s: F.concat(s["out"], F.substring(plain, s["at"] + 1, F.length(plain))))
-    words = F.when(F.size(spans) > 0, F.split(F.lower(left), rf"[^{LETTER}{cut}]+")).otherwise(_words(text))
-    return F.array_join(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.contains(cut))), " ")
+
+def _values(text: Column, spans: Column) -> Column:
+    """A hash of each span's kind and text in lower case."""
+    return F.when(F.size(spans) > 0, let(wide(text), lambda w: F.transform(spans, lambda s: F.xxhash64(s["kind"], F.lower(part(w, s["start"], s["end"])))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, kind): words that give an entity away, with what is done to them; a written table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    value = lambda s: F.xxhash64(s["kind"], F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
     based = docs.select(text.alias("text")).select("text", base_spans(F.col("text")).alias("spans"))
-    own = written(based.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(F.transform("spans", value)).alias("entities"), _clear_words(F.col("text"), F.col("spans")).alias("words")))
+    own = written(based.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(_values(F.col("text"), F.col("spans"))).alias("entities"), F.array_join(F.array_distinct(_words(_masked(F.col("text"), F.col("spans")))), " ").alias("words")))
     holders = own.where(F.size("entities") > 0)
     held = holders.select("row", F.explode("entities").alias("entity"))
     entities = written(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= SUPPORT))
@@ -145,22 +159,21 @@ def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _term_spans(text: Column, base: Column, terms: Column) -> Column:
     """Spans of the terms (term, kind) in a text, clear of base spans."""
-    word = rf"[{LETTER}]+"
-    between = F.split(text, word, -1)
-    found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("spans"))
-    chosen = F.map_from_entries(terms)
+    word = rf"[{LETTER}{CUT}]+"
+
+    def spans(masked: Column) -> Column:
+        found = F.regexp_extract_all(masked, F.lit(word), F.lit(0))
+        gaps = F.transform(F.split(masked, word, -1), F.length)
+
+        def placed(chosen: Column) -> Column:
+            lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, F.length), lambda g, n: g + n)
+            ends = F.zip_with(running(lengths), lengths, lambda at, n: at + n)
+            made = F.zip_with(found, ends, lambda m, e: let(chosen[F.lower(m)], lambda k: F.when(k.isNotNull(), F.struct(k.alias("kind"), (e - F.length(m)).alias("start"), e.alias("end")))))
+            return F.filter(made, lambda s: s.isNotNull())
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        kind = chosen[F.lower(pair["match"])]
-        clear = kind.isNotNull() & ~F.exists(base, lambda s: (s["start"] < end) & (s["end"] > begin))
-        span = F.array(F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(clear, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return let(F.map_from_entries(terms), placed)
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(terms) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(F.expr(NONE))
+    return F.when(F.size(terms) > 0, let(_masked(text, base), spans)).otherwise(F.expr(NONE))
 
 
 def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,7 +181,7 @@ def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     terms = disclosing(docs, id_col, text_col)
     keyed = boxed(docs, _of=docs[id_col], _text=text, _key=F.xxhash64(docs[id_col], text))
-    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
+    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(F.array_distinct(_words(F.translate("_text", CUT, " ")))).alias("term"))
     few = terms.count() <= BROADCAST_ROWS
     hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key2").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
     found = hits.agg(F.sum(F.size("_found") + 2)).first()[0] or 0
@@ -189,15 +202,18 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with the text cleaned: base spans and terms give way to marks, or to nothing."""
     text = F.col("_text")
     spans = F.array_sort(F.transform(F.concat("_base", "_terms"), lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[term]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, mark)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def cleaned(own: Column) -> Column:
+        before = running(F.transform(own, lambda s: s["end"]), largest=True)  # the last end so far; spans that begin earlier are within another
+
+        def pieces(w: Column) -> Column:
+            mark = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", "[term]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+            out = F.zip_with(before, own, lambda at, s: F.when(s["start"] >= at, F.concat(part(w, at, s["start"]), mark(s))).otherwise(""))
+            return F.array_join(F.concat(out, F.array(part(w, F.array_max(F.transform(own, lambda s: s["end"])), F.length(text)))), "")
+
+        return let(wide(text), pieces)
 
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    clean = let(spans, cleaned)
     changed = F.when(F.size("_base") + F.size("_terms") > 0, clean).otherwise(F.col("_row")[text_col])
     return _located_all(docs, id_col, text_col).select(*[changed.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import zlib
@@ -89,6 +88,73 @@ def test_terms_far_from_the_entity_short_and_with_digits_go(spark):
     assert got[200] == got[201] == f"   {far}  [email]"  # one blank a removed word
 
 
+def test_terms_whose_lower_case_is_longer_go(spark):
+    plain = [f"plain words about weather {k}" for k in range(200)]
+    known = ["by İzmirliyan a.b@mail.org", "again İzmirliyan a.b@mail.org", "İzmirliyan alone"]
+    got = [r["text"] for r in pii.sanitise(docs(spark, plain + known)).orderBy("doc_id").collect()]
+    assert got == [*plain, "by [term] [email]", "again [term] [email]", "[term] alone"]
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    many = " ".join(f"me{i}@host{i}.org is" for i in range(16000))
+    pii.sanitise(docs(spark, ["warm a@b.c"])).collect()
+    began = time.time()
+    got = [r["text"] for r in pii.sanitise(docs(spark, [many, "x"])).orderBy("doc_id").collect()]
+    assert got == [" ".join(["[email] is"] * 16000), "x"]
+    assert time.time() - began < 15  # 50 s where arrays grew by one element a step
+
+
+def disclosed_slowly(texts):
+    """Terms and kinds by counting every pair of word and entity."""
+    import itertools
+    from math import log2
+
+    import regex
+
+    held, words = [], []
+    for t in texts:
+        spans = [x.split(":") for x in base(t or "").split(",") if x]
+        own = [(k, int(a), int(b)) for k, a, b in spans]
+        held.append({(k, t[a:b].lower()) for k, a, b in own})
+        words.append({m.group().lower() for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t or "") if not any(a < m.end() and b > m.start() for _, a, b in own)})
+    n, best = len(texts), {}
+    entities, terms = set().union(*held), set().union(*words)
+    for e, w in itertools.product(entities, terms):
+        ne, nt = sum(e in h for h in held), sum(w in x for x in words)
+        c = sum(e in h and w in x for h, x in zip(held, words))
+        p, q = c / nt, ne / n
+        if c < 2 or p < 0.5 or q == 1 or log2(p / q) < 0.5 * -log2(q):
+            continue
+        if nt * (p * log2(p / q) + ((1 - p) * log2((1 - p) / (1 - q)) if p < 1 else 0)) >= 10:
+            best[w] = max(best.get(w, 0), p)
+    return {w: "remove" if p >= 0.9 else "generalise" for w, p in best.items()}
+
+
+def test_disclosing_terms_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    people = [(f"name{k}", f"n{k}@mail.org") for k in range(12)]
+    texts = [None, ""]
+    for i in range(300):
+        name, mail = rng.choice(people[:3] if i % 3 else people)
+        own = [rng.choice(["weather", "harvest", "river", f"x{rng.randrange(40)}"]) for _ in range(8)]
+        if i % 4 < 3:
+            own.insert(rng.randrange(8), name)
+        if i % 5 < 3:
+            own.insert(rng.randrange(8), mail)
+        texts.append(" ".join(own))
+    got = {r["term"]: r["kind"] for r in pii.disclosing(docs(spark, texts)).collect()}
+    assert got == disclosed_slowly(texts)
+    assert "generalise" in got.values()
+
+
+def test_personal_data_of_odd_rows(spark):
+    rows = [(1, "a@b.c x"), (1, "a@b.c x"), (None, "a@b.c x"), (None, None), (2, "\ue000a@b.c\ue000 +1 (386) 555-3733")]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "~") for r in got) == [(0, "[email] x"), (0, "~"), (1, "[email] x"), (1, "[email] x"), (2, "\ue000[email]\ue000 [phone]")]
+
+
 def test_pii_of_nothing(spark):
     assert pii.with_spans(docs(spark, [])).count() == 0
 
@@ -100,6 +166,45 @@ def test_licences(spark):
     assert licenses.families(docs(spark, [])).count() == 0
 
 
+def test_licences_are_those_of_a_slow_reading(spark, sf):
+    """Scores of the query's lines and blocks, made again in Python from the fitted weights."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    model = licenses.Model(licenses.background(frame))
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()] + [(-1, "x " * 200_000 + "Licensed under the MIT License."), (-2, None), (-2, None)]
+    odd = spark.createDataFrame(rows, "line long, text string")
+    got = sorted((r["line"], r["licences"]) for r in licenses.families(odd, "line").collect())
+    model = licenses.Model(licenses.background(odd, "line"))
+    shapes = {f: [s for g, s in model.shapes if g == f] for f in model.families}
+
+    def told(paragraph):
+        tokens = licenses.words(paragraph)
+        if not model.anchors & set(tokens):
+            return None
+        z = np.array([model.weights[model.grams[g]] for g in licenses.grams(tokens) if g in model.grams]).sum(axis=0) + model.bias
+        best = int(np.argmax(z))
+        own = licenses.grams(tokens)
+        if best and 1 / np.exp(z - z[best]).sum() >= model.threshold:
+            family = model.families[best - 1]
+            return family if max(len(s & own) / len(s) for s in shapes[family]) >= licenses.CONFIRM else None
+        return None
+
+    want = []
+    for i, text in rows:
+        lines, found = (text or "").split("\n"), set()
+        single = {(n, told(x)) for n, x in enumerate(lines) if text}
+        found |= {(n, f) for n, f in single if f}
+        start = 0
+        for n in range(len(lines) + 1):
+            if n == len(lines) or not lines[n].strip():
+                if n - start > 1 and (f := told("\n".join(lines[start:n]))) and not any((k, f) in found for k in range(start, n)):
+                    want.append((i, start, f))
+                start = n + 1
+        want += [(i, n, f) for n, f in found]
+    listed = sorted((i, ",".join(f"{n}:{f}" for k, n, f in sorted(want) if k == i)) for i, _ in rows)
+    assert got == listed
+    assert sum(bool(x) for _, x in got) > 5
+
+
 def test_licences_wrapped_over_lines(spark):
     import textwrap
 
@@ -199,13 +304,51 @@ def test_line_dedup_is_that_of_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == dedup_slowly(texts, 5)
 
 
+def covered_slowly(texts, least):
+    """Lines of runs of least words that begin earlier too, overlapping copies included, by all pairs of positions."""
+    seqs = [[(n, x, len(x.encode().split())) for n, x in enumerate(t.split("\n")) if x.encode().split()] for t in texts]
+    at = [(d, i) for d, s in enumerate(seqs) for i in range(len(s))]
+    gone = [set() for _ in texts]
+    by_line = {}
+    for d, i in at:
+        for e, j in by_line.get(seqs[d][i][1], []):
+            k = 0
+            while i + k < len(seqs[d]) and j + k < len(seqs[e]) and seqs[d][i + k][1] == seqs[e][j + k][1]:
+                k += 1
+            if sum(w for _, _, w in seqs[d][i : i + k]) >= least:
+                gone[d] |= {n for n, _, _ in seqs[d][i : i + k]}
+        by_line.setdefault(seqs[d][i][1], []).append((d, i))
+    return ["\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d]) for d, t in enumerate(texts)]
+
+
+def test_line_dedup_of_long_and_overlapping_repeats(spark):
+    """Repeats of 11 to 100 lines, copies that overlap themselves, many copies of one line."""
+    rng = random.Random(6)
+    source = [f"line {k} of {rng.randrange(9)}" if k % 3 else f"w{k}" for k in range(400)]
+    texts = []
+    for d in range(40):
+        a, n = rng.randrange(300), rng.randrange(11, 101)
+        texts.append("\n".join([f"own {d}", *source[a : a + n], f"end {d}", *rng.choices(["x", "y z", ""], k=6)]))
+    texts += ["\n".join(["a b"] * 30), "\n".join(["a b", "c"] * 25), "\n".join(["a b"] * 30), "z\n" * 200 + "a b", "\n".join(source)]
+    for least in (10, 7):
+        got = [r["text"] for r in linedup.dedup(docs(spark, texts), min_words=least).orderBy("doc_id").collect()]
+        assert got == covered_slowly(texts, least)
+
+
+def test_line_dedup_of_a_long_text_and_clashing_names(spark):
+    import time
+
+    run = "\n".join(f"line number {k} of the text" for k in range(20_000))
+    rows = spark.createDataFrame([(0, run, "mine"), (1, run + "\nend", "mine"), (None, run, "null")], "doc_id long, text string, _lost string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in linedup.dedup(rows).collect()}
+    assert time.time() - began < 60
+    assert got[None]["text"] == run and got[0]["text"] == "" and got[1]["text"] == "end"
+    assert got[1]["_lost"] == "mine" and got[1]["_lost_"] == list(range(20_000))
+
+
 def test_line_dedup_of_odd_rows(spark):
     run = "one two three four five six\nseven eight nine ten eleven twelve"
     got = linedup.dedup(docs(spark, [run, None, "", run, run + "\n\n" + run, run], [0, 1, 2, 3, 4, 0])).orderBy("doc_id", "text").collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [(0, run), (0, run), (1, None), (2, ""), (3, ""), (4, "")]
     assert linedup.dedup(docs(spark, [])).count() == 0
-
-
-def test_digest(spark, sf):
-    r = queries.op1_pii(spark, sf).first()
-    assert len(r["base_sha256"]) == len(hashlib.sha256(b"").hexdigest())
