@@ -7,13 +7,17 @@ squares and rounded down, and what is left over is packed best fit first, again
 repeated patterns: every step uses up a length or the room of a pattern, so
 the plan's size depends on the capacity only.
 
-Pieces get a number within their length, from a count for each (length, salt):
-no length, however frequent, meets in one task. A piece's number then tells its
-sequence and offset by a search in the plan.
+Pieces get a number within their length and the task that read them, and that task's count
+of a length a base, the number of pieces of that length in the tasks before. What meets in
+one task is a row a task for one length, however frequent the length. The piece's number
+then tells its sequence and offset by a search in the plan.
+
+Special strings in texts are what the tokenizer file makes of them: an added token's one id.
 
 Defined results: an empty table gives no rows; null texts are empty documents of the one
 closing id; a piece longer than the capacity is an error; equal rows are packed
-separately; other columns are not looked at.
+separately; other columns are not looked at by ``pack_documents``, and are kept by ``pack``, but
+those named sequence_id or offset give way.
 """
 
 from __future__ import annotations
@@ -22,22 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isohyet.llm.common import small_batches, written
 
 CAPACITY = 2048
 #: Lengths of this many kinds at most start triples; pairs cover all lengths.
 TRIPLE_STARTS = 64
-SALTS = 128
 _encoders: dict = {}
 
 
 def _encoder(path: str):
-    """The tokenizer's ids for a text, special strings being ordinary text.
+    """The ids that the tokenizer file gives a text without adding special tokens.
 
-    Merge ranks and splitting are read from the tokenizer file itself.
+    Merge ranks, splitting and added tokens are read from the file; added tokens that do
+    more than stand for their own string are left to the tokenizer itself.
     """
     if path not in _encoders:
         import json
@@ -48,18 +55,19 @@ def _encoder(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
-        if spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True}:
+        added = spec["added_tokens"]
+        plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added)
+        if plain and spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True}:
             printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
             byte = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printable)}
-            special = {a["content"] for a in spec["added_tokens"]}
+            special = {a["content"]: a["id"] for a in added}
             ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-            fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = lambda text: np.array(fast.encode_ordinary(text), np.uint32)
+            fast = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            _encoders[path] = lambda text: np.array(fast.encode(text, allowed_special="all"), np.uint32)
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
             _encoders[path] = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
     return _encoders[path]
 
@@ -160,61 +168,68 @@ def places(found: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ..
     return out
 
 
+def numbered(pieces: DataFrame, length_col: str = "length") -> DataFrame:
+    """(_piece, _task, _nth): the rows of pieces as structs, each with the task that read it and its number of that length there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), np.zeros(0, np.int64)
+        for b in batches:
+            length = b.column(0).field(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(length) and length.min() < 0:
+                raise ValueError("piece lengths must be positive")
+            seen = np.append(seen, np.zeros(max(0, int(length.max(initial=0)) + 1 - len(seen)), np.int64))
+            order = np.argsort(length, kind="stable")
+            own = length[order]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+            nth = np.empty(len(own), np.int64)
+            nth[order] = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own)))) + seen[own]
+            seen += np.bincount(own, minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(own), task, np.int32)), pa.array(nth)], names=["_piece", "_task", "_nth"])
+
+    boxed = pieces.select(F.struct(*[pieces[c] for c in pieces.columns]).alias("_piece"))
+    return boxed.mapInArrow(run, T.StructType([*boxed.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_nth", T.LongType())]))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """*pieces* with sequence_id and offset; pieces is read twice, so it should be a written table."""
+    """*pieces* with sequence_id and offset; pieces is read once, and written with its numbers."""
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in pieces.dtypes if not kind.startswith("map")]), F.lit(SALTS)).cast("int"))
-    counts = keyed.groupBy(length_col, "_salt").count().collect()  # at most capacity x SALTS rows
-    if any(not 0 < r[length_col] <= capacity for r in counts):
-        raise ValueError(f"piece lengths must be within 1 and {capacity}")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    own = written(numbered(pieces.select(*[pieces[c] for c in names]), length_col)).withColumn("_length", F.col(f"_piece.`{length_col}`").cast("long"))
+    counts = written(own.groupBy("_length", "_task").agg(F.count("*").alias("_n")))
     histogram = np.zeros(capacity + 1, np.int64)
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r[length_col], r["_salt"])):
-        base[r[length_col], r["_salt"]] = int(histogram[r[length_col]])
-        histogram[r[length_col]] += r["count"]
+    for r in counts.groupBy("_length").agg(F.sum("_n").alias("n")).limit(capacity + 2).collect():
+        if r["_length"] is None or not 0 < r["_length"] <= capacity:
+            raise ValueError(f"piece lengths must be within 1 and {capacity}")
+        histogram[r["_length"]] = r["n"]
     found = places(plan(histogram, capacity))
-    shared = spark.sparkContext.broadcast((base, found))  # bounded by the capacity
-    names = [f.name for f in pieces.schema]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    shared = spark.sparkContext.broadcast(found)  # bounded by the capacity
 
     def place(batches: Iterator) -> Iterator:
-        base, found = shared.value
-        cache: dict[int, tuple] = {}
+        found = shared.value
         for b in batches:
-            length, number = b["_length"].to_numpy(), b["_number"].to_numpy().copy()
+            length, number = b.column(1).to_numpy(), b.column(2).to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            salt = b["_salt"].to_numpy()
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
-            for own in np.split(order, cuts) if len(order) else []:
-                n = int(length[own[0]])
-                if n not in cache:
-                    rows = found[n]
-                    cache[n] = (np.array([r[0] for r in rows]), rows, np.array([base.get((n, s), 0) for s in range(SALTS)]))
-                firsts, rows, offsets_by_salt = cache[n]
-                k = number[own] + offsets_by_salt[salt[own]]
-                at = np.searchsorted(firsts, k, "right") - 1
+            for rows in np.split(order, cuts) if len(order) else []:
+                parts = found[int(length[rows[0]])]
+                at = np.searchsorted(np.array([p[0] for p in parts]), number[rows], "right") - 1
                 for a in np.unique(at):
                     of = at == a
-                    first, seq, times, offsets = rows[a]
-                    rel = k[of] - first
-                    sequence[own[of]] = seq + rel % times
-                    offset[own[of]] = np.array(offsets)[rel // times]
-            arrays = [b[c] for c in names] + [pa.array(sequence), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "sequence_id", "offset"])
-
-    numbered = numbering(keyed, [length_col, "_salt"], pieces)
-    return numbered.withColumn("_length", F.col(length_col).cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
-
-
-def numbering(keyed: DataFrame, keys: list[str], pieces: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
+                    first, seq, times, offsets = parts[a]
+                    rel = number[rows][of] - first
+                    sequence[rows[of]] = seq + rel % times
+                    offset[rows[of]] = np.array(offsets)[rel // times]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sequence), pa.array(offset)], names=["_piece", "sequence_id", "offset"])
 
-    plain = [c for c, kind in pieces.dtypes if not kind.startswith("map")]
-    return keyed.withColumn("_number", (F.row_number().over(W.partitionBy(*keys).orderBy(*plain)) - 1).cast("long"))
+    before = F.sum("_n").over(W.partitionBy("_length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.select(F.col("_length").alias("_l"), F.col("_task").alias("_t"), F.coalesce(before, F.lit(0)).alias("_base"))
+    based = own.join(base, (F.col("_length") == F.col("_l")) & (F.col("_task") == F.col("_t"))).select("_piece", "_length", (F.col("_base") + F.col("_nth")).alias("_number"))
+    kinds = T.StructType([own.schema["_piece"], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return based.mapInArrow(place, kinds).select(*[F.col("_piece")[c].alias(c) for c in names], "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut, checksum and pack documents; ids themselves are left out of the shuffled rows."""
     own = cut(df, tokenizer_path, 0, capacity, id_col, text_col)
-    return pack(written(own.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), capacity)
+    return pack(own.select(F.col(id_col), "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)
