@@ -6,7 +6,7 @@ bounded background sample of the corpus. A multinomial logistic regression over
 families and an unknown class is fitted on the driver, with an L1 penalty that keeps
 few weights: positives are templates, whole and damaged; negatives are the background
 and sentences on other things. The probability from which a family is told is
-calibrated on the negatives. A paragraph without an anchor has no feature and is unknown,
+calibrated on background lines, every fourth, that the weights are not fitted on. A paragraph without an anchor has no feature and is unknown,
 so that documents without one pass at once.
 
 A prediction is confirmed where a template of the family shares at least ``CONFIRM`` of its
@@ -16,7 +16,7 @@ Besides single lines, blocks of consecutive non-blank lines are scored as one pa
 licence texts are wrapped. A block counts, at its first line, where it is confirmed
 and none of its lines is confirmed for the same family by itself.
 
-Bounds: BACKGROUND paragraphs (those of the least hash) reach the driver; the table of
+Bounds: BACKGROUND lines of at most LONGEST_LINE characters (those of the least hash) reach the driver; the table of
 weights has as many rows as the templates have n-grams, whatever the corpus, and is broadcast.
 
 Defined results: paragraphs are the lines and blocks of a text, numbered by line from 0; a block tells one family; null and empty texts
@@ -39,6 +39,7 @@ from isohyet.llm.common import least_hashed
 from isohyet.llm.license_texts import EVERYDAY, OTHERS, TEMPLATES
 
 BACKGROUND = 2000
+LONGEST_LINE = 2000  # of the background, in characters; scanned lines are of any length
 DAMAGED = 24  # copies of each template with words lost, cut or put around
 FALSE_ALARMS = 0.001
 CONFIRM = 0.5
@@ -76,7 +77,8 @@ class Model:
             for x in set(w):
                 seen[x] = seen.get(x, 0) + 1
         self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in EVERYDAY and seen.get(w, 0) <= COMMON * max(1, len(plain))}
-        rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for w in plain] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
+        apart = [w for i, w in enumerate(plain) if i % 4 == 0]  # of these the threshold is taken, not the weights
+        rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for i, w in enumerate(plain) if i % 4] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
         fill = [x for w in plain for x in w][:20000] or [x for o in OTHERS for x in words(o)]
         for family, t in templates:
             rows += 8 * [(family, t)]
@@ -86,13 +88,17 @@ class Model:
                 rows.append((family, [rng.choice(fill) for _ in range(rng.randrange(8))] + kept + [rng.choice(fill) for _ in range(rng.randrange(8))]))
         vocabulary = sorted({g for _, t in templates for g in grams(t) if self.anchors & set(g.split())})
         self.grams = {g: k for k, g in enumerate(vocabulary)}
-        x = np.zeros((len(rows), len(vocabulary)))
-        for i, (_, w) in enumerate(rows):
-            x[i, [self.grams[g] for g in grams(w) if g in self.grams]] = 1
+        x = self._matrix([w for _, w in rows])
         y = np.array([classes.index(f) for f, _ in rows])
         self.weights, self.bias = self._fit(x, y, len(classes))
-        p = self._chance(x)
-        self.threshold = max(0.5, float(np.quantile(1 - p[y == 0, 0], 1 - FALSE_ALARMS)))
+        told = 1 - self._chance(self._matrix(apart))[:, 0]
+        self.threshold = max(0.5, float(np.quantile(told, 1 - FALSE_ALARMS))) if len(told) else 0.5
+
+    def _matrix(self, texts: list[list[str]]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.grams)))
+        for i, w in enumerate(texts):
+            x[i, [self.grams[g] for g in grams(w) if g in self.grams]] = 1
+        return x
 
     def _chance(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights + self.bias
@@ -119,11 +125,11 @@ class Model:
 
 
 def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """A line, chosen by hash, of each of at most BACKGROUND documents, those of the least hash."""
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: x.rlike("[A-Za-z]"))
+    """A whole line of at most LONGEST_LINE characters, chosen by hash, of each of at most BACKGROUND documents, those of the least hash."""
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: x.rlike("[A-Za-z]") & (F.length(x) <= LONGEST_LINE))
     h = F.pmod(F.xxhash64(text_col), F.greatest(F.size(lines), F.lit(1))).cast("int")
     named = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col, text_col).alias("h"), text_col)
-    one = least_hashed(named, "h", BACKGROUND).select("h", F.get(lines, h).alias("line")).where("line is not null").select("h", F.substring("line", 1, 2000).alias("line"))
+    one = least_hashed(named, "h", BACKGROUND).select("h", F.get(lines, h).alias("line")).where("line is not null")
     return [r["line"] for r in one.orderBy("h", "line").limit(BACKGROUND).collect()]
 
 
@@ -198,9 +204,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def families(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, licences, unconfirmed): for every row the confirmed line:family list, and the other predictions."""
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"))
-    found = scan(docs, Model(background(docs, id_col, text_col)), id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"))
+    found = scan(rows, Model(background(rows, "_of", "_text")), "_of", "_text")
     mark = F.struct("line", "family")
-    lists = found.groupBy(id_col, "key").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), mark))).alias("sure"), F.array_sort(F.collect_set(F.when(~F.col("confirmed"), mark))).alias("unsure"))
+    lists = found.groupBy("_of", "key").agg(F.array_sort(F.collect_set(F.when(F.col("confirmed"), mark))).alias("sure"), F.array_sort(F.collect_set(F.when(~F.col("confirmed"), mark))).alias("unsure"))
     shown = lambda c: F.concat_ws(",", F.transform(c, lambda m: F.concat_ws(":", m["line"].cast("string"), m["family"])))
-    joined = own.join(lists.withColumnRenamed(id_col, "_of"), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("key")), "left")
+    joined = own.join(lists, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("key")), "left")
     return joined.select(F.col("_id").alias(id_col), F.coalesce(F.size("sure"), F.lit(0)).cast("long").alias("n_licences"), shown("sure").alias("licences"), shown("unsure").alias("unconfirmed"))
