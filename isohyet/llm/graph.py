@@ -14,6 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round lets every node take the least root among its neighbours, hooks that
     onto its own root, and halves the paths. Rounds grow with the logarithm of a
     component's extent; a node with many neighbours is met by partial minima only.
+    Edges with a null end and loops join nothing, and their ends are no nodes by them; repeated
+    edges count once; no edges give no rows.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))

@@ -3,8 +3,11 @@
 Texts become sets of hashed five-word shingles; texts of one set are one class from the
 start. Every run samples, by a hash of run and token, ``CHOSEN`` tokens of each set on
 average: sets that share a sampled token share a bucket. Buckets over ``SMALL`` sets are
-split again by tokens sampled for the path so far. Runs repeat until a pair at the
-threshold is missed with a probability of at most 1 - ``RECALL``.
+split again, recursively, by what is sampled for the path so far: tokens at the second level, and
+places of the sets' sketches below it, of which similar sets share as large a part. A
+split that leaves over half of a bucket together tells nothing apart (near copies of one text); such
+a bucket is compared as it is, so that sizes halve at least and the recursion ends. Runs repeat until
+a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` at any depth.
 
 Buckets are brute-forced over 64-byte minhash sketches and leave a spanning forest of
 likely pairs only, never all pairs. The components of these forests are clusters, and
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm.common import boxed, small_batches, written
@@ -42,8 +45,8 @@ BLOCK = 1024
 SKETCH = 64
 #: Matching sketch bytes that make a pair likely: six standard deviations below the threshold.
 LIKELY = int(SKETCH * THRESHOLD - 6 * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD)))
-#: Rows of (id, cluster) that may be broadcast; beyond, a join by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (id, cluster), of some 120 bytes, that may be broadcast; beyond, a join by shuffle.
+BROADCAST_ROWS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _A = np.random.default_rng(11).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,10 +57,10 @@ np.seterr(over="ignore")
 
 
 def runs_for(threshold: float = THRESHOLD, recall: float = RECALL, chosen: float = CHOSEN) -> int:
-    """Runs until a pair at the threshold is in one bucket of the second level with that probability."""
-    shared = chosen * 2 * threshold / (1 + threshold)
-    missed = math.exp(-shared)
-    missed = math.exp(-shared * (1 - missed))
+    """Runs until a pair at the threshold is in one bucket with that probability, however deep the paths."""
+    shared, missed = chosen * 2 * threshold / (1 + threshold), 0.0
+    for _ in range(99):  # a level more each time, up to the limit
+        missed = math.exp(-shared * (1 - missed))
     return math.ceil(math.log(1 - recall) / math.log(missed))
 
 
@@ -222,16 +225,45 @@ def _pair_tiles(df: DataFrame, group: str, size: str, side: int) -> DataFrame:
     return df.withColumn("_t", F.explode(tiles)).withColumn("_x", F.col("_t.x")).withColumn("_y", F.col("_t.y")).withColumn("_of", F.col("_t.of")).drop("_t")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of two and more, with the bucket's size; a written table.
+
+    Large buckets are few; their sizes are brought to the rows, so that only rows of small ones are shuffled.
+    """
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    hot = sizes.where(F.col("size") > SMALL)
+    if hot.count() > BROADCAST_ROWS:
+        return written(rows.join(sizes, "bucket"))
+    flagged = rows.join(F.broadcast(hot.withColumnRenamed("size", "_hot")), "bucket", "left")
+    small = flagged.where("_hot is null").drop("_hot").join(sizes.where(F.col("size") <= SMALL), "bucket")
+    return written(flagged.where("_hot is not null").withColumnRenamed("_hot", "size").unionByName(small))
+
+
+def _places(threshold: float) -> Column:
+    """Buckets below ``bucket``: sampled places of the sketch with what stands there, as many shared as of tokens."""
+    bound = int(2**32 * CHOSEN * 2 / (1 + threshold) / SKETCH)
+    keys = F.transform(F.sequence(F.lit(1), F.lit(SKETCH)), lambda k: F.xxhash64(F.col("bucket"), k, F.substring("sketch", k, F.lit(1))))
+    return F.filter(keys, lambda h: F.pmod(h, F.lit(2**32)) < bound)
+
+
 def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a spanning forest of likely pairs of every bucket."""
     own = reps.where("n > 0").select("name", "n", "sketch", F.explode(F.arrays_zip("buckets", "splits")).alias("z"))
-    first = own.select("name", "n", "sketch", F.col("z.buckets").alias("bucket"), F.col("z.splits").alias("splits"))
-    sizes = first.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(first.join(sizes, "bucket"))
-    small = shared.where(F.col("size") <= SMALL).select("name", "n", "sketch", "bucket", "size")
-    split = shared.where(F.col("size") > SMALL).select("name", "n", "sketch", F.explode("splits").alias("bucket"))
-    split_sizes = split.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = _pair_tiles(small.unionByName(split.join(split_sizes, "bucket")), "bucket", "size", BLOCK)
+    level = _sized(own.select("name", "n", "sketch", F.col("z.buckets").alias("bucket"), F.col("z.splits").alias("splits")))
+    row = ["name", "n", "sketch", "bucket", "size"]
+    leaves = level.where(F.col("size") <= SMALL).select(*row)
+    large, keys = level.where(F.col("size") > SMALL), F.col("splits")
+    while not large.isEmpty():
+        split = large.select("name", "n", "sketch", F.col("bucket").alias("parent"), F.col("size").alias("of"), F.explode(keys).alias("bucket"))
+        level = _sized(split)
+        parts = level.groupBy("parent").agg(F.first("of").alias("of"), F.max("size").alias("most")).where(F.col("most") * 2 > F.col("of"))
+        together = written(parts.select(F.col("parent").alias("bucket")))
+        few = F.broadcast if together.count() <= BROADCAST_ROWS else lambda df: df
+        leaves = leaves.unionByName(large.join(few(together), "bucket", "left_semi").select(*row))
+        apart = level.join(few(together.withColumnRenamed("bucket", "parent")), "parent", "left_anti")
+        leaves = leaves.unionByName(apart.where(F.col("size") <= SMALL).select(*row))
+        large, keys = apart.where(F.col("size") > SMALL), _places(threshold)
+    buckets = _pair_tiles(leaves, "bucket", "size", BLOCK)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, start in _groups(batches, 3):
