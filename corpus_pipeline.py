@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
 All but the last return the columns of documents; n_chars follows a changed text. The
 last returns the pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+Defined results: null and empty texts fail the base rules and go; null ids are kept by all
+stages, and never name a class; of rows equal in id and text one stays, as of other
+copies; all further columns of documents pass through, whatever their names; an empty table
+gives empty results; without labels the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -18,6 +23,9 @@ from isohyet.llm.queries import tokenizer_file
 
 
 def _with_chars(docs: DataFrame) -> DataFrame:
+    """n_chars after the text, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -28,8 +36,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted; documents without a word left go."""
-    left = linedup.dedup(docs).where(~((F.size("_lost") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    return _with_chars(left.drop("_lost"))
+    lost = linedup.lost_column(docs)
+    left = linedup.dedup(docs).where(~((F.size(lost) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    return _with_chars(left.drop(lost))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
