@@ -14,27 +14,26 @@ their shortest sub-runs of that many words, begun or ended at each line; only th
 need names, so the depth never exceeds min_words lines and the rounds
 log2(min_words), whatever the corpus. A passage within one document counts too.
 
-Every group is reduced to its first position by a partial aggregate and joined back, so that
-no group meets in one task; joins on frequent lines can be split.
+Every group is reduced to its first position by a partial aggregate, and joined back from
+a written table, so that no group meets in one task: where a name is frequent, the join's other side
+is read in parts.
 
 Defined results: null texts have no lines and stay null; lines without a word are never
 deleted and do not part a run; rows equal in id and text are one document and
 lose the same lines; null ids come first; texts that lose nothing are unchanged; all
-other columns stay; an empty table gives no rows.
+other columns stay, one named as the column of lost lines too (``lost_column``); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import boxed, written
+from isohyet.llm.common import boxed, let, written
 
 MIN_WORDS = 10
-#: Line numbers to delete that may be broadcast to the texts; beyond, texts are shuffled to them.
+#: Line numbers to delete that may be broadcast to the texts, at some 30 bytes; beyond, texts are shuffled to them.
 BROADCAST_LINES = 1_000_000
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -96,17 +95,15 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     runs = written(_runs(level.select("doc", "key", "i", "words"), min_words))
     long = runs.where("size > 1")
     marked = [level.where((F.col("words") >= min_words) & (_at() > F.col("first"))).select("doc", "key", "n")]
-    names = level.select("doc", "key", "i", "r")
-    for k in range(1, int(math.log2(max(2, min_words))) + 1):
-        half = 1 << (k - 1)
-        ahead = names.select("doc", "key", (F.col("i") - half).alias("i"), F.col("r").alias("rb"))
+    names, depth = level.select("doc", "key", "i", "r"), 1
+    while 2 * depth <= min_words:
+        ahead = names.select("doc", "key", (F.col("i") - depth).alias("i"), F.col("r").alias("rb"))
         pairs = _beside(names.withColumnRenamed("r", "ra"), ahead)
-        # runs between half and twice half lines take the ranks of half their depth
-        marked.append(_later(long.where((F.col("size") >= half) & (F.col("size") < 2 * half)), names, half, line_numbers))
         groups = _ranked(pairs.groupBy("ra", "rb").agg(F.count("*").alias("count")).where("count > 1").drop("count"), ["ra", "rb"])
         names = written(pairs.join(groups, ["ra", "rb"]).select("doc", "key", "i", "r"))
-        last = 2 * half
-    marked.append(_later(long.where(F.col("size") >= last), names, last, line_numbers))
+        depth *= 2
+        # runs of up to twice as many lines take two of these ranks; at the last depth, all longer ones
+        marked.append(_later(long.where((F.col("size") >= depth) & (F.col("size") < 2 * depth)), names, depth, line_numbers))
     out = marked[0]
     for m in marked[1:]:
         out = out.unionByName(m)
@@ -125,21 +122,37 @@ def _later(runs: DataFrame, names: DataFrame, depth: int, line_numbers: DataFram
     begun = _beside(runs, names.withColumnRenamed("r", "ra"))
     ends = names.select("doc", "key", F.col("i").alias("i"), F.col("r").alias("rb"))
     shifted = begun.withColumn("start", F.col("i")).withColumn("i", F.col("i") + F.col("size") - depth)
-    named = _beside(shifted, ends).select("doc", "key", F.col("start").alias("i"), "size", "ra", "rb")
-    first = named.groupBy("size", "ra", "rb").agg(F.min(_at()).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
+    named = written(_beside(shifted, ends).select("doc", "key", F.col("start").alias("i"), "size", "ra", "rb"))
+    first = written(named.groupBy("size", "ra", "rb").agg(F.min(_at()).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count"))
     again = named.join(first, ["size", "ra", "rb"]).where(_at() > F.col("first"))
     covered = again.select("doc", "key", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i")).distinct()
-    return _beside(covered, line_numbers.select("doc", "key", "i", "n")).select("doc", "key", "n")
+    return written(_beside(covered, line_numbers.select("doc", "key", "i", "n")).select("doc", "key", "n"))
+
+
+def lost_column(docs: DataFrame) -> str:
+    """Name of the column of lost lines: ``_lost``, with more underscores where docs has such columns."""
+    name = "_lost"
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _without(parts: Column, lost: Column) -> Column:
+    """The parts whose numbers are not in *lost*, an ascending list."""
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), F.slice(lost, 1, F.size(lost) - 1)), lost, lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False))))
+    flags = F.concat(F.flatten(gaps), F.array_repeat(F.lit(True), F.size(parts) - F.element_at(lost, -1) - 1))
+    kept = F.filter(F.zip_with(parts, flags, lambda x, f: F.struct(x.alias("x"), f.alias("f"))), lambda p: p["f"])
+    return F.transform(kept, lambda p: p["x"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of repeated runs deleted from the text, and _lost, the numbers of the lines deleted."""
+    """docs with later copies of repeated runs deleted from the text, and the numbers of the lines deleted in ``lost_column(docs)``."""
     gone = deletions(docs, id_col, text_col, min_words)
     lines = gone.agg(F.sum(F.size("lines") + 2)).first()[0] or 0
     gone = F.broadcast(gone) if lines <= BROADCAST_LINES else gone.hint("merge")
     own = boxed(docs, _of=docs[id_col], _text=docs[text_col], _own=F.xxhash64(docs[text_col]))
     joined = own.join(gone, F.col("_of").eqNullSafe(F.col("doc")) & (F.col("_own") == F.col("key")), "left")
-    left = F.filter(F.split("_text", "\n", -1), lambda x, n: ~F.array_contains("lines", n))
+    left = let(F.split("_text", "\n", -1), lambda parts: _without(parts, F.col("lines")))
     lost = F.coalesce(F.col("lines"), F.expr("cast(array() as array<int>)"))
     text = F.when(F.col("lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c != "_lost"], lost.alias("_lost"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], lost.alias(lost_column(docs)))
