@@ -499,8 +499,22 @@ for _n in ("gennn", "gendis", "genbil", "gencon", "genycon", "genlaf", "genbic",
     _add(_n, f"{_n},r12x6 m0", "m0", None)
 _add("remapsum", "remapsum,r4x4 m0", "m0", None)
 _add("intpoint", "intpoint,100,20 m0", "m0", None)
-_add("fillmiss", "fillmiss evd", "evd", None)
-_add("fillmiss2", "fillmiss2 evd", "evd", None)
+
+
+def _fill_sql(linear: bool) -> str:
+    """Every gap's nearest values by self-joins on its row and its column."""
+    side = "(SELECT arg_{f}({{v: b.v, off: abs(b.{a} - c.{a})}}, b.{a}) FROM {r} b WHERE b.v IS NOT NULL AND (b.var, b.ts, b.{o}) = (c.var, c.ts, c.{o}) AND b.{a} {c} c.{a}) AS {n}"
+    sides = ", ".join(side.format(f=f, a=a, o=o, c=c, n=n, r="ring" if a == "x" and linear else "evd") for f, a, o, c, n in (("max", "x", "y", "<", "w"), ("min", "x", "y", ">", "e"), ("max", "y", "x", "<", "n"), ("min", "y", "x", ">", "s")))
+    if linear:
+        along = "CASE WHEN {a} IS NULL THEN {b}.v WHEN {b} IS NULL THEN {a}.v ELSE ({a}.v * {b}.off + {b}.v * {a}.off) / ({a}.off + {b}.off) END"
+        out = f"SELECT *, {along.format(a='w', b='e')} AS vx, {along.format(a='n', b='s')} AS vy, (w IS NOT NULL)::INT + (e IS NOT NULL)::INT AS nx, (n IS NOT NULL)::INT + (s IS NOT NULL)::INT AS ny FROM sides"
+        return f"WITH ring AS (SELECT var, ts, x + 10 * k AS x, y, v FROM evd, (VALUES (-1), (0), (1)) r(k)), sides AS (SELECT c.*, {sides} FROM evd c), along AS ({out}) SELECT var, level, ts, x, y, coalesce(v, CASE WHEN nx = 0 THEN vy WHEN ny = 0 THEN vx ELSE (vx * ny + vy * nx) / (nx + ny) END) AS v FROM along"
+    best = "list_first(list_sort(list_filter([{off: e.off, k: 0, v: e.v}, {off: w.off, k: 1, v: w.v}, {off: n.off, k: 2, v: n.v}, {off: s.off, k: 3, v: s.v}], lambda r: r.v IS NOT NULL)))"
+    return f"WITH sides AS (SELECT c.*, {sides} FROM evd c) SELECT var, level, ts, x, y, coalesce(v, ({best}).v) AS v FROM sides"
+
+
+_add("fillmiss", "fillmiss evd", "evd", _fill_sql(True))
+_add("fillmiss2", "fillmiss2 evd", "evd", _fill_sql(False))
 _add("isosurface", "isosurface,1000 pl", "pl", None)
 
 # Expressions

@@ -79,11 +79,49 @@ _add("dv2uv", "dv2uv -uv2dv atm", "atm", None)
 _add("dv2uvl", "dv2uvl -uv2dvl atm", "atm", None)
 _add("dv2ps", "dv2ps -uv2dv atm", "atm", None)
 _add("mastrfu", "mastrfu -zonmean -selname,v atm", "atm", None)
-for _log in ("", "_lp"):
-    for _x in ("", "x"):
-        _add(f"ml2pl{_x}{_log}", f"ml2pl{_x}{_log},90000,50000,20000 -selname,t,q,ps atm", "atm", None)
-        _add(f"ml2hl{_x}{_log}", f"ml2hl{_x}{_log},1000,5000 -selname,t,q,ps atm", "atm", None)
-        _add(f"ap2pl{_x}{_log}", f"ap2pl{_x}{_log},90000,50000 -merge -selname,t,q atm -pressure_fl atm", "atm", None)
+#: Above the top full level, between levels, below the lowest one, and below ground.
+_GOALS = {"ml2pl": ["101500", "100100", "97000", "90000", "50000", "20000", "1500"], "ml2hl": ["-50", "150", "400", "1000", "5000", "30000"], "ap2pl": ["112000", "101500", "97000", "90000", "50000", "1500"]}
+
+
+def _onto_sql(kind: str, extrapolate: bool, logarithmic: bool, names: str) -> str:
+    """Full levels numbered from the top; each target with the last one above it and the next."""
+    goals = _GOALS[kind]
+    at = "ln({})" if logarithmic else "{}"
+    pressure = "101325.0 * exp(-z / 7000.0)" if kind == "ml2hl" else "z"
+    long = " UNION ALL ".join(f"SELECT '{n}' AS var, ts, x, y, level, {n} AS v FROM up" for n in names.split(","))
+    ground = at.format("110000.0" if kind == "ap2pl" else "ps")
+    star = "(1 + 287.05 * 0.0065 / 9.80665 * (s / p - 1)) * v"
+    return f"""
+        WITH long AS ({long}), goal AS (SELECT z::DOUBLE AS z, {at.format(pressure)} AS pz FROM (VALUES {", ".join(f"({z}.0)" for z in goals)}) g(z)),
+        full_ AS (
+            SELECT var, l.ts, l.x, l.y, level, v, {at.format("((a + b * ps + a2 + b2 * ps) / 2)")} AS p, {ground} AS s, {"geosp" if kind != "ap2pl" else "0"} AS g
+            FROM long l JOIN low USING (ts, x, y) JOIN {_LEVELS} ON h.k = level
+        ),
+        found AS (SELECT var, ts, x, y, z, pz, any_value(s) AS s, any_value(g) AS g, greatest(count(*) FILTER (WHERE p < pz), 1) AS k FROM full_, goal GROUP BY ALL),
+        pair AS (
+            SELECT f.*, c.p, c.v, n.p AS p2, n.v AS v2 FROM found f JOIN full_ c ON (c.var, c.ts, c.x, c.y, c.level) = (f.var, f.ts, f.x, f.y, f.k)
+            LEFT JOIN full_ n ON (n.var, n.ts, n.x, n.y, n.level) = (f.var, f.ts, f.x, f.y, f.k + 1)
+        ),
+        warm AS (SELECT *, {star} AS raw, CASE WHEN {star} < 255 THEN (255 + {star}) / 2 ELSE {star} END AS mild, g / 9.80665 AS h FROM pair),
+        drawn AS (
+            SELECT *, CASE WHEN mild > 290.5 AND mild + 0.0065 * h > 290.5 THEN (290.5 + mild) / 2 ELSE mild END AS near,
+                   CASE WHEN h > 2000 AND raw + 0.0065 * h > 298 THEN CASE WHEN h < 2500 THEN 0.002 * ((2500 - h) * (raw + 0.0065 * h) + (h - 2000) * 298) ELSE 298 END ELSE raw + 0.0065 * h END AS sea
+            FROM warm
+        ),
+        lapse AS (SELECT *, CASE WHEN sea - raw < 1e-6 THEN 0 WHEN abs(g) > 1e-4 THEN 287.05 * (sea - raw) / g ELSE 287.05 * 0.0065 / 9.80665 END * ln(pz / s) AS q FROM drawn)
+        SELECT var, z AS level, ts, x, y,
+               CASE WHEN {"FALSE" if extrapolate else "pz > s"} THEN NULL WHEN v2 IS NOT NULL THEN v + (pz - p) * (v2 - v) / (p2 - p)
+                    WHEN var <> 't' OR {"TRUE" if kind == "ap2pl" else "FALSE"} THEN v WHEN pz <= s THEN ((s - pz) * v + (pz - p) * near) / (s - p)
+                    ELSE raw * (1 + q * (1 + q * (0.5 + q / 6))) END AS v
+        FROM lapse"""
+
+
+for _kind in _GOALS:
+    for _log in ("", "_lp"):
+        for _x in ("", "x"):
+            _names = "q,u" if _x and _log and _kind != "ap2pl" else "t,q,u"
+            _from = f"-merge -selname,{_names} atm -pressure_fl atm" if _kind == "ap2pl" else f"-selname,{_names},ps,geosp atm"
+            _add(f"{_kind}{_x}{_log}", f"{_kind}{_x}{_log},{','.join(_GOALS[_kind])} {_from}", "atm", _onto_sql(_kind, bool(_x), bool(_log), _names))
 _PASS = "SELECT * FROM m0"
 for _n, _v in (("selstdname", "embedding"), ("selltype", "1"), ("seltabnum", "128")):
     _add(_n, f"{_n},{_v} m0", "m0", _PASS)

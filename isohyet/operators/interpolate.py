@@ -165,35 +165,43 @@ def _nearest_along(d: Dataset, axis: str, circular: bool) -> dict[str, Column]:
     }
 
 
-def _filled(d: Dataset, least: int, circular: bool, nearest: bool) -> Dataset:
+def _sides(d: Dataset, circular: bool) -> DataFrame:
+    """The cells with _xbefore, _xafter, _ybefore and _yafter, the nearest values (at, v) on every side."""
     sides = {}
     for axis in ("x", "y"):
         for side, c in _nearest_along(d, axis, circular and axis == "x").items():
             sides[f"_{axis}{side}"] = c
-    own = d.cells.withColumns(sides)
-    values, counts = [], F.lit(0)
-    for axis in ("x", "y"):
-        a, b = F.col(f"_{axis}before"), F.col(f"_{axis}after")
-        here = F.col(axis)
-        na, nb = a["v"].isNotNull(), b["v"].isNotNull()
-        if nearest:
-            v = F.when(na & nb, F.when(here - a["at"] <= b["at"] - here, a["v"]).otherwise(b["v"])).otherwise(F.coalesce(a["v"], b["v"]))
-        else:
-            v = F.when(na & nb, (a["v"] * (b["at"] - here) + b["v"] * (here - a["at"])) / (b["at"] - a["at"])).otherwise(F.coalesce(a["v"], b["v"]))
-        n = na.cast("int") + nb.cast("int")
-        values.append((v, n))
-        counts = counts + n
-    (vx, mx), (vy, my) = values
-    mixed = F.when((mx > 0) & (my > 0), (vx * mx + vy * my) / (mx + my)).otherwise(F.coalesce(vx, vy))
-    return d.of(own.withColumn("v", F.when(V.isNotNull(), V).when(counts >= least, mixed)))
+    return d.cells.withColumns(sides)
+
+
+@op("fillmiss")
+def fillmiss(d: Dataset, least: int = 1) -> Dataset:
+    """Linear along x and along y between the nearest values, where *least* sides have one.
 
+    The two are weighted crosswise: each by the number of sides that the other has.
+    """
+    own = _sides(d, d.grid.circular)
+
+    def along(axis: str) -> tuple[Column, Column]:
+        a, b, here = F.col(f"_{axis}before"), F.col(f"_{axis}after"), F.col(axis)
+        between = (a["v"] * (b["at"] - here) + b["v"] * (here - a["at"])) / (b["at"] - a["at"])
+        return F.coalesce(between, a["v"], b["v"]), a["v"].isNotNull().cast("int") + b["v"].isNotNull().cast("int")
 
-put("fillmiss", lambda d, least=1: _filled(d, int(least), d.grid.circular, False))
+    (vx, nx), (vy, ny) = along("x"), along("y")
+    mixed = F.coalesce((vx * ny + vy * nx) / (nx + ny), vx, vy)
+    return d.of(own.withColumn("v", F.when(V.isNotNull(), V).when(nx + ny >= int(least), mixed)))
 
 
 @op("fillmiss2")
 def fillmiss2(d: Dataset, rounds: int = 1) -> Dataset:
-    """The nearer neighbour of each direction, in a number of rounds."""
+    """The one nearest value along x or y, in a number of rounds; of equally far ones the right, the upper, and x before y."""
     for _ in range(int(rounds)):
-        d = _filled(d, 1, False, True)
+        own = _sides(d, False)
+
+        def candidate(axis: str, side: str, order: int) -> Column:
+            c = F.col(f"_{axis}{side}")
+            return F.when(c["v"].isNotNull(), F.struct(F.abs(c["at"] - F.col(axis)).alias("off"), F.lit(order).alias("order"), c["v"].alias("v")))
+
+        nearest = F.least(candidate("x", "after", 0), candidate("x", "before", 1), candidate("y", "before", 2), candidate("y", "after", 3))
+        d = d.of(own.withColumn("v", F.coalesce(V, nearest["v"])))
     return d

@@ -176,30 +176,62 @@ def sealevelpressure(d: Dataset, t: str = "t", ps: str = "ps", geosp: str = "geo
 # From model levels to pressure or height
 
 
+def _below_lowest(p: Column, half: Column, full: Column, geopotential: Column, temperature: Column) -> Column:
+    """Temperature below the lowest full level: to the ground linear towards the surface's, below it along a lapse rate.
+
+    The surface's temperature follows the standard lapse rate from the lowest level; it is drawn to
+    255 K when cold, and to 290.5 K when it and its sea level value are warm. Below ground the lapse
+    rate is that from the surface to sea level, whose temperature is held to 298 K over high terrain.
+    """
+    height = geopotential / GRAVITY
+    surface = (1 + GAS * LAPSE / GRAVITY * (half / full - 1)) * temperature
+    mild = F.when(surface < 255, (255 + surface) / 2).otherwise(surface)
+    mild = F.when((mild > 290.5) & (mild + LAPSE * height > 290.5), (290.5 + mild) / 2).otherwise(mild)
+    above_ground = ((half - p) * temperature + (p - full) * mild) / (half - full)
+    sea = surface + LAPSE * height
+    held = F.when(height < 2500, 0.002 * ((2500 - height) * sea + (height - 2000) * 298)).otherwise(298.0)
+    sea = F.when((height > 2000) & (sea > 298), held).otherwise(sea)
+    rate = F.when(sea - surface < 1e-6, 0.0).when(F.abs(geopotential) > 1e-4, GAS * (sea - surface) / geopotential).otherwise(GAS * LAPSE / GRAVITY)
+    x = rate * F.log(p / half)
+    return F.when(p <= half, above_ground).otherwise(surface * (1 + x * (1 + x * (0.5 + x / 6))))
+
+
 def _onto(name: str, heights: bool, extrapolate: bool, logarithmic: bool, from_pressure: bool) -> None:
-    def run(d: Dataset, *levels: float, ps: str = "ps", pressure: str = "pressure") -> Dataset:
-        """Linear in the coordinate between full levels; above ground only, unless extrapolating."""
+    def run(d: Dataset, *levels: float, ps: str = "ps", pressure: str = "pressure", geosp: str = "geosp", temperature: str = "t", deltap: str = "deltap") -> Dataset:
+        """Linear in the coordinate between full levels, and on from the upper two above them.
+
+        Below the lowest full level its value holds; temperature from model levels is extrapolated there. Below
+        ground values are missing, unless extrapolating. Surface pressure: of *ps*; from pressure levels
+        the sum of *deltap*, or 110000 Pa without one.
+        """
         targets = [float(z) for z in levels]
+        if logarithmic and extrapolate and not from_pressure and temperature in d.variables:
+            raise ValueError("temperature has no logarithmic extrapolation")
+        named = lambda n: F.max(F.when(F.col("var") == n, V))
         if from_pressure:
             own = d.cells.where(F.col("var") == pressure).select("level", *KT, F.col("v").alias("_p"))
+            sums = d.cells.where(F.col("var").isin(pressure, deltap)).groupBy(*KT).agg(F.coalesce(F.sum(F.when(F.col("var") == deltap, V)), F.lit(110000.0)).alias("_ps"))
+            own = own.join(sums, KT).withColumn("_g", F.lit(0.0))
         else:
             halves = half_levels(d)
-            surface = d.cells.where(F.col("var") == ps).select(*KT, F.col("v").alias("_ps"))
+            surface = d.cells.where(F.col("var").isin(ps, geosp)).groupBy(*KT).agg(named(ps).alias("_ps"), F.coalesce(named(geosp), F.lit(0.0)).alias("_g"))
             rows = F.array(*[F.struct(F.lit(float(k + 1)).alias("level"), ((_half(F.col("_ps"), k, halves) + _half(F.col("_ps"), k + 1, halves)) / 2).alias("_p")) for k in range(len(halves) - 1)])
-            own = surface.withColumn("_r", F.explode(rows)).select(*KT, "_r.level", "_r._p")
+            own = surface.withColumn("_r", F.explode(rows)).select(*KT, "_ps", "_g", "_r.level", "_r._p")
         # heights follow from pressure in a fixed atmosphere: -7000 log(p / p0)
         goal = [101325.0 * math.exp(-z / 7000.0) for z in targets] if heights else targets
-        at = lambda p: F.log(p) if logarithmic else p
-        data = d.cells.where(~F.col("var").isin(ps, pressure)).join(own, ["level", *KT])
-        cols = data.groupBy("var", *KT).agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct(F.col("_p").alias("p"), "v"))).alias("_c"))
-        each = cols.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(p).alias("p")) for z, p in zip(targets, goal)])))
+        at = F.log if logarithmic else lambda p: p
+        data = d.cells.where(~F.col("var").isin(ps, pressure, geosp, deltap)).join(own, ["level", *KT])
+        cols = data.groupBy("var", *KT).agg(F.max("t").alias("t"), F.max(at(F.col("_ps"))).alias("_ps"), F.max("_g").alias("_g"), F.array_sort(F.collect_list(F.struct(at(F.col("_p")).alias("p"), "v"))).alias("_c"))
+        each = cols.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(math.log(p) if logarithmic else p).alias("p")) for z, p in zip(targets, goal)])))
         p = F.col("_z.p")
-        above, below = F.filter("_c", lambda c: c["p"] <= p), F.filter("_c", lambda c: c["p"] >= p)
-        a, b = F.get(above, F.size(above) - 1), F.get(below, F.lit(0))
-        share = F.coalesce((at(p) - at(a["p"])) / F.nullif(at(b["p"]) - at(a["p"]), F.lit(0.0)), F.lit(0.0))
-        inside = a["v"] * (1 - share) + b["v"] * share
-        lowest, highest = F.get("_c", F.size("_c") - 1)["v"], F.get("_c", F.lit(0))["v"]
-        v = F.when(F.size(below) == 0, lowest if extrapolate else F.lit(None).cast("double")).when(F.size(above) == 0, highest).otherwise(inside)
+        upper = F.greatest(F.size(F.filter("_c", lambda c: c["p"] < p)) - 1, F.lit(0))
+        a, b = F.get("_c", upper), F.get("_c", upper + 1)
+        inside = a["v"] + (p - a["p"]) * (b["v"] - a["v"]) / (b["p"] - a["p"])
+        lowest = a["v"]
+        if not from_pressure:
+            lowest = F.when(F.col("var") == temperature, _below_lowest(p, F.col("_ps"), a["p"], F.col("_g"), a["v"])).otherwise(a["v"])
+        v = F.when(upper + 1 >= F.size("_c"), lowest).otherwise(inside)
+        v = v if extrapolate else F.when(p <= F.col("_ps"), v)
         return d.of(each.withColumn("v", v).withColumn("level", F.col("_z.z")))
 
     put(name, run)
