@@ -43,6 +43,28 @@ def _add(key: str, chain: str, sets: str, body: str | None, columns: str = COLUM
         _SQL[key] = _sql(sets, body, columns, more)
 
 
+def _noted(key: str, chain: str, sets: str, note: Callable[[Any], dict[str, str] | str], body: str) -> None:
+    """A query that runs a chain; its rows tell beside the values what the operator did to a description. body: SQL with a column note."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        from isohyet.plans.chain import run as run_chain
+
+        ship(spark)
+        out: Any = run_chain(chain, {s: adapters.DATASETS[s](spark, sf_dir) for s in set(sets.split())}, spark)
+        told = note(out)
+        column = F.lit(told) if isinstance(told, str) else F.coalesce(*[F.when(F.col("var") == n, F.lit(x)) for n, x in told.items()], F.lit("none"))
+        return out.table().withColumn("note", column)
+
+    _QUERIES[key] = run
+    _SQL[key] = _sql(sets, body, COLUMNS + ", note")
+
+
+def _variables(key: str) -> Callable[[Any], dict[str, str]]:
+    return lambda d: {n: str(m.get(key)) for n, m in d.variables.items()}
+
+
 def _each(sets: str, ops: dict[str, tuple[str, str]]) -> None:
     """Operators on single values: arguments and the SQL expression."""
     for name, (args, value) in ops.items():
@@ -211,12 +233,23 @@ _W = f"(CASE WHEN v IS NOT NULL THEN ({_ROWS})[y + 1] END)"
 _VAR = f"(sum({_W} * v * v) * sum({_W}) - sum({_W} * v) * sum({_W} * v)) / nullif(sum({_W}) * sum({_W}), 0)"
 _VAR1 = f"(sum({_W} * v * v) * sum({_W}) - sum({_W} * v) * sum({_W} * v)) / nullif(sum({_W}) * sum({_W}) - sum({_W} * {_W}), 0)"
 WEIGHTED = {"min": "min(v)", "max": "max(v)", "sum": "sum(v)", "mean": f"sum({_W} * v) / sum({_W})", "avg": f"sum({_W} * v) / sum({_W})", "var": _VAR, "std": f"sqrt({_VAR})", "var1": _VAR1, "std1": f"sqrt({_VAR1})"}
+
+
+def _gaps(source: str, low: float = 0.3) -> str:
+    """SQL of -setrtomiss,low,9999 on *source*."""
+    return f"(SELECT * REPLACE (CASE WHEN v BETWEEN {low} AND 9999 THEN NULL ELSE v END AS v) FROM {source})"
+
+
+_WHOLE = "CASE WHEN count(v) = count(*) THEN {v} END"  # of averages: missing where any value is
 for _n, _v in WEIGHTED.items():
-    _add(f"fld{_n}", f"fld{_n} em", "em", f"SELECT var, level, ts, 0 AS x, 0 AS y, {_v} AS v FROM em GROUP BY ALL")
+    # means and averages over fields with gaps, which tells them apart
+    _in, _from = ("-setrtomiss,0.3,9999 em", _gaps("em")) if _n in ("mean", "avg") else ("em", "em")
+    _v = _WHOLE.format(v=_v) if _n == "avg" else _v
+    _add(f"fld{_n}", f"fld{_n} {_in}", "em", f"SELECT var, level, ts, 0 AS x, 0 AS y, {_v} AS v FROM {_from} GROUP BY ALL")
     if _n not in ("var1", "std1"):
-        _add(f"mer{_n}", f"mer{_n} em", "em", f"SELECT var, level, ts, x, 0 AS y, {_v} AS v FROM em GROUP BY ALL")
-        _add(f"gridbox{_n}", f"gridbox{_n},2,4 em", "em", f"SELECT var, level, ts, bx AS x, b AS y, {_v} AS v FROM (SELECT *, x // 2 AS bx, y // 4 AS b FROM em) GROUP BY var, level, ts, bx, b")
-        _add(f"zon{_n}", f"zon{_n} em", "em", f"SELECT var, level, ts, 0 AS x, y, {STATS[_n]} AS v FROM em GROUP BY ALL")
+        _add(f"mer{_n}", f"mer{_n} {_in}", "em", f"SELECT var, level, ts, x, 0 AS y, {_v} AS v FROM {_from} GROUP BY ALL")
+        _add(f"gridbox{_n}", f"gridbox{_n},2,4 {_in}", "em", f"SELECT var, level, ts, bx AS x, b AS y, {_v} AS v FROM (SELECT *, x // 2 AS bx, y // 4 AS b FROM {_from}) GROUP BY var, level, ts, bx, b")
+        _add(f"zon{_n}", f"zon{_n} {_in}", "em", f"SELECT var, level, ts, 0 AS x, y, {STATS[_n]} AS v FROM {_from} GROUP BY ALL")
 _add("zonrange", "zonrange em", "em", "SELECT var, level, ts, 0 AS x, y, max(v) - min(v) AS v FROM em GROUP BY ALL")
 for _n, _x, _y in (("fldpctl", "0", "0"), ("zonpctl", "0", "y"), ("merpctl", "x", "0")):
     _add(_n, f"{_n},90 em", "em", f"SELECT var, level, ts, {_x} AS x, {_y} AS y, quantile_disc(v, 0.9) AS v FROM em GROUP BY ALL")
@@ -226,8 +259,9 @@ for _n, _x, _y in (("fldpctl", "0", "0"), ("zonpctl", "0", "y"), ("merpctl", "x"
 _AXIS = "axis AS (SELECT level, (coalesce((level + lead(level) OVER (ORDER BY level)) / 2, level) - coalesce((level + lag(level) OVER (ORDER BY level)) / 2, level)) AS dz FROM (SELECT DISTINCT level FROM pl))"
 for _n in ("min", "max", "sum", "var", "std"):
     _add(f"vert{_n}", f"vert{_n} pl", "pl", f"SELECT var, 0 AS level, ts, x, y, {STATS[_n]} AS v FROM pl GROUP BY ALL")
-for _n, _v in (("mean", "sum(v * dz) / sum(dz)"), ("avg", "sum(v * dz) / sum(dz)"), ("int", "sum(v * dz)")):
-    _add(f"vert{_n}", f"vert{_n} pl", "pl", f"SELECT var, 0 AS level, ts, x, y, {_v} AS v FROM pl JOIN axis USING (level) GROUP BY ALL", more=_AXIS)
+_MEAN = "sum(v * dz) / sum(CASE WHEN v IS NOT NULL THEN dz END)"
+for _n, _v, _in, _from in (("mean", _MEAN, "-setrtomiss,995,9999 pl", _gaps("pl", 995)), ("avg", _WHOLE.format(v=_MEAN), "-setrtomiss,995,9999 pl", _gaps("pl", 995)), ("int", "sum(v * dz)", "pl", "pl")):
+    _add(f"vert{_n}", f"vert{_n} {_in}", "pl", f"SELECT var, 0 AS level, ts, x, y, {_v} AS v FROM {_from} JOIN axis USING (level) GROUP BY ALL", more=_AXIS)
 _HIST = {"count": "count(k.v)", "sum": "coalesce(sum(k.v), 0)", "mean": "coalesce(avg(k.v), 0)", "freq": "count(k.v) / max(t.n)"}
 for _n, _v in _HIST.items():
     _add(
@@ -241,12 +275,16 @@ for _n, _v in _HIST.items():
 
 _MEMBERS = "(" + " UNION ALL ".join(f"SELECT *, {k} AS member FROM m{k}" for k in range(5)) + ")"
 for _n, _v in (STATS | {"pctl": "quantile_disc(v, 0.75)"}).items():
-    _add(f"ens{_n}", f"ens{_n}{',75' if _n == 'pctl' else ''} m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", f"SELECT var, level, ts, x, y, {_v} AS v FROM {_MEMBERS} GROUP BY ALL")
+    _in, _from = ("-setrtomiss,0.3,9999 m0", _MEMBERS.replace("FROM m0", f"FROM {_gaps('m0')}")) if _n in ("mean", "avg") else ("m0", _MEMBERS)
+    _add(f"ens{_n}", f"ens{_n}{',75' if _n == 'pctl' else ''} {_in} m1 m2 m3 m4", "m0 m1 m2 m3 m4", f"SELECT var, level, ts, x, y, {_v} AS v FROM {_from} GROUP BY ALL")
 _RANK = f"(SELECT var, ts, x, y, len(list_filter(m, lambda e: e < obs)) AS r FROM (SELECT var, ts, x, y, max(CASE WHEN member = 0 THEN v END) AS obs, list(v) FILTER (member > 0) AS m FROM {_MEMBERS} GROUP BY ALL HAVING count(*) = 5))"
 _add("ensrkhist_space", "ensrkhist_space m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", f"SELECT var, r AS level, 0 AS ts, x, y, count(*) AS v FROM {_RANK} GROUP BY ALL")
 _add("ensrkhist_time", "ensrkhist_time m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", f"SELECT var, r AS level, ts, 0 AS x, 0 AS y, count(*) AS v FROM {_RANK} GROUP BY ALL")
-_add("enscrps", "enscrps m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", None)
-_add("ensbrs", "ensbrs,0 m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", None)
+# the scores by their plain definitions: mean distances, and the mean square of probability less event
+_CASES = f"(SELECT var, level, ts, x, y, max(CASE WHEN member = 0 THEN v END) AS obs, list(v) FILTER (member > 0) AS m FROM {_MEMBERS} GROUP BY ALL HAVING count(*) = 5)"
+_PLAIN = f"SELECT var, level, ts, 0 AS x, 0 AS y, sum({_W} * s) / sum({_W}) AS v FROM (SELECT *, {{s}} AS s, 0 AS v FROM {_CASES}) GROUP BY var, level, ts"
+_add("enscrps", "enscrps m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", _PLAIN.format(s="list_avg(list_transform(m, lambda a: abs(a - obs))) - list_avg(list_transform(m, lambda a: list_avg(list_transform(m, lambda b: abs(a - b))))) / 2"))
+_add("ensbrs", "ensbrs,0 m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", _PLAIN.format(s="pow(len(list_filter(m, lambda a: a > 0)) / 4 - (obs > 0)::INT, 2)"))
 _add("ensroc", "ensroc m0 m1 m2 m3 m4", "m0 m1 m2 m3 m4", None)
 
 # Climatologies
@@ -350,11 +388,21 @@ _add("setzaxis", "setzaxis,7,9 li", "li", "SELECT var, CASE level WHEN 1 THEN 7
 _add("pardup", "pardup m0", "m0", "SELECT var || s AS var, level, ts, x, y, v FROM m0, (VALUES (''), ('_1')) k(s)")
 _add("parmul", "parmul,3 m0", "m0", "SELECT var || s AS var, level, ts, x, y, v FROM m0, (VALUES (''), ('_1'), ('_2')) k(s)")
 _add("enlarge", "enlarge,r8x4 -zonmean -selindexbox,1,8,1,4 m0", "m0", "SELECT var, level, ts, k.x, y, v FROM (SELECT var, level, ts, y, avg(v) AS v FROM m0 WHERE y < 4 GROUP BY ALL), (SELECT unnest(range(8)) AS x) k")
-for _n, _v in (("setcode", "130"), ("setparam", "1.2"), ("setunit", "K"), ("setstdname", "x"), ("setltype", "100"), ("settabnum", "128"), ("setcalendar", "360_day"), ("settunits", "days"), ("setgatt", "title,x"), ("setgridtype", "curvilinear"), ("setgridnumber", "7"), ("setgriduri", "x"), ("setreftime", "1990-01-01,00:00:00")):
-    _add(_n, f"{_n},{_v} m0", "m0", "SELECT * FROM m0")
-for _n in ("chcode", "chparam", "chunit", "chtabnum", "chltype"):
-    _add(_n, f"{_n},1,2 m0", "m0", "SELECT * FROM m0")
-for _n in ("sortcode", "sortname", "sortlevel", "unsetgridmask", "ncopy", "template1", "template2", "retocomplex", "tee", "writerandom"):
+for _n, _k, _v in (("setcode", "code", "7"), ("setparam", "param", "1.2"), ("setunit", "unit", "K"), ("setstdname", "stdname", "x"), ("setlongname", "longname", "some name"), ("setltype", "ltype", "100"), ("settabnum", "tabnum", "3")):
+    _noted(_n, f"{_n},{_v.replace(' ', '_')} li", "li", _variables(_k), f"SELECT *, '{_v.replace(' ', '_')}' AS note FROM li")
+for _n, _k, _v, _w in (("chcode", "code", "130,7", "7"), ("chparam", "param", "130.128,9.9", "9.9"), ("chunit", "unit", "1,K", "K"), ("chtabnum", "tabnum", "128,2", "2"), ("chltype", "ltype", "1,2", "2")):
+    _noted(_n, f"{_n},{_v} em", "em", _variables(_k), f"SELECT *, '{_w}' AS note FROM em")
+for _n, _v, _f, _w in (
+    ("setcalendar", "360_day", lambda d: d.calendar, "360_day"), ("settunits", "days", lambda d: d.attrs["time_units"], "days"), ("setgatt", "title,x", lambda d: d.attrs["title"], "x"),
+    ("setgridtype", "curvilinear", lambda d: d.grid.kind, "curvilinear"), ("setgridnumber", "7", lambda d: str(d.grid.attrs["number"]), "7"), ("setgriduri", "x", lambda d: d.grid.attrs["uri"], "x"),
+    ("setreftime", "1990-01-01,00:00:00", lambda d: d.attrs["reference_time"], "1990-01-01 00:00:00"),
+):
+    _noted(_n, f"{_n},{_v} em", "em", _f, f"SELECT *, '{_w}' AS note FROM em")
+# the selected ones of two variables
+for _n, _v, _other in (("selstdname", "embedding", "setstdname,other"), ("selltype", "1", "setltype,5"), ("seltabnum", "128", "settabnum,2"), ("seloperator", "130,1,0", "setcode,7")):
+    _add(_n, f"{_n},{_v} -merge em -{_other} -setname,b em", "em", "SELECT * FROM em")
+_noted("unsetgridmask", "unsetgridmask em", "em", lambda d: str(d.grid.mask), "SELECT *, 'None' AS note FROM em")
+for _n in ("sortcode", "sortname", "sortlevel", "ncopy", "template1", "template2", "retocomplex", "tee", "writerandom"):
     _add(_n, f"{_n} m0", "m0", "SELECT * FROM m0")
 _TIMES = "SELECT var, {key} AS level, ts, x, y, v FROM {s}"
 for _n, _a, _k in (("setyear", "2003", "year"), ("setmon", "2", "mon"), ("setdate", "2001-05-06", "mon"), ("shifttime", "1month", "mon"), ("settaxis", "2001-01-01,00:00:00,1day", "mon")):
@@ -495,10 +543,22 @@ def _links(key: str, method: str, grid: str, total: bool = False) -> None:
 
 for _n, _m in (("remapnn", "nn"), ("remapdis", "dis"), ("remapbil", "bil"), ("remapcon", "con"), ("remapycon", "ycon"), ("remaplaf", "laf"), ("remapbic", "bic"), ("remapcon2", "con2"), ("intgridbil", "bil"), ("intgridcon", "con"), ("interpolate", "bil"), ("yarbil", "bil"), ("yarcon", "con")):
     _links(_n, _m, "r12x6")
-for _n in ("gennn", "gendis", "genbil", "gencon", "genycon", "genlaf", "genbic", "gencon2"):
+for _n in ("gennn", "gendis", "genbic", "gencon2"):
     _add(_n, f"{_n},r12x6 m0", "m0", None)
-_add("remapsum", "remapsum,r4x4 m0", "m0", None)
-_add("intpoint", "intpoint,100,20 m0", "m0", None)
+# weights from 8 by 8 to 12 by 6 cells by their definition: parts of a target that sources cover, and shares between centres
+_SPANS = """
+    east AS (SELECT s, d, (least(45 * s + 22.5 + k, 30 * d + 15) - greatest(45 * s - 22.5 + k, 30 * d - 15)) / 30 AS w
+             FROM range(8) a(s), range(12) b(d), (VALUES (0), (-360), (360)) r(k) WHERE least(45 * s + 22.5 + k, 30 * d + 15) > greatest(45 * s - 22.5 + k, 30 * d - 15)),
+    north AS (SELECT s, d, (sin(radians(least(22.5 * s - 67.5, 30 * d - 60))) - sin(radians(greatest(22.5 * s - 90, 30 * d - 90)))) / (sin(radians(30 * d - 60)) - sin(radians(30 * d - 90))) AS w
+              FROM range(8) a(s), range(6) b(d) WHERE least(22.5 * s - 67.5, 30 * d - 60) > greatest(22.5 * s - 90, 30 * d - 90)),
+    spans AS (SELECT (n.s * 8 + e.s)::INT AS src, (n.d * 12 + e.d)::INT AS dst, e.w * n.w AS w FROM east e, north n)"""
+for _n in ("gencon", "genycon"):
+    _listing(_n, f"{_n},r12x6 m0", "m0", ["src", "dst", "w"], f"WITH {_SPANS} SELECT src, dst, round(w, 4) AS w FROM spans")
+_listing("genlaf", "genlaf,r12x6 m0", "m0", ["src", "dst"], f"WITH {_SPANS} SELECT src, dst FROM spans QUALIFY row_number() OVER (PARTITION BY dst ORDER BY w DESC) = 1")
+_BETWEEN = "SELECT floor({p})::INT + k AS s, d, CASE k WHEN 0 THEN 1 - ({p} - floor({p})) ELSE {p} - floor({p}) END AS w FROM range({n}) b(d), (VALUES (0), (1)) r(k)"
+_listing("genbil", "genbil,r12x6 m0", "m0", ["src", "dst", "w"], f"SELECT (n.s * 8 + e.s % 8)::INT AS src, (n.d * 12 + e.d)::INT AS dst, round(e.w * n.w, 4) AS w FROM ({_BETWEEN.format(p='(30 * d / 45)', n=12)}) e, ({_BETWEEN.format(p='((30 * d + 3.75) / 22.5)', n=6)}) n WHERE e.w * n.w > 0")
+_add("remapsum", "remapsum,r4x4 em", "em", "SELECT var, level, ts, (x + k) % 8 // 2 AS x, y // 2 AS y, sum(v * s) AS v FROM em JOIN (VALUES (0, 0, 1.0), (1, 0, 0.5), (1, 1, 0.5)) p(odd, k, s) ON odd = x % 2 GROUP BY ALL")
+_add("intpoint", "intpoint,100,20 em", "em", "SELECT var, level, ts, 0 AS x, 0 AS y, sum(v * (1 - abs(x - 100.0 / 45)) * (1 - abs(y - 98.75 / 22.5))) AS v FROM em WHERE abs(x - 100.0 / 45) < 1 AND abs(y - 98.75 / 22.5) < 1 GROUP BY var, level, ts")
 
 
 def _fill_sql(linear: bool) -> str:
@@ -515,7 +575,11 @@ def _fill_sql(linear: bool) -> str:
 
 _add("fillmiss", "fillmiss evd", "evd", _fill_sql(True))
 _add("fillmiss2", "fillmiss2 evd", "evd", _fill_sql(False))
-_add("isosurface", "isosurface,1000 pl", "pl", None)
+_add("isosurface", "isosurface,950 pl", "pl", """
+    WITH steps AS (SELECT *, lead(level) OVER w AS z2, lead(v) OVER w AS v2 FROM pl WINDOW w AS (PARTITION BY var, ts, x, y ORDER BY level)),
+    hits AS (SELECT var, ts, x, y, arg_min(CASE WHEN v = 950 THEN level WHEN v = v2 THEN z2 ELSE level + (950 - v) / (v2 - v) * (z2 - level) END, level) AS v
+             FROM steps WHERE 950 BETWEEN least(v, v2) AND greatest(v, v2) AND v2 IS NOT NULL GROUP BY ALL)
+    SELECT c.var, 0 AS level, c.ts, c.x, c.y, h.v FROM (SELECT DISTINCT var, ts, x, y FROM pl) c LEFT JOIN hits h USING (var, ts, x, y)""")
 
 # Expressions
 
@@ -536,11 +600,17 @@ for _n, _v in (("sincos", "cos(radians(45.0 * x)) * sin(2 * radians(-78.75 + 22.
 for _n in ("random", "cdiwrite"):
     _add(_n, f"{_n},r8x8" if _n == "random" else "cdiwrite", "", None)
 _add("stdatm", "stdatm,0,1000,5000,10000", "", None)
+_SQL["stdatm"] = f"""SELECT {COLUMNS} FROM (
+    SELECT k.var, z AS level, 0 AS ts, 0 AS x, 0 AS y, CASE k.var WHEN 'T' THEN 213 + 75 * exp(-z / 10000.0)
+        ELSE 1013.25 * pow((exp(z / 10000.0) * 213 + 75) / 288.0, -9.80665 * 10000 / (287.05 * 213)) END AS v
+    FROM (VALUES (0), (1000), (5000), (10000)) h(z), (VALUES ('P'), ('T')) k(var))"""
 _add("gridarea", "gridarea m0", "m0", f"SELECT 'cell_area' AS var, 0 AS level, 0 AS ts, x, y, ({_AREAS})[y + 1] AS v FROM ({_CELLS})")
 _add("gridweights", "gridweights m0", "m0", f"SELECT 'cell_weights' AS var, 0 AS level, 0 AS ts, x, y, ({_ROWS})[y + 1] AS v FROM ({_CELLS})")
 _add("gridmask", "gridmask m0", "m0", f"SELECT 'grid_mask' AS var, 0 AS level, 0 AS ts, x, y, 1 AS v FROM ({_CELLS})")
-for _n in ("griddx", "griddy"):
-    _add(_n, f"{_n} m0", "m0", None)
+_LAT = "radians(-78.75 + 22.5 * {})"
+# by the haversine; a row's neighbours are 45 degrees of longitude off, and rows 22.5 degrees of latitude
+_add("griddx", "griddx em", "em", f"SELECT 'dx' AS var, 0 AS level, 0 AS ts, x, y, 2 * 6371000 * asin(cos({_LAT.format('y')}) * sin(radians(22.5))) AS v FROM ({_CELLS})")
+_add("griddy", "griddy em", "em", f"SELECT 'dy' AS var, 0 AS level, 0 AS ts, x, y, 6371000 * radians(22.5) AS v FROM ({_CELLS})")
 _add("wct", "wct m0 -addc,3 m1", "m0 m1", _PAIR.format(v="CASE WHEN b.v + 3 >= 1.39 AND a.v <= 33 THEN 33 + (a.v - 33) * (0.478 + 0.237 * (sqrt((b.v + 3) * 3.6) - 0.0124 * (b.v + 3) * 3.6)) END"))
 _add("hi", "hi -addc,30 m0 -addc,12 m1 -addc,50 m2", "m0 m1 m2", "SELECT a.var, a.level, a.ts, a.x, a.y, CASE WHEN a.v + 30 >= 26 AND c.v + 50 >= 40 THEN a.v + 30 + 5 / 9 * (b.v + 2) END AS v FROM m0 a JOIN m1 b USING (ts, x, y) JOIN m2 c USING (ts, x, y)")
 

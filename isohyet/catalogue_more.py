@@ -73,12 +73,27 @@ _add("pressure_hl", "pressure_hl atm", "atm", _P.format(n="pressure", v="a + b *
 _add("pressure_fl", "pressure_fl atm", "atm", _P.format(n="pressure", v="(a + b * ps + a2 + b2 * ps) / 2", w="k < 5"))
 _add("deltap", "deltap atm", "atm", _P.format(n="deltap", v="a2 + b2 * ps - (a + b * ps)", w="k < 5"))
 _add("vertwind", "vertwind -merge atm -pressure_fl atm", "atm", f"SELECT 'wz' AS var, k AS level, l.ts, l.x, l.y, omega / (9.80665 * ((a + b * ps + a2 + b2 * ps) / 2 / (287.05 * t * (1 + 0.608 * q)))) AS v FROM low l JOIN {_LEVELS} ON h.k < 5 LEFT JOIN up u ON (u.ts, u.x, u.y, u.level) = (l.ts, l.x, l.y, h.k)")
-for _n, _a in (("gheight", ""), ("sealevelpressure", ""), ("cloudlayer", ""), ("uv2dv", ""), ("uv2dvl", ""), ("rotuvb", ",u,v"), ("mrotuvb", ""), ("mrotuv", "")):
+_ON = f"FROM up JOIN low USING (ts, x, y) JOIN {_LEVELS} ON h.k = level"
+_add("gheight", "gheight atm", "atm", f"""
+    SELECT 'zh' AS var, k AS level, ts, x, y, CASE WHEN count(t) OVER (PARTITION BY ts, x, y) = 4 THEN geosp / 9.80665
+           + sum(287.05 / 9.80665 * t * (1 + 0.608 * q) * ln((a2 + b2 * ps) / greatest(a + b * ps, 0.1))) OVER (PARTITION BY ts, x, y ORDER BY k DESC) END AS v
+    FROM low JOIN {_LEVELS} ON h.k < 5 LEFT JOIN (SELECT ts, x, y, level AS k, t, q FROM up) USING (ts, x, y, k)""")
+_add("sealevelpressure", "sealevelpressure atm", "atm", f"""
+    WITH low_ AS (SELECT ts, x, y, geosp AS g, ps, (1 + 287.05 * 0.0065 / 9.80665 * (ps / ((a + b * ps + ps) / 2) - 1)) * t AS raw {_ON} WHERE k = 4),
+    mild AS (SELECT *, CASE WHEN raw < 255 THEN (255 + raw) / 2 ELSE raw END AS s FROM low_),
+    sea AS (SELECT *, s + 0.0065 / 9.80665 * g AS m FROM mild),
+    drawn AS (SELECT *, CASE WHEN m > 290.5 AND s > 290.5 THEN (290.5 + s) / 2 ELSE s END AS s2, CASE WHEN m > 290.5 AND s > 290.5 THEN (290.5 + s) / 2 WHEN m > 290.5 THEN 290.5 ELSE m END AS m2 FROM sea),
+    powers AS (SELECT *, g / (287.05 * s2) AS p, (m2 - s2) / s2 AS q FROM drawn)
+    SELECT 'psl' AS var, 0 AS level, ts, x, y, CASE WHEN abs(g) < 1e-4 THEN ps ELSE ps * exp(p * (1 - q / 2 + q * q / 3)) END AS v FROM powers""")
+for _n, _a in (("cloudlayer", ""), ("uv2dv", ""), ("uv2dvl", ""), ("rotuvb", ",u,v"), ("mrotuvb", ""), ("mrotuv", "")):
     _add(_n, f"{_n}{_a} atm", "atm", None)
 _add("dv2uv", "dv2uv -uv2dv atm", "atm", None)
 _add("dv2uvl", "dv2uvl -uv2dvl atm", "atm", None)
 _add("dv2ps", "dv2ps -uv2dv atm", "atm", None)
-_add("mastrfu", "mastrfu -zonmean -selname,v atm", "atm", None)
+_add("mastrfu", "mastrfu -zonmean -selname,v atm", "atm", """
+    WITH zonal AS (SELECT ts, y, level, avg(v) AS v FROM up GROUP BY ALL),
+    layers AS (SELECT *, coalesce((v + lag(v) OVER w) * (level - lag(level) OVER w), 0) AS s FROM zonal WINDOW w AS (PARTITION BY ts, y ORDER BY level))
+    SELECT 'v' AS var, level, ts, 0 AS x, y, pi() * 6371000 / 9.80665 * cos(radians(-78.75 + 22.5 * y)) * sum(s) OVER (PARTITION BY ts, y ORDER BY level) AS v FROM layers""")
 #: Above the top full level, between levels, below the lowest one, and below ground.
 _GOALS = {"ml2pl": ["101500", "100100", "97000", "90000", "50000", "20000", "1500"], "ml2hl": ["-50", "150", "400", "1000", "5000", "30000"], "ap2pl": ["112000", "101500", "97000", "90000", "50000", "1500"]}
 
@@ -123,12 +138,8 @@ for _kind in _GOALS:
             _from = f"-merge -selname,{_names} atm -pressure_fl atm" if _kind == "ap2pl" else f"-selname,{_names},ps,geosp atm"
             _add(f"{_kind}{_x}{_log}", f"{_kind}{_x}{_log},{','.join(_GOALS[_kind])} {_from}", "atm", _onto_sql(_kind, bool(_x), bool(_log), _names))
 _PASS = "SELECT * FROM m0"
-for _n, _v in (("selstdname", "embedding"), ("selltype", "1"), ("seltabnum", "128")):
-    _add(_n, f"{_n},{_v} m0", "m0", _PASS)
-_add("seloperator", "seloperator,130,1,0 m0", "m0", _PASS)
 for _n in ("selgrid", "selzaxis"):
     _add(_n, f"{_n},other m0", "m0", "SELECT * FROM m0 WHERE FALSE")
-_add("setlongname", "setlongname,x m0", "m0", _PASS)
 _add("complextorect", "complextorect m0", "m0", _PASS)
 _add("imtocomplex", "imtocomplex m0", "m0", _PASS, pick=1)
 _add("complextopol", "complextopol m0 m1", "m0 m1", "SELECT a.var, a.level, a.ts, a.x, a.y, sqrt(a.v * a.v + b.v * b.v) AS v FROM m0 a JOIN m1 b USING (ts, x, y)")
@@ -145,6 +156,9 @@ _add("sp2gpl", "sp2gpl -gp2spl -setgrid,n2 -selindexbox,1,8,1,4 m0", "m0", None)
 _add("sp2fc", "sp2fc -gp2sp -setgrid,n2 -selindexbox,1,8,1,4 m0", "m0", None)
 
 
+_ROW = "([" + ", ".join(repr(w) for w in EM_GRID.row_weights()) + "])[y + 1]"
+
+
 def _call(key: str, sets: str, f: Any, body: str | None) -> None:
     """Queries whose arguments are not text."""
 
@@ -172,7 +186,7 @@ _call("setrcaname", "m0", lambda d: d.setrcaname([{"code": 130, "out_name": "new
 _call("remap", "m0", lambda d: d.remap("r12x6", d.gennn("r12x6")), None)
 _SQL["remap"] = _SQL["remapnn"]
 _call("remapeta", "atm", lambda d: d.remapeta((0.0, 20000.0, 0.0, 0.0, 0.3, 1.0)), None)
-_call("trms", "m0 m1 m2", lambda a, b, p: a.trms(b, p.abs()), None)
+_call("trms", "m0 m1 m2", lambda a, b, p: a.trms(b, p.abs()), f"SELECT a.var, 0 AS level, a.ts, 0 AS x, 0 AS y, sqrt(sum(w * abs(p.v) * (a.v - b.v) * (a.v - b.v)) / sum(w * abs(p.v))) AS v FROM (SELECT *, {_ROW} AS w FROM m0) a JOIN m1 b USING (ts, x, y) JOIN m2 p USING (ts, x, y) GROUP BY a.var, a.ts")
 _call("intlevel3d", "pl", lambda d: d.intlevel3d(_heights(d), _heights(d).where(_level(d))), None)
 _call("intlevelx3d", "pl", lambda d: d.intlevelx3d(_heights(d), _heights(d).where(_level(d))), None)
 
