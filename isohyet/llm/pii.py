@@ -106,8 +106,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """The words of a text; each is lowered by itself, as lower case can be longer and hold other characters."""
-    return F.transform(F.filter(F.split(text, rf"[^{LETTER}{CUT}]+"), lambda w: (w != "") & ~w.contains(CUT)), F.lower)
+    """The distinct words of a text, an empty one among them perhaps.
+
+    Lower case is that of each word by itself. For texts without the two letters whose lower case is
+    longer or hangs on their neighbours it is that of the whole text, which is quicker.
+    """
+    cut = rf"[^{LETTER}{CUT}]+"
+    return F.array_distinct(F.when(text.rlike("[\u0130\u03a3]"), F.transform(F.split(text, cut), F.lower)).otherwise(F.split(F.lower(text), cut)))
+
+
+def _clear_words(text: Column, spans: Column) -> Column:
+    """Distinct words that touch no base span, joined by blanks; a string takes less memory to write than an array."""
+    clear = lambda words: F.when(F.size(spans) > 0, F.filter(words, lambda w: ~w.contains(CUT))).otherwise(words)
+    return F.array_join(let(_words(_masked(text, spans)), clear), " ")
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -137,7 +148,7 @@ def disclosing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(term, kind): words that give an entity away, with what is done to them; a written table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     based = docs.select(text.alias("text")).select("text", base_spans(F.col("text")).alias("spans"))
-    own = written(based.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(_values(F.col("text"), F.col("spans"))).alias("entities"), F.array_join(F.array_distinct(_words(_masked(F.col("text"), F.col("spans")))), " ").alias("words")))
+    own = written(based.select(F.monotonically_increasing_id().alias("row"), F.array_distinct(_values(F.col("text"), F.col("spans"))).alias("entities"), _clear_words(F.col("text"), F.col("spans")).alias("words")))
     holders = own.where(F.size("entities") > 0)
     held = holders.select("row", F.explode("entities").alias("entity"))
     entities = written(held.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= SUPPORT))
@@ -181,7 +192,7 @@ def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     terms = disclosing(docs, id_col, text_col)
     keyed = boxed(docs, _of=docs[id_col], _text=text, _key=F.xxhash64(docs[id_col], text))
-    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(F.array_distinct(_words(F.translate("_text", CUT, " ")))).alias("term"))
+    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(_words(F.translate("_text", CUT, " "))).alias("term"))
     few = terms.count() <= BROADCAST_ROWS
     hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key2").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
     found = hits.agg(F.sum(F.size("_found") + 2)).first()[0] or 0
