@@ -105,6 +105,11 @@ def base_spans(text: Column) -> Column:
     return F.when(text.contains("@") | digits, either).otherwise(F.expr(NONE))
 
 
+def _plain(text: Column) -> Column:
+    """The text without CUT of its own; few texts hold it, and translating takes longer than looking."""
+    return F.when(text.contains(CUT), F.translate(text, CUT, " ")).otherwise(text)
+
+
 def _words(text: Column) -> Column:
     """The distinct words of a text, an empty one among them perhaps.
 
@@ -118,7 +123,7 @@ def _words(text: Column) -> Column:
 def _clear_words(text: Column, spans: Column) -> Column:
     """Distinct words that touch no base span, joined by blanks; a string takes less memory to write than an array."""
     clear = lambda words: F.when(F.size(spans) > 0, F.filter(words, lambda w: ~w.contains(CUT))).otherwise(words)
-    return F.array_join(let(_words(_masked(text, spans)), clear), " ")
+    return F.array_join(let(let(_masked(text, spans), _words), clear), " ")
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -133,10 +138,10 @@ def _masked(text: Column, spans: Column) -> Column:
 
         return let(F.filter(spans, lambda s: s["kind"] == kind), cut)
 
-    out = F.translate(text, CUT, " ")
+    out = _plain(text)
     for kind in KINDS:
         out = let(out, partial(of_kind, kind))
-    return F.when(F.size(spans) > 0, out).otherwise(F.translate(text, CUT, " "))
+    return F.when(F.size(spans) > 0, out).otherwise(_plain(text))
 
 
 def _values(text: Column, spans: Column) -> Column:
@@ -192,7 +197,7 @@ def _located_all(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     terms = disclosing(docs, id_col, text_col)
     keyed = boxed(docs, _of=docs[id_col], _text=text, _key=F.xxhash64(docs[id_col], text))
-    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(_words(F.translate("_text", CUT, " "))).alias("term"))
+    tokens = keyed.select(F.col("_of").alias("_id"), F.col("_key").alias("_key2"), F.explode(let(_plain(F.col("_text")), _words)).alias("term"))
     few = terms.count() <= BROADCAST_ROWS
     hits = written(tokens.join(F.broadcast(terms) if few else terms, "term").groupBy("_id", "_key2").agg(F.collect_set(F.struct("term", "kind")).alias("_found")))
     found = hits.agg(F.sum(F.size("_found") + 2)).first()[0] or 0
