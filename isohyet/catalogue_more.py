@@ -138,8 +138,6 @@ for _kind in _GOALS:
             _from = f"-merge -selname,{_names} atm -pressure_fl atm" if _kind == "ap2pl" else f"-selname,{_names},ps,geosp atm"
             _add(f"{_kind}{_x}{_log}", f"{_kind}{_x}{_log},{','.join(_GOALS[_kind])} {_from}", "atm", _onto_sql(_kind, bool(_x), bool(_log), _names))
 _PASS = "SELECT * FROM m0"
-for _n in ("selgrid", "selzaxis"):
-    _add(_n, f"{_n},other m0", "m0", "SELECT * FROM m0 WHERE FALSE")
 _add("complextorect", "complextorect m0", "m0", _PASS)
 _add("imtocomplex", "imtocomplex m0", "m0", _PASS, pick=1)
 _add("complextopol", "complextopol m0 m1", "m0 m1", "SELECT a.var, a.level, a.ts, a.x, a.y, sqrt(a.v * a.v + b.v * b.v) AS v FROM m0 a JOIN m1 b USING (ts, x, y)")
@@ -175,13 +173,64 @@ def _call(key: str, sets: str, f: Any, body: str | None) -> None:
 
 
 _call("maskregion", "em", lambda d: d.maskregion([(40, -60), (200, -60), (200, 60), (40, 60)]), "SELECT var, level, ts, x, y, CASE WHEN 45 * x >= 40 AND 45 * x < 200 AND -78.75 + 22.5 * y BETWEEN -60 AND 60 THEN v END AS v FROM em")
-_call("setgridmask", "m0", lambda d: d.setgridmask([1] * EM_GRID.size), _PASS)
+
+
+def _described(key: str, f: Any, note: Any, expected: str) -> None:
+    """Queries over em whose arguments are not text; beside the values, what the operator did to a description."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        out = f(adapters.DATASETS["em"](spark, sf_dir))
+        return out.table().withColumn("note", F.lit(note(out)))
+
+    _QUERIES[key] = run
+    _SQL[key] = _sql("em", f"SELECT *, '{expected}' AS note FROM em", COLUMNS + ", note")
+
+
+def _two(d: Any, key: str) -> Any:
+    """The fields under two names that differ in what *key* says."""
+    return d.merge(d.setname("b")).with_(variables={"emb": {key: "first"}, "b": {key: "second"}})
+
+
+def _script(text: str) -> str:
+    import os
+    import tempfile
+
+    path = os.path.join(tempfile.mkdtemp(), "script")  # read on the driver, when the query is made
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def _path(d: Any) -> DataFrame:
+    """Three points of a path: between four cells and two days, across the date line of the grid, and on a centre."""
+    rows = [("2000-01-03 06:00:00", 100.0, 20.0), ("2000-01-05 12:00:00", 350.0, -40.0), ("2000-01-07 00:00:00", 45.0, 11.25)]
+    return d.cells.sparkSession.createDataFrame(rows, "t string, lon double, lat double").selectExpr("cast(t as timestamp) AS t", "lon", "lat")
+
+
+_call("selgrid", "em", lambda d: _two(d, "grid").selgrid("first"), "SELECT * FROM em")
+_call("selzaxis", "em", lambda d: _two(d, "zaxis").selzaxis("first"), "SELECT * FROM em")
+_call("exprf", "li", lambda d: d.exprf(_script("s=A+2*N;\nr=(A>N)?A:N # the larger\n")), None)
+_call("aexprf", "li", lambda d: d.aexprf(_script("s=sqrt(A)*2")), None)
+_SQL["exprf"], _SQL["aexprf"] = _SQL["expr"], _SQL["aexpr"]
+_call("intgridtraj", "em", lambda d: d.intgridtraj(_path(d)), """
+    SELECT var, level, epoch(p.t)::BIGINT AS ts, 0 AS x, 0 AS y,
+           sum(v * greatest(0, 1 - abs(e.x + k - lon / 45)) * greatest(0, 1 - abs(e.y - (lat + 78.75) / 22.5)) * greatest(0, 1 - abs(e.ts - epoch(p.t - TIMESTAMP '2000-01-01') / 86400.0))) AS v
+    FROM em e, (VALUES (0), (8)) r(k), (VALUES (TIMESTAMP '2000-01-03 06:00:00', 100.0, 20.0), (TIMESTAMP '2000-01-05 12:00:00', 350.0, -40.0), (TIMESTAMP '2000-01-07 00:00:00', 45.0, 11.25)) p(t, lon, lat)
+    GROUP BY var, level, p.t""")
+_listing("ncode", "ncode li", "li", ["n"], "SELECT count(DISTINCT var) AS n FROM li")
+_listing("showformat", "showformat li", "li", ["value"], "SELECT 'parquet' AS value")
+_listing("filedes", "filedes -setgatt,title,x em", "em", ["name", "value"], "SELECT 'title' AS name, 'x' AS value")
+for _n in ("vct", "vct2"):
+    _listing(_n, f"{_n} atm", "atm", ["k", "a", "b"], f"SELECT (k - 1)::BIGINT AS k, round(a, 4)::DOUBLE AS a, round(b, 4)::DOUBLE AS b FROM {_LEVELS}")
+_described("setgridmask", lambda d: d.setgridmask([1] * 63 + [0]), lambda d: str(sum(d.grid.mask)), "63")
 _call("setgridarea", "em", lambda d: d.setgridarea([1.0] * EM_GRID.size).fldmean(), "SELECT var, level, ts, 0 AS x, 0 AS y, avg(v) AS v FROM em GROUP BY ALL")
-_call("setgatts", "m0", lambda d: d.setgatts({"a": "b"}), _PASS)
+_described("setgatts", lambda d: d.setgatts({"a": "b", "c": "d"}), lambda d: ",".join(f"{k}={v}" for k, v in sorted(d.attrs.items())), "a=b,c=d")
 _call("setpartabn", "m0", lambda d: d.setpartabn([{"name": "emb", "factor": 2}], "convert"), "SELECT * REPLACE (2 * v AS v) FROM m0")
 _call("setpartabc", "m0", lambda d: d.setpartabc([{"code": 130, "factor": 3}], "convert"), "SELECT * REPLACE (3 * v AS v) FROM m0")
 _call("setpartabp", "m0", lambda d: d.setpartabp([{"param": "130.128", "factor": 4}], "convert"), "SELECT * REPLACE (4 * v AS v) FROM m0")
-_call("setpartab", "m0", lambda d: d.setpartab([{"code": 130, "unit": "K"}]), _PASS)
+_described("setpartab", lambda d: d.setpartab([{"code": 130, "unit": "K"}]), lambda d: str(d.variables["emb"]["unit"]), "K")
 _call("setrcaname", "m0", lambda d: d.setrcaname([{"code": 130, "out_name": "new"}]), "SELECT * REPLACE ('new' AS var) FROM m0")
 _call("remap", "m0", lambda d: d.remap("r12x6", d.gennn("r12x6")), None)
 _SQL["remap"] = _SQL["remapnn"]
