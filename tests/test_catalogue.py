@@ -14,6 +14,7 @@ yhourpctl yseasmin timselmean timselpctl yearmonmean tstepcount runmean runavg r
 merstd gridboxavg zonrange vertmean vertint histfreq ensstd enspctl ensrkhist_time monsub ymondiv yhouradd timcor fldcor fldrms regres trend detrend subtrend
 eca_fd eca_cdd eca_hwdi eca_cwfi eca_tg10p eca_r75ptot eca_hd eca_etr fdns strwin invertlat sethalo tpnhalo chlevelv setgrid enlarge settaxis shifttime
 cat merge mergetime mergegrid replace collgrid splitseas splitsel info sinfo tinfo diff nmon showdate map output outputtab intntime inttime intlevel smooth9
+fillmiss fillmiss2 ml2pl ml2hlx_lp ap2pl gheight sealevelpressure isosurface enscrps gencon genbil remapsum intgridtraj exprf setcode chunit selgrid fldavg ensavg
 remapnn remapbil remapcon remapbic remapcon2 remaplaf expr aexpr const for sincos gridarea gridweights wct fc2gp
 """.split()
 
