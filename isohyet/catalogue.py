@@ -407,11 +407,9 @@ for _n in ("sortcode", "sortname", "sortlevel", "ncopy", "template1", "template2
 _TIMES = "SELECT var, {key} AS level, ts, x, y, v FROM {s}"
 for _n, _a, _k in (("setyear", "2003", "year"), ("setmon", "2", "mon"), ("setdate", "2001-05-06", "mon"), ("shifttime", "1month", "mon"), ("settaxis", "2001-01-01,00:00:00,1day", "mon")):
     _chain = f"{_n},{_a} m0"
-    _at = {"setyear": "make_date(2003, month(t), day(t))", "setmon": "make_date(year(t), 2, day(t))", "setdate": "DATE '2001-05-06'", "shifttime": "t + INTERVAL 1 MONTH", "settaxis": "DATE '2001-01-01' + ts::INTEGER"}[_n]
+    _at = {"setyear": "make_date(2003, month(t), 1)", "setmon": "make_date(year(t), 2, 1)", "setdate": "DATE '2001-05-06'", "shifttime": "t + INTERVAL 1 MONTH", "settaxis": "DATE '2001-01-01' + ts::INTEGER"}[_n]
     _period = "year({t})" if _k == "year" else "year({t}) * 12 + month({t}) - 1"
-    _s = "m0" if _n != "setmon" else "(SELECT * FROM m0 WHERE day(t) <= 28)"
-    _chain = _chain if _n != "setmon" else "setmon,2 -selday,1/28 m0"
-    _add(_n, f"{_k}sum -{_chain}", "m0", f"SELECT var, level, x, y, {_period.format(t=_at)} AS ts, sum(v) AS v FROM {_s} GROUP BY ALL")
+    _add(_n, f"{_k}sum -{_chain}", "m0", f"SELECT var, level, x, y, {_period.format(t=_at)} AS ts, sum(v) AS v FROM m0 GROUP BY ALL")
 _add("setday", "daysum -setday,5 m0", "m0", "SELECT var, level, x, y, datediff('day', DATE '1970-01-01', make_date(year(t), month(t), 5)) AS ts, sum(v) AS v FROM m0 GROUP BY ALL")
 _add("settime", "hoursum -settime,06:00:00 m0", "m0", "SELECT var, level, x, y, datediff('day', DATE '1970-01-01', t::DATE) * 24 + 6 AS ts, sum(v) AS v FROM m0 GROUP BY ALL")
 

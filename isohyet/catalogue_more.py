@@ -17,10 +17,10 @@ SURFACE = {"ps": "100000 + 500 * e", "geosp": "1000 * (1 + e)"}
 
 
 def atm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
-    """Four levels a step, from the embeddings of label 0 in turn."""
+    """Four levels a step, from all embeddings in turn."""
     from pyspark.sql import functions as F
 
-    base = adapters.em(spark, sf_dir, 0)
+    base = adapters.em(spark, sf_dir)
     own = base.cells.select(F.floor(F.col("ts") / 4).cast("int").alias("ts"), (F.col("ts") % 4 + 1).cast("double").alias("level"), "x", "y", F.col("v").alias("e"))
     upper = F.array(*[F.struct(F.lit(n).alias("var"), F.expr(x).cast("double").alias("v")) for n, x in UPPER.items()])
     lower = F.array(*[F.struct(F.lit(n).alias("var"), F.expr(x).cast("double").alias("v")) for n, x in SURFACE.items()])
@@ -29,7 +29,7 @@ def atm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     return base.of(cells, vct=VCT, variables={n: {} for n in [*UPPER, *SURFACE]}).with_(single=frozenset())
 
 
-ATM_SQL = em_sql("m0", 0) + ", own AS (SELECT ts // 4 AS ts, ts % 4 + 1 AS level, x, y, v AS e FROM m0)"
+ATM_SQL = em_sql("m0") + ", own AS (SELECT ts // 4 AS ts, ts % 4 + 1 AS level, x, y, v AS e FROM m0)"
 _UP = ", ".join(f"{x} AS {n}" for n, x in UPPER.items())
 _LOW = ", ".join(f"{x} AS {n}" for n, x in SURFACE.items())
 ATM_SQL += f", up AS (SELECT ts, level, x, y, {_UP} FROM own), low AS (SELECT ts, x, y, {_LOW} FROM own WHERE level = 1)"

@@ -98,7 +98,8 @@ def _timed(d: Dataset, t: Column) -> Dataset:
 
 
 def _made(year: object = None, month: object = None, day: object = None) -> Column:
-    date = F.make_date(F.year(T) if year is None else F.lit(int(year)), F.month(T) if month is None else F.lit(int(month)), F.day(T) if day is None else F.lit(int(day)))
+    first = F.make_date(F.year(T) if year is None else F.lit(int(year)), F.month(T) if month is None else F.lit(int(month)), F.lit(1))
+    date = F.least(F.date_add(first, (F.day(T) if day is None else F.lit(int(day))) - 1), F.last_day(first))
     return F.timestamp_micros(F.unix_micros(date.cast("timestamp")) + F.unix_micros(T) - F.unix_micros(F.date_trunc("day", T)))
 
 

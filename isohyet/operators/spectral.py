@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from isohyet.operators.stats import middle
 
 V = F.col("v")
 CELLS = "var string, level double, ts long, t timestamp, x int, y int, v double"
+CELLS_AT_ONCE = 256  # series in a matrix product
 
 
 def by_series(d: Dataset, f) -> Dataset:  # noqa: ANN001
@@ -121,8 +123,8 @@ def spectrum(d: Dataset, detrend: int = 0, segments: int = 1, length: int | None
 def eof(d: Dataset, n: int, three: bool = False, weights: bool = True) -> tuple[Dataset, Dataset]:
     """Eigenvalues and patterns of the covariance between cells (or levels and cells); data are not centred.
 
-    The products of all pairs of steps are summed by a self-join on the cell, so that only the
-    matrix of steps, whose size does not depend on the grid, is gathered: its eigenvectors
+    Each task adds up the products of steps over its cells, a series a row, in one matrix of steps,
+    whose size does not depend on the grid; matrices are added row by row. Its eigenvectors
     give the patterns by one more weighted sum. Patterns have unit weighted norm, and the sign
     that makes their largest value positive.
     """
@@ -133,20 +135,46 @@ def eof(d: Dataset, n: int, three: bool = False, weights: bool = True) -> tuple[
     dense = d.dense()
     own = dense.cells.where(V.isNotNull()).withColumn("_w", w)
     total = own.where("ts = 0").groupBy(*group).agg(F.sum("_w").alias("_sw"))
-    other = own.select(*group, *cell, F.col("ts").alias("ts2"), F.col("v").alias("v2"))
-    gram = own.join(other, [*group, *cell]).where("ts <= ts2").groupBy(*group, "ts", "ts2").agg(F.sum(F.col("_w") * V * F.col("v2")).alias("g")).join(total, group)
+    kinds = ", ".join({"var": "var string", "level": "level double"}[c] for c in group)
+    series = own.groupBy(*group, *cell).agg(F.collect_list(F.struct("ts", "v")).alias("s"), F.first("_w").alias("_w")).select(*group, "_w", F.col("s.ts").alias("ts"), F.col("s.v").alias("v"))
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in frames:
+            for key, rows in pdf.groupby(group, sort=False):
+                size = max(int(t.max()) + 1 for t in rows["ts"])
+                g = sums.get(key, np.zeros((0, 0)))
+                g = np.pad(g, (0, max(0, size - len(g))))
+                for at in range(0, len(rows), CELLS_AT_ONCE):
+                    part = rows.iloc[at : at + CELLS_AT_ONCE]
+                    x = np.zeros((len(part), len(g)))
+                    for i, (t, v) in enumerate(zip(part["ts"], part["v"])):
+                        x[i, t] = v
+                    g += x.T @ (x * part["_w"].to_numpy()[:, None])
+                sums[key] = g
+        for key, g in sums.items():
+            yield pd.DataFrame({**dict(zip(group, key)), "ts": range(len(g)), "g": list(g)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(max(map(len, pdf["g"])))
+        for g in pdf["g"]:
+            out[: len(g)] += g
+        return pdf.iloc[[0]].assign(g=[out])
+
+    shape = f"{kinds}, ts int, g array<double>"
+    gram = series.mapInPandas(products, shape).groupBy(*group, "ts").applyInPandas(added, shape).join(total, group)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["ts2"].max()) + 1
+        size = int(pdf["ts"].max()) + 1
         g = np.zeros((size, size))
-        i, j = pdf["ts"].to_numpy(int), pdf["ts2"].to_numpy(int)
-        g[i, j] = g[j, i] = pdf["g"].to_numpy() / float(pdf["_sw"].iloc[0]) / size
+        for t, row in zip(pdf["ts"], pdf["g"]):
+            g[t, : len(row)] = row
+        g /= float(pdf["_sw"].iloc[0]) * size
         value, vector = np.linalg.eigh(g)
         order = np.argsort(-value)[: min(n, size)]
         rows = [{**{c: pdf[c].iloc[0] for c in group}, "eof": k, "value": value[o], "ts": t, "c": vector[t, o]} for k, o in enumerate(order) for t in range(size)]
         return pd.DataFrame(rows)
 
-    kinds = ", ".join({"var": "var string", "level": "level double"}[c] for c in group)
     found = gram.groupBy(*group).applyInPandas(solve, f"{kinds}, eof int, value double, ts int, c double")
     stamp = dense.cells.groupBy(*group).agg(F.max("t").alias("t"))
     place = {"x": F.lit(0), "y": F.lit(0)} | ({"level": F.lit(0.0)} if three else {})

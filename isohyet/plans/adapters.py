@@ -13,6 +13,8 @@ EV_GRID = Grid(tuple(18.0 + 36 * i for i in range(10)), tuple(-72.0 + 36 * j for
 EM_GRID = Grid(tuple(45.0 * i for i in range(8)), tuple(-78.75 + 22.5 * j for j in range(8)))
 PL_GRID = Grid(tuple(90.0 * i for i in range(4)), tuple(-67.5 + 45 * j for j in range(4)))
 
+TURN = 11  # cells by which the fields of an ensemble's members differ
+
 VARIABLES = {
     "li": {"A": {"code": 1, "param": "1.1", "unit": "pcs"}, "N": {"code": 2, "param": "2.1", "unit": "pcs"}, "R": {"code": 3, "param": "3.1", "unit": "pcs"}},
     "emb": {"emb": {"code": 130, "param": "130.128", "unit": "1", "stdname": "embedding", "ltype": 1, "tabnum": 128}},
@@ -87,27 +89,18 @@ EVD_SQL = """evd AS (
       ON s.var = f.var AND s.d = f.d AND s.x = f.x AND s.y = f.y)"""
 
 
-def em(spark: SparkSession, sf_dir: str, member: int | None = None, scale: float = 1.0) -> Dataset:
-    """Embeddings as fields of 8 by 8 cells, a step each; or those of one label, numbered."""
-    from pyspark.sql import Window as W
-
+def em(spark: SparkSession, sf_dir: str, member: int = 0) -> Dataset:
+    """Embeddings as fields of 8 by 8 cells, a step each. A member has all of them, laid out from TURN cells further on."""
     t = _table(spark, sf_dir, "embeddings")
-    n = F.col("vec_id").cast("int")
-    if member is not None:
-        t = t.where(F.col("label") == member)
-        n = (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).cast("int")
-    rows = t.withColumn("ts", n).select("ts", F.posexplode("embedding").alias("i", "e"))  # numbered before the rows are many
-    cells = rows.select(F.lit("emb").alias("var"), F.lit(0.0).alias("level"), "ts", F.timestamp_seconds(F.lit(946684800) + F.col("ts") * 86400).alias("t"), (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("e").cast("double") * scale).alias("v"))
+    rows = t.select(F.col("vec_id").cast("int").alias("ts"), F.posexplode("embedding").alias("i", "e")).withColumn("i", (F.col("i") + member * TURN) % 64)
+    cells = rows.select(F.lit("emb").alias("var"), F.lit(0.0).alias("level"), "ts", F.timestamp_seconds(F.lit(946684800) + F.col("ts") * 86400).alias("t"), (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("e").cast("double").alias("v"))
     return Dataset(cells, EM_GRID, VARIABLES["emb"], single=frozenset({"var", "level"}))
 
 
-def em_sql(name: str = "em", member: int | None = None) -> str:
-    n = "vec_id" if member is None else "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1"
-    where = "" if member is None else f"WHERE label = {member}"
+def em_sql(name: str = "em", member: int = 0) -> str:
     return f"""{name} AS (
     SELECT 'emb' AS var, 0.0 AS level, n AS ts, TIMESTAMP '2000-01-01' + to_days(n::INTEGER) AS t, i % 8 AS x, i // 8 AS y, e::DOUBLE AS v
-    FROM (SELECT n, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i
-          FROM (SELECT {n} AS n, embedding FROM embeddings {where})))"""
+    FROM (SELECT vec_id AS n, unnest(embedding) AS e, (generate_subscripts(embedding, 1) - 1 + {member * TURN}) % 64 AS i FROM embeddings))"""
 
 
 def pl(spark: SparkSession, sf_dir: str) -> Dataset:

@@ -169,3 +169,30 @@ def test_streaming_agrees_with_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["mean"] for r in spark.table("two_days").collect()) == [1.5, 3.5]
+
+
+def test_eof_against_the_whole_matrix(spark):
+    import numpy as np
+
+    grid, steps = named("r4x3"), 5
+    x = np.random.default_rng(3).normal(size=(steps, grid.ny, grid.nx))
+    x[2, 1, 1] = np.nan
+    rows = [("v", 0.0, i, dt.datetime(2001, 1, 1) + dt.timedelta(days=i), c, r, None if np.isnan(x[i, r, c]) else float(x[i, r, c])) for i in range(steps) for r in range(grid.ny) for c in range(grid.nx)]
+    d = Dataset(spark.createDataFrame(rows, "var string, level double, ts int, t timestamp, x int, y int, v double"), grid, {"v": {}}, single=frozenset({"var", "level"}))
+    found, patterns = d.eof(2, "off")
+    flat = np.nan_to_num(x).reshape(steps, -1)
+    value, vector = np.linalg.eigh(flat.T @ flat / flat.shape[1] / steps)
+    assert values(found) == pytest.approx(value[::-1][:2])
+    for k in range(2):
+        got = np.array([r["v"] for r in patterns.cells.where(f"ts = {k}").orderBy("y", "x").collect()])
+        want = vector[:, -1 - k] * math.sqrt(flat.shape[1])
+        assert abs(got) == pytest.approx(abs(want), abs=1e-9)
+        assert got[np.argmax(abs(got))] > 0
+
+
+def test_a_set_date_ends_with_its_month(spark):
+    d = series(spark, [1, 2], start="2000-02-28")
+    days = lambda o: [str(r["t"].date()) for r in o.cells.orderBy("ts").collect()]
+    assert days(d.setyear(2003)) == ["2003-02-28", "2003-02-28"]
+    assert days(d.setday(31)) == ["2000-02-29", "2000-02-29"]
+    assert days(d.setmon(3)) == ["2000-03-28", "2000-03-29"]
