@@ -1,13 +1,15 @@
 """Licence scan: a trained paragraph classifier with a confirming template comparison.
 
 In DataFrame functions on the path of the texts. Features are word 1- to 3-grams of
-the templates that hold an anchor, a template word that is not an everyday word and rare in a
-bounded background sample of the corpus. A multinomial logistic regression over the licence
+the templates that hold an anchor, a template word that is not an everyday word. A multinomial logistic regression over the licence
 families and an unknown class is fitted on the driver, with an L1 penalty that keeps
-few weights: positives are templates, whole and damaged; negatives are the background
-and sentences on other things. The probability from which a family is told is
-calibrated on background lines, every fourth, that the weights are not fitted on. A paragraph without an anchor has no feature and is unknown,
-so that documents without one pass at once.
+few weights: positives are templates, whole and damaged; negatives are a bounded background
+sample of the corpus and sentences on other things. A paragraph without an anchor has no feature and is unknown,
+so that documents without one pass at once; anchors come from the fixed lists alone, whatever the corpus.
+
+The probability from which a family is told is calibrated on all lines of the corpus: of those that share less than
+``NEAR`` of a template with the family, at most ``FALSE_ALARMS`` of all lines with a letter reach it. It lies between
+``LEAST`` and ``HIGHEST``.
 
 A prediction is confirmed where a template of the family shares at least ``CONFIRM`` of its
 3-grams (shorter ones: words) with the paragraph.
@@ -17,7 +19,8 @@ licence texts are wrapped. A block counts, at its first line, where it is confir
 and none of its lines is confirmed for the same family by itself.
 
 Bounds: BACKGROUND lines of at most LONGEST_LINE characters (those of the least hash) reach the driver; the table of
-weights has as many rows as the templates have n-grams, whatever the corpus, and is broadcast.
+weights has as many rows as the templates have n-grams, whatever the corpus, and is broadcast. The calibration collects
+a histogram of at most a thousand bins. Predictions of at least LEAST are written to the shared folder.
 
 Defined results: paragraphs are the lines and blocks of a text, numbered by line from 0; a block tells one family; null and empty texts
 have none; rows without any family have empty lists; repeated rows are scored
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import least_hashed
+from isohyet.llm.common import least_hashed, written
 from isohyet.llm.license_texts import EVERYDAY, OTHERS, TEMPLATES
 
 BACKGROUND = 2000
@@ -44,7 +47,8 @@ DAMAGED = 24  # copies of each template with words lost, cut or put around
 FALSE_ALARMS = 0.001
 CONFIRM = 0.5
 PENALTY = 2e-4
-COMMON = 0.002  # of background paragraphs: template words above it are no anchors
+LEAST, HIGHEST = 0.5, 0.95  # bounds of the probability from which a family is told
+NEAR = 0.1
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 UNKNOWN = "unknown"
 
@@ -72,13 +76,8 @@ class Model:
         templates = [(f, words(t)) for f, t in TEMPLATES]
         self.shapes = [(f, shape(t)) for f, t in templates]
         plain = [w for w in map(words, background) if not any(len(s & shape(w)) >= CONFIRM * len(s) and s for _, s in self.shapes)]
-        seen: dict[str, int] = {}
-        for w in plain:
-            for x in set(w):
-                seen[x] = seen.get(x, 0) + 1
-        self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in EVERYDAY and seen.get(w, 0) <= COMMON * max(1, len(plain))}
-        apart = [w for i, w in enumerate(plain) if i % 4 == 0]  # of these the threshold is taken, not the weights
-        rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for i, w in enumerate(plain) if i % 4] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
+        self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in EVERYDAY}
+        rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for w in plain] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
         fill = [x for w in plain for x in w][:20000] or [x for o in OTHERS for x in words(o)]
         for family, t in templates:
             rows += 8 * [(family, t)]
@@ -91,8 +90,7 @@ class Model:
         x = self._matrix([w for _, w in rows])
         y = np.array([classes.index(f) for f, _ in rows])
         self.weights, self.bias = self._fit(x, y, len(classes))
-        told = 1 - self._chance(self._matrix(apart))[:, 0]
-        self.threshold = max(0.5, float(np.quantile(told, 1 - FALSE_ALARMS))) if len(told) else 0.5
+        self.threshold = LEAST
 
     def _matrix(self, texts: list[list[str]]) -> np.ndarray:
         x = np.zeros((len(texts), len(self.grams)))
@@ -133,6 +131,18 @@ def background(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return [r["line"] for r in one.orderBy("h", "line").limit(BACKGROUND).collect()]
 
 
+def calibrated(scored: DataFrame, lines: int) -> float:
+    """The least of thousand steps from LEAST on that at most FALSE_ALARMS of all lines reach, of those unlike any template."""
+    plain = scored.where((F.col("line") == F.col("last")) & (F.col("overlap") < NEAR))
+    bins = sorted(plain.groupBy(F.floor(F.col("probability") * 1000).alias("bin")).count().collect(), reverse=True)
+    seen = 0
+    for one, n in bins:
+        seen += n
+        if seen > FALSE_ALARMS * lines:
+            return min(HIGHEST, max(LEAST, (one + 1) / 1000))
+    return LEAST
+
+
 def _ngrams(tokens: Column) -> Column:
     """Distinct 1- to 3-grams; the outer transform has the tokens made once for all of them."""
 
@@ -193,7 +203,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     overlap = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"s{len(classes) + j}") / len(s) for j, (f, s) in enumerate(model.shapes) if f == c]) for c in classes])
     best = F.array_position(logits, top).cast("int")
     scored = by.select("row", "id", "key", "line", "last", F.element_at(names, best).alias("family"), (1 / total).alias("probability"), F.element_at(overlap, best).alias("overlap"))
-    told = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
+    scored = written(scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST)))
+    total = docs.select(F.sum(F.size(F.filter(F.split(text_col, "\n", -1), lambda x: x.rlike("[A-Za-z]"))).cast("long"))).first()[0]
+    model.threshold = calibrated(scored, total or 0)
+    told = scored.where(F.col("probability") >= model.threshold)
     told = told.withColumn("confirmed", F.col("overlap") >= CONFIRM)
     alone = F.collect_list(F.when(F.col("confirmed") & (F.col("line") == F.col("last")), F.col("line"))).over(W.partitionBy("row", "family"))
     block = F.col("confirmed") & ~F.exists("alone", lambda x: x.between(F.col("line"), F.col("last")))

@@ -205,6 +205,24 @@ def test_licences_are_those_of_a_slow_reading(spark, sf):
     assert sum(bool(x) for _, x in got) > 5
 
 
+def test_every_confirmed_paragraph_holds_an_anchor():
+    model = licenses.Model([])
+    for _, shape in model.shapes:
+        without = [g for g in shape if not model.anchors & set(g.split())]
+        assert len(without) < licenses.CONFIRM * len(shape)
+
+
+def test_licence_threshold_is_of_all_lines(spark):
+    rows = [(3, 3, 0.05, 0.6)] * 3 + [(1, 1, 0.0, 0.7), (2, 2, 0.9, 0.99), (4, 9, 0.0, 0.99)]  # like a template; a block
+    scored = spark.createDataFrame(rows, "line int, last int, overlap double, probability double")
+    assert licenses.calibrated(scored, 4000) == 0.5
+    assert licenses.calibrated(scored, 3000) == pytest.approx(0.6, abs=0.0011)
+    assert licenses.calibrated(scored, 1000) == pytest.approx(0.6, abs=0.0011)
+    assert licenses.calibrated(scored, 999) == pytest.approx(0.7, abs=0.0011)
+    assert licenses.calibrated(spark.createDataFrame([(1, 1, 0.0, 0.999)], scored.schema), 10) == licenses.HIGHEST
+    assert licenses.calibrated(scored.limit(0), 0) == 0.5
+
+
 def test_licences_wrapped_over_lines(spark):
     import textwrap
 
