@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier with a confirming template comparison.
 
 In DataFrame functions on the path of the texts. Features are word 1- to 3-grams of
-the templates that hold an anchor, a template word that is not an everyday word. A multinomial logistic regression over the licence
+the templates that hold an anchor, a template word that is not an everyday word (the longest
+everyday words too, where half of a template would do without). A multinomial logistic regression over the licence
 families and an unknown class is fitted on the driver, with an L1 penalty that keeps
 few weights: positives are templates, whole and damaged; negatives are a bounded background
 sample of the corpus and sentences on other things. A paragraph without an anchor has no feature and is unknown,
@@ -77,6 +78,10 @@ class Model:
         self.shapes = [(f, shape(t)) for f, t in templates]
         plain = [w for w in map(words, background) if not any(len(s & shape(w)) >= CONFIRM * len(s) and s for _, s in self.shapes)]
         self.anchors = {w for _, t in templates for w in t if re.search("[a-z]{2}", w) and w not in EVERYDAY}
+        for _, t in templates:  # no text with CONFIRM of a template is without an anchor
+            for w in sorted(set(t), key=lambda w: (-len(w), w)):
+                if sum(not self.anchors & set(g.split()) for g in shape(t)) >= CONFIRM * len(shape(t)):
+                    self.anchors.add(w)
         rows: list[tuple[str, list[str]]] = [(UNKNOWN, w) for w in plain] + 3 * [(UNKNOWN, words(o)) for o in OTHERS]
         fill = [x for w in plain for x in w][:20000] or [x for o in OTHERS for x in words(o)]
         for family, t in templates:
