@@ -1,13 +1,18 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts become sets of hashed five-word shingles; texts of one set are one class from the
-start. Every run samples, by a hash of run and token, ``CHOSEN`` tokens of each set on
-average: sets that share a sampled token share a bucket. Buckets over ``SMALL`` sets are
-split again, recursively, by what is sampled for the path so far: tokens at the second level, and
-places of the sets' sketches below it, of which similar sets share as large a part. A
+start. A step of a path is ``STEP`` tokens of a set, each the least one under a hash of its own. Every
+run takes one step: sets that take the same share a bucket. Buckets over ``SMALL`` sets are
+split again, recursively, by further steps that are picked for the path so far, and read from
+the sets' sketches. Two tokens a step part sets that share a passage only: sets that have a
+part f of their least tokens in common stay together with a probability of f squared. A
 split that leaves over half of a bucket together tells nothing apart (near copies of one text); such
-a bucket is compared as it is, so that sizes halve at least and the recursion ends. Runs repeat until
-a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` at any depth.
+a bucket is compared as it is, so that sizes halve at least and the recursion ends. Runs and steps are as
+many as it takes until a pair at the threshold is missed with a probability of at most 1 - ``RECALL`` at any depth.
+
+Paths and clusters are made of (bucket, node) alone, node being a 64-bit hash of the set; sizes and
+sketches are brought to the few rows that share a bucket. Sets that meet in one node are compared
+once more, nothing else.
 
 Buckets are brute-forced over 64-byte minhash sketches and leave a spanning forest of
 likely pairs only, never all pairs. The components of these forests are clusters, and
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +45,10 @@ from isohyet.llm.graph import components
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
-CHOSEN = 2.5
+STEP = 2
 SMALL = 500
 BLOCK = 1024
 SKETCH = 64
-#: Matching sketch bytes that make a pair likely: six standard deviations below the threshold.
-LIKELY = int(SKETCH * THRESHOLD - 6 * math.sqrt(SKETCH * THRESHOLD * (1 - THRESHOLD)))
 #: Rows of (id, cluster), of some 120 bytes, that may be broadcast; beyond, a join by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -56,12 +60,35 @@ _memo: dict[bytes, int] = {}
 np.seterr(over="ignore")
 
 
-def runs_for(threshold: float = THRESHOLD, recall: float = RECALL, chosen: float = CHOSEN) -> int:
-    """Runs until a pair at the threshold is in one bucket with that probability, however deep the paths."""
-    shared, missed = chosen * 2 * threshold / (1 + threshold), 0.0
-    for _ in range(99):  # a level more each time, up to the limit
-        missed = math.exp(-shared * (1 - missed))
-    return math.ceil(math.log(1 - recall) / math.log(missed))
+def likely(threshold: float = THRESHOLD) -> int:
+    """Matching sketch bytes that make a pair likely: six standard deviations below the threshold."""
+    return int(SKETCH * threshold - 6 * math.sqrt(SKETCH * threshold * (1 - threshold)))
+
+
+def missed(runs: int, splits: int, threshold: float = THRESHOLD) -> float:
+    """How likely a pair at the threshold is in no common bucket, however deep the paths.
+
+    The mean over the places that the two sketches share, as all steps are read from those.
+    """
+    total = 0.0
+    for same in range(SKETCH + 1):
+        chance = math.comb(SKETCH, same) * threshold**same * (1 - threshold) ** (SKETCH - same)
+        step, below = math.comb(same, STEP) / math.comb(SKETCH, STEP), 0.0
+        for _ in range(99):  # a level more each time, up to the limit
+            below = (1 - step * (1 - below)) ** splits
+        total += chance * (1 - step * (1 - below)) ** runs
+    return total
+
+
+@cache
+def runs_for(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """(runs, steps into which a bucket is split): the least sum of both that misses no more than allowed."""
+    most = SKETCH // STEP
+    for total in range(2, 16 * most):
+        for splits in range(1, min(most, total - 1) + 1):
+            if missed(total - splits, splits, threshold) <= 1 - recall:
+                return total - splits, splits
+    raise ValueError(f"a sketch of {SKETCH} places does not find pairs of a similarity of {threshold}")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -92,29 +119,30 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(out + np.uint64(min(words, len(ids)))))
 
 
-def sketch(tokens: np.ndarray) -> bytes:
+def least(tokens: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of the hashes."""
     low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(tokens), 4096):
         low = np.minimum(low, (tokens[k : k + 4096, None] * _A).min(axis=0))
+    return low
+
+
+def sketch(low: np.ndarray) -> bytes:
     return (_mixed(low) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def paths(tokens: np.ndarray, runs: int, chosen: float = CHOSEN) -> tuple[list[int], list[list[int]]]:
-    """The buckets of a set, of all runs; and for each, the buckets it is split into."""
-    limit = np.uint64(min(2**64 - 1, int(2**64 * chosen / max(1, len(tokens)))))
-    first: list[int] = []
-    for run in range(runs):
-        keys = _mixed(tokens + np.uint64(run + 1) * _MIX)
-        first += keys[keys <= limit].tolist()
-    second = []
-    for path in first:
-        keys = _mixed(tokens ^ np.uint64(path))
-        second.append((_mixed(keys[keys <= limit] + np.uint64(path)).astype(np.int64)).tolist())
-    return np.array(first, np.uint64).astype(np.int64).tolist(), second
+def paths(low: np.ndarray, runs: int) -> np.ndarray:
+    """The buckets of a set: the first step of each run. No two runs take the same places."""
+    run = np.arange(runs)
+    first, apart = STEP * run % SKETCH, 1 + STEP * (run // (SKETCH // STEP))
+    keys = run.astype(np.uint64) * _MIX
+    for k in range(STEP):
+        keys = _mixed(keys + _MIX) ^ low[(first + k * apart) % SKETCH]
+    return _mixed(keys).astype(np.int64)
 
 
 def sets(df: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
-    """(id, key, name, n, sketch, buckets, splits): a row for each text; name: a hash of its set."""
+    """(id, key, name, n, sketch, buckets): a row for each text; name: a hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -122,18 +150,17 @@ def sets(df: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                name, size, drawn, buckets, splits = [], [], [], [], []
+                name, size, drawn, buckets = [], [], [], []
                 for text in part.column(2).to_pylist():
                     tokens = shingles(text or "")
-                    one, two = paths(tokens, runs)
+                    low = least(tokens)
                     name.append(xxhash.xxh3_128_digest(tokens.tobytes())), size.append(len(tokens))
-                    drawn.append(sketch(tokens)), buckets.append(one), splits.append(two)
-                long = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.array(drawn, pa.binary()), pa.array(buckets, long), pa.array(splits, pa.list_(long))], names=["id", "key", "name", "n", "sketch", "buckets", "splits"])
+                    drawn.append(sketch(low)), buckets.append(paths(low, runs))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name, pa.binary()), pa.array(size, pa.int32()), pa.array(drawn, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "key", "name", "n", "sketch", "buckets"])
 
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    schema = f"id {kind}, key long, name binary, n int, sketch binary, buckets array<long>, splits array<array<long>>"
+    schema = f"id {kind}, key long, name binary, n int, sketch binary, buckets array<long>"
     return small_batches(df).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, schema)
 
 
@@ -196,10 +223,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.T
 
 
 def _likely(rows: pa.Table, start: np.ndarray, threshold: float) -> tuple[pa.Array, pa.Array]:
-    """Spanning forests of the likely pairs within the groups of rows, as names (a, b)."""
-    name, n, of = rows["name"].combine_chunks(), rows["n"].to_numpy(), rows["_of"].to_numpy()
+    """Spanning forests of the likely pairs within the groups of rows, as nodes (a, b)."""
+    node, n, of = rows["node"].combine_chunks(), rows["n"].to_numpy(), rows["_of"].to_numpy()
     codes = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(rows), SKETCH)
     stop = np.repeat(np.append(start[1:], len(rows)), np.diff(np.append(start, len(rows))))
+    least_same = likely(threshold)
     forest = Forest(len(rows))
     left = np.arange(len(rows))
     for k in range(1, int(np.diff(np.append(start, len(rows))).max())):
@@ -207,20 +235,20 @@ def _likely(rows: pa.Table, start: np.ndarray, threshold: float) -> tuple[pa.Arr
         a, b = left, left + k
         fits = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & ((of[a] != of[b]) | (of[a] == 0))
         a, b = a[fits], b[fits]
-        near = (codes[a] == codes[b]).sum(axis=1) >= LIKELY
+        near = (codes[a] == codes[b]).sum(axis=1) >= least_same
         forest.join(a[near], b[near])
     a, b = forest.edges()
-    return name.take(pa.array(a)), name.take(pa.array(b))
+    return node.take(pa.array(a)), node.take(pa.array(b))
 
 
-def _pair_tiles(df: DataFrame, group: str, size: str, side: int) -> DataFrame:
+def _pair_tiles(df: DataFrame, name: str, size: str, side: int) -> DataFrame:
     """df with _x, _y, _of: square tiles of a group's rows; _of: 0 both sides, 1 left, 2 right.
 
     A group of one block makes one tile; a row of a larger one goes to as many
     tiles as the group has blocks.
     """
     blocks = F.ceil(F.col(size) / side).cast("int")
-    own = F.pmod(F.xxhash64("name"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(name), blocks).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), F.when(own == k, 0).when(own < k, 1).otherwise(2).alias("of")))
     return df.withColumn("_t", F.explode(tiles)).withColumn("_x", F.col("_t.x")).withColumn("_y", F.col("_t.y")).withColumn("_of", F.col("_t.of")).drop("_t")
 
@@ -239,22 +267,24 @@ def _sized(rows: DataFrame) -> DataFrame:
     return written(flagged.where("_hot is not null").withColumnRenamed("_hot", "size").unionByName(small))
 
 
-def _places(threshold: float) -> Column:
-    """Buckets below ``bucket``: sampled places of the sketch with what stands there, as many shared as of tokens."""
-    bound = int(2**32 * CHOSEN * 2 / (1 + threshold) / SKETCH)
-    keys = F.transform(F.sequence(F.lit(1), F.lit(SKETCH)), lambda k: F.xxhash64(F.col("bucket"), k, F.substring("sketch", k, F.lit(1))))
-    return F.filter(keys, lambda h: F.pmod(h, F.lit(2**32)) < bound)
+def _steps(splits: int) -> Column:
+    """Buckets below ``bucket``: what the sketch has at places that the path picks, ``STEP`` of them a bucket, none twice."""
+    first, apart = F.pmod(F.xxhash64("bucket"), F.lit(SKETCH)), 2 * F.pmod(F.xxhash64("bucket", F.lit(1)), F.lit(SKETCH // 2)) + 1
+    at = lambda k: F.substring("sketch", F.pmod(first + k * apart, F.lit(SKETCH)).cast("int") + 1, F.lit(1))
+    return F.array(*[F.xxhash64("bucket", F.lit(k), *[at(STEP * k + i) for i in range(STEP)]) for k in range(splits)])
 
 
-def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): a spanning forest of likely pairs of every bucket."""
-    own = reps.where("n > 0").select("name", "n", "sketch", F.explode(F.arrays_zip("buckets", "splits")).alias("z"))
-    level = _sized(own.select("name", "n", "sketch", F.col("z.buckets").alias("bucket"), F.col("z.splits").alias("splits")))
-    row = ["name", "n", "sketch", "bucket", "size"]
+def _leaves(reps: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, size, node, n, sketch): the buckets that are compared."""
+    own = reps.where("n > 0").select("node", "n", "sketch", "buckets")
+    sketches = own.select("node", "n", "sketch")
+    level = written(_sized(own.select("node", F.explode("buckets").alias("bucket"))).join(sketches, "node"))
+    row = ["bucket", "size", "node", "n", "sketch"]
     leaves = level.where(F.col("size") <= SMALL).select(*row)
-    large, keys = level.where(F.col("size") > SMALL), F.col("splits")
+    large = level.where(F.col("size") > SMALL)
+    _, splits = runs_for(threshold)
     while not large.isEmpty():
-        split = large.select("name", "n", "sketch", F.col("bucket").alias("parent"), F.col("size").alias("of"), F.explode(keys).alias("bucket"))
+        split = written(large.select("node", "n", "sketch", F.col("bucket").alias("parent"), F.col("size").alias("of"), F.explode(_steps(splits)).alias("bucket")))
         level = _sized(split)
         parts = level.groupBy("parent").agg(F.first("of").alias("of"), F.max("size").alias("most")).where(F.col("most") * 2 > F.col("of"))
         together = written(parts.select(F.col("parent").alias("bucket")))
@@ -262,16 +292,21 @@ def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
         leaves = leaves.unionByName(large.join(few(together), "bucket", "left_semi").select(*row))
         apart = level.join(few(together.withColumnRenamed("bucket", "parent")), "parent", "left_anti")
         leaves = leaves.unionByName(apart.where(F.col("size") <= SMALL).select(*row))
-        large, keys = apart.where(F.col("size") > SMALL), _places(threshold)
-    buckets = _pair_tiles(leaves, "bucket", "size", BLOCK)
+        large = apart.where(F.col("size") > SMALL)
+    return leaves
+
+
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of likely pairs of every bucket, as nodes."""
+    buckets = _pair_tiles(_leaves(reps, threshold), "node", "size", BLOCK)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, start in _groups(batches, 3):
             yield pa.RecordBatch.from_arrays([*_likely(rows, start, threshold)], names=["a", "b"])
 
     keys = ["bucket", "_x", "_y"]
-    together = buckets.select(*keys, "_of", "name", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
-    return together.mapInArrow(pairs, "a binary, b binary").distinct()
+    together = buckets.select(*keys, "_of", "node", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
@@ -324,12 +359,12 @@ def _exact(name: np.ndarray, copies: np.ndarray, of: np.ndarray, blobs: list[byt
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, class_id, links): every row's class and the number of its links; key: xxhash64 of its text."""
-    rows = written(sets(df, id_col, text_col, runs_for(threshold)))
-    reps = rows.groupBy("name").agg(F.min(F.struct("id", "key")).alias("of"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"), F.first("splits").alias("splits"))
-    reps = written(reps)
+    rows = written(sets(df, id_col, text_col, runs_for(threshold)[0]))
+    reps = rows.groupBy("name").agg(F.min(F.struct("id", "key")).alias("of"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    reps = written(reps.withColumn("node", F.xxhash64("name")))
     clusters = components(_candidates(reps, threshold))
     sized = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    member = written(reps.join(clusters.join(sized, "root"), F.col("name") == F.col("node")).select("name", "copies", F.col("of.id").alias("_id"), F.col("of.key").alias("_key"), F.col("root").alias("cluster"), "size"))
+    member = written(reps.join(clusters.join(sized, "root"), "node").select("name", "copies", F.col("of.id").alias("_id"), F.col("of.key").alias("_key"), F.col("root").alias("cluster"), "size"))
     side = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
     text = F.coalesce(F.col(text_col), F.lit(""))
     picked = df.select(F.col(id_col).alias("id"), text.alias("text")).join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("name", "copies", "cluster", "size", "text")
@@ -339,7 +374,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
             made = pa.array([shingles(t).tobytes() for t in b.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], made], names=["name", "copies", "cluster", "size", "tokens"])
 
-    full = picked.mapInArrow(tokens, "name binary, copies long, cluster binary, size long, tokens binary")
+    full = picked.mapInArrow(tokens, "name binary, copies long, cluster long, size long, tokens binary")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, start in _groups(batches, 3):
@@ -351,7 +386,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["name", "links", "other"])
 
     keys = ["cluster", "_x", "_y"]
-    tiles = _pair_tiles(full, "cluster", "size", BLOCK).select(*keys, "_of", "name", "copies", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+    tiles = _pair_tiles(full, "name", "size", BLOCK).select(*keys, "_of", "name", "copies", "tokens").repartition(*keys).sortWithinPartitions(*keys)
     links = written(tiles.mapInArrow(exact, "name binary, links long, other binary"))
     classes = components(links.where("other is not null").select(F.col("name").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("name").agg(F.sum("links").alias("links"))

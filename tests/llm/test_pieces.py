@@ -186,6 +186,38 @@ def test_buckets_are_split_until_they_are_small(monkeypatch, spark):
     assert got == {i: (classes[i], links[i]) for i in range(len(texts))}
 
 
+def test_rows_of_large_buckets_are_made_once(monkeypatch, spark):
+    """Paths carry no sketches into the first shuffle; the rows of a split are made once, not for each table that reads them."""
+    monkeypatch.setattr(jaccard, "SMALL", 20)
+    given, sized = [], jaccard._sized
+    monkeypatch.setattr(jaccard, "_sized", lambda rows: given.append(rows) or sized(rows))
+    common = [f"c{k}" for k in range(40)]
+    texts = [" ".join(common + [f"d{d}x{k}" for k in range(60)]) for d in range(60)]
+    texts += [" ".join(common + [f"e{k}" for k in range(60)] + [f"near{j}"]) for j in range(30)]
+    links, classes = links_slowly(texts)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.join(docs(spark, texts)).collect()}
+    assert got == {i: (classes[i], links[i]) for i in range(len(texts))}
+    assert len(given) > 1 and not {"sketch", "splits"} & set(given[0].columns)
+    assert not [rows for rows in given[1:] if "Generate" in rows._jdf.queryExecution().toString()]
+
+
+def test_pairs_at_the_threshold_meet():
+    """Sets of a similarity of 0.8 share a first step as often as planned; sets that share a quarter seldom do."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    runs, splits = jaccard.runs_for()
+    assert jaccard.missed(runs, splits) <= 1 - jaccard.RECALL
+
+    def shared(common, own):
+        tokens = jaccard._mixed(rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64))
+        a, b = (jaccard.paths(jaccard.least(np.concatenate([tokens[:common], own])), runs) for own in (tokens[common : common + own], tokens[common + own :]))
+        return int((a == b).sum())
+
+    assert sum(shared(80, 10) == 0 for _ in range(2000)) <= 8
+    assert sum(shared(25, 75) for _ in range(500)) <= 250  # a token a step: 9 * 1 / 7 buckets a pair, here 9 / 49
+
+
 def test_long_texts_are_joined(spark):
     base = [f"w{k}" for k in range(150_000)]
     texts = [" ".join(base), " ".join(base[:140_000]), " ".join(base[:100_000]), "x"]
