@@ -25,7 +25,7 @@ def atm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     upper = F.array(*[F.struct(F.lit(n).alias("var"), F.expr(x).cast("double").alias("v")) for n, x in UPPER.items()])
     lower = F.array(*[F.struct(F.lit(n).alias("var"), F.expr(x).cast("double").alias("v")) for n, x in SURFACE.items()])
     rows = own.withColumn("r", F.explode(upper)).select("r.var", "level", "ts", "x", "y", "r.v").unionByName(own.where("level = 1").withColumn("r", F.explode(lower)).select("r.var", F.lit(0.0).alias("level"), "ts", "x", "y", "r.v"))
-    cells = rows.withColumn("t", F.timestamp_seconds(F.lit(946684800) + F.col("ts") * 86400))
+    cells = rows.withColumn("t", adapters.days(F.col("ts")))
     return base.of(cells, vct=VCT, variables={n: {} for n in [*UPPER, *SURFACE]}).with_(single=frozenset())
 
 

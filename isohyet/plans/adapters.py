@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.dataset import Dataset
@@ -89,11 +89,16 @@ EVD_SQL = """evd AS (
       ON s.var = f.var AND s.d = f.d AND s.x = f.x AND s.y = f.y)"""
 
 
+def days(ts: Column) -> Column:
+    """The time stamp ts days after 2000-01-01; seconds are counted in 64 bits, as 32 bits overflow from day 13,899 on."""
+    return F.timestamp_seconds(F.lit(946684800) + ts.cast("long") * 86400)
+
+
 def em(spark: SparkSession, sf_dir: str, member: int = 0) -> Dataset:
     """Embeddings as fields of 8 by 8 cells, a step each. A member has all of them, laid out from TURN cells further on."""
     t = _table(spark, sf_dir, "embeddings")
     rows = t.select(F.col("vec_id").cast("int").alias("ts"), F.posexplode("embedding").alias("i", "e")).withColumn("i", (F.col("i") + member * TURN) % 64)
-    cells = rows.select(F.lit("emb").alias("var"), F.lit(0.0).alias("level"), "ts", F.timestamp_seconds(F.lit(946684800) + F.col("ts") * 86400).alias("t"), (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("e").cast("double").alias("v"))
+    cells = rows.select(F.lit("emb").alias("var"), F.lit(0.0).alias("level"), "ts", days(F.col("ts")).alias("t"), (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("e").cast("double").alias("v"))
     return Dataset(cells, EM_GRID, VARIABLES["emb"], single=frozenset({"var", "level"}))
 
 
