@@ -81,6 +81,12 @@ class Dataset:
         return lambda *args: registry.apply(name, [self], *args)
 
 
+def apply_in_groups(cells: DataFrame, keys: list[str | Column], f: Callable, more: str = "") -> DataFrame:
+    """Groups of cells as pandas frames through *f*; t is in microseconds there, as pandas' time stamps end in 2262."""
+    kinds = f"var string, level double, ts long, t long, x int, y int, v double{more}"
+    return cells.withColumn("t", F.unix_micros("t")).groupBy(*keys).applyInPandas(f, kinds).withColumn("t", F.timestamp_micros("t"))
+
+
 def union(datasets: list[Dataset]) -> DataFrame:
     out = datasets[0].cells.select(*COLUMNS)
     for d in datasets[1:]:

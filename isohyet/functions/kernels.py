@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 RADIUS = 6371000.0
 
@@ -37,8 +39,35 @@ def detrended(v: np.ndarray) -> np.ndarray:
     return v - np.polyval(np.polyfit(k, v, 1), k)
 
 
-def legendre(mu: np.ndarray, top: int) -> np.ndarray:
+def stacked(pdf: pd.DataFrame, names: tuple[str, ...], ny: int, nx: int, fill: float) -> tuple[list[np.ndarray], pd.DataFrame]:
+    """The fields [step, y, x] of each of the named variables of a level, and a row a step of what they share."""
+    ts, first, at = np.unique(pdf["ts"].to_numpy(), return_index=True, return_inverse=True)
+    y, x, v, var = pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["v"].to_numpy(float), pdf["var"].to_numpy()
+    fields = []
+    for name in names:
+        own = var == name
+        a = np.full((len(ts), ny, nx), fill)
+        a[at[own], y[own], x[own]] = v[own]
+        fields.append(a)
+    return fields, pdf[["level", "ts", "t"]].iloc[first]
+
+
+def unstacked(fields: np.ndarray, steps: pd.DataFrame, name: str) -> pd.DataFrame:
+    """Rows of fields [step, y, x]."""
+    n, ny, nx = fields.shape
+    out = steps.iloc[np.repeat(np.arange(n), ny * nx)]
+    y, x = np.indices((ny, nx), dtype="int32")
+    out = out.assign(var=name, x=np.tile(x.ravel(), n), y=np.tile(y.ravel(), n), v=fields.ravel())
+    return out[["var", "level", "ts", "t", "x", "y", "v"]]
+
+
+# Fields and coefficients: the last two axes are those of one, any before them count several.
+
+
+@lru_cache(maxsize=8)
+def legendre(lats: tuple[float, ...], top: int) -> np.ndarray:
     """Normalised associated functions [m, n, latitude] up to a triangular truncation, by recursion on the degree."""
+    mu = np.sin(np.radians(lats))
     p = np.zeros((top + 2, top + 2, len(mu)))
     root = np.sqrt(1 - mu * mu)
     for m in range(top + 2):
@@ -46,11 +75,20 @@ def legendre(mu: np.ndarray, top: int) -> np.ndarray:
         if m <= top:
             p[m, m + 1] = mu * math.sqrt(2 * m + 3) * p[m, m]
         for n in range(m + 2, top + 2):
-            e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1))  # noqa: B023, E731
-            p[m, n] = (mu * p[m, n - 1] - e(n - 1) * p[m, n - 2]) / e(n)
+            p[m, n] = (mu * p[m, n - 1] - _ratio(m, n - 1) * p[m, n - 2]) / _ratio(m, n)
     return p
 
 
+def _ratio(m: int, n: int) -> float:
+    return math.sqrt((n * n - m * m) / (4 * n * n - 1)) if n else 0.0
+
+
+def slopes(p: np.ndarray, m: int, top: int) -> np.ndarray:
+    """(1 - mu^2) dP/dmu [n, latitude] of the degrees from m on."""
+    return np.array([(n + 1) * _ratio(m, n) * p[m, n - 1] * (n > m) - n * _ratio(m, n + 1) * p[m, n + 1] for n in range(m, top + 1)])
+
+
+@lru_cache(maxsize=8)
 def gaussian_nodes(lats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Sines of Gaussian latitudes as given, and their quadrature weights."""
     mu = np.sin(np.radians(lats))
@@ -58,93 +96,88 @@ def gaussian_nodes(lats: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     return mu, w[np.argsort(np.argsort(mu))]
 
 
+def order(c: np.ndarray, m: int) -> np.ndarray:
+    n = c.shape[-2] - m
+    return c[..., m, 0 : 2 * n : 2] + 1j * c[..., m, 1 : 2 * n : 2]
+
+
+def put_order(out: np.ndarray, m: int, z: np.ndarray) -> None:
+    n = z.shape[-1]
+    out[..., m, 0 : 2 * n : 2], out[..., m, 1 : 2 * n : 2] = z.real, z.imag
+
+
+def _no_coefficients(field: np.ndarray, top: int) -> np.ndarray:
+    return np.zeros((*field.shape[:-2], top + 1, 2 * (top + 1)))
+
+
 def to_spectral(field: np.ndarray, lats: tuple[float, ...], top: int) -> np.ndarray:
-    mu, w = gaussian_nodes(lats)
-    p = legendre(mu, top)
-    f = np.fft.fft(field, axis=1) / field.shape[1]
-    out = np.zeros((top + 1, 2 * (top + 1)))
+    w = gaussian_nodes(lats)[1]
+    p = legendre(lats, top)
+    f = np.fft.fft(field, axis=-1) / field.shape[-1]
+    out = _no_coefficients(field, top)
     for m in range(top + 1):
-        c = np.einsum("nj,j,j->n", p[m, m : top + 1], w, f[:, m])
-        out[m, 0 : 2 * len(c) : 2], out[m, 1 : 2 * len(c) : 2] = c.real, c.imag
+        put_order(out, m, f[..., m] @ (p[m, m : top + 1] * w).T)
     return out
 
 
 def from_spectral(coefficients: np.ndarray, lats: tuple[float, ...], nlon: int) -> np.ndarray:
-    top = coefficients.shape[0] - 1
-    p = legendre(np.sin(np.radians(lats)), top)
-    f = np.zeros((len(lats), nlon), complex)
+    top = coefficients.shape[-2] - 1
+    p = legendre(lats, top)
+    f = np.zeros((*coefficients.shape[:-2], len(lats), nlon), complex)
     for m in range(min(top, nlon // 2) + 1):
-        n = top + 1 - m
-        c = coefficients[m, 0 : 2 * n : 2] + 1j * coefficients[m, 1 : 2 * n : 2]
-        f[:, m] = p[m, m : top + 1].T @ c
+        f[..., m] = order(coefficients, m) @ p[m, m : top + 1]
         if m:
-            f[:, nlon - m] = np.conj(f[:, m])
-    return np.fft.ifft(f, axis=1).real * nlon
+            f[..., nlon - m] = np.conj(f[..., m])
+    return np.fft.ifft(f, axis=-1).real * nlon
 
 
 def resized(c: np.ndarray, top: int) -> np.ndarray:
-    out = np.zeros((top + 1, 2 * (top + 1)))
-    old = c.shape[0] - 1
+    out = _no_coefficients(c, top)
+    old = c.shape[-2] - 1
     for m in range(min(top, old) + 1):
         n = 2 * (min(top, old) + 1 - m)
-        out[m, :n] = c[m, :n]
+        out[..., m, :n] = c[..., m, :n]
     return out
 
 
 def to_fourier(f: np.ndarray) -> np.ndarray:
-    c = np.fft.rfft(f, axis=1) / f.shape[1]
-    return np.stack([c.real, c.imag], axis=-1).reshape(f.shape[0], -1)
+    c = np.fft.rfft(f, axis=-1) / f.shape[-1]
+    return np.stack([c.real, c.imag], axis=-1).reshape(*f.shape[:-1], -1)
 
 
 def from_fourier(c: np.ndarray) -> np.ndarray:
-    z = c[:, 0::2] + 1j * c[:, 1::2]
-    return np.fft.irfft(z, 2 * (z.shape[1] - 1), axis=1) * 2 * (z.shape[1] - 1)
-
-
-def order(c: np.ndarray, m: int) -> np.ndarray:
-    n = c.shape[0] - m
-    return c[m, 0 : 2 * n : 2] + 1j * c[m, 1 : 2 * n : 2]
-
-
-def put_order(out: np.ndarray, m: int, z: np.ndarray) -> None:
-    out[m, 0 : 2 * len(z) : 2], out[m, 1 : 2 * len(z) : 2] = z.real, z.imag
+    z = c[..., 0::2] + 1j * c[..., 1::2]
+    return np.fft.irfft(z, 2 * (z.shape[-1] - 1), axis=-1) * 2 * (z.shape[-1] - 1)
 
 
 def uv_to_dv(u: np.ndarray, v: np.ndarray, lats: tuple[float, ...], top: int) -> tuple[np.ndarray, np.ndarray]:
     """Spectral divergence and vorticity of wind on a Gaussian grid, by parts in latitude."""
     mu, w = gaussian_nodes(lats)
     cos2 = 1 - mu * mu
-    p = legendre(mu, top)
-    fu, fv = (np.fft.fft(a * np.sqrt(cos2)[:, None], axis=1) / a.shape[1] for a in (u, v))
-    div, vor = np.zeros((top + 1, 2 * (top + 1))), np.zeros((top + 1, 2 * (top + 1)))
+    p = legendre(lats, top)
+    fu, fv = (np.fft.fft(a * np.sqrt(cos2)[:, None], axis=-1) / a.shape[-1] for a in (u, v))
+    div, vor = _no_coefficients(u, top), _no_coefficients(u, top)
     for m in range(top + 1):
-        e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1)) if k else 0.0  # noqa: B023, E731
-        zd, zv = [], []
-        for n in range(m, top + 1):
-            h = (n + 1) * e(n) * p[m, n - 1] * (n > m) - n * e(n + 1) * p[m, n + 1]  # (1 - mu^2) dP/dmu
-            a, b = w / cos2 * p[m, n], w / cos2 * h
-            zd.append((1j * m * (a @ fu[:, m]) - b @ fv[:, m]) / RADIUS)
-            zv.append((1j * m * (a @ fv[:, m]) + b @ fu[:, m]) / RADIUS)
-        put_order(div, m, np.array(zd)), put_order(vor, m, np.array(zv))
+        a, b = (w / cos2 * p[m, m : top + 1]).T, (w / cos2 * slopes(p, m, top)).T
+        put_order(div, m, (1j * m * (fu[..., m] @ a) - fv[..., m] @ b) / RADIUS)
+        put_order(vor, m, (1j * m * (fv[..., m] @ a) + fu[..., m] @ b) / RADIUS)
     return div, vor
 
 
 def dv_to_uv(div: np.ndarray, vor: np.ndarray, lats: tuple[float, ...], nlon: int) -> tuple[np.ndarray, np.ndarray]:
     """Wind on a Gaussian grid of spectral divergence and vorticity."""
-    top = div.shape[0] - 1
+    top = div.shape[-2] - 1
     mu = np.sin(np.radians(lats))
     cos = np.sqrt(1 - mu * mu)
-    p = legendre(mu, top)
-    fu, fv = np.zeros((len(mu), nlon), complex), np.zeros((len(mu), nlon), complex)
+    p = legendre(lats, top)
+    fu, fv = (np.zeros((*div.shape[:-2], len(mu), nlon), complex) for _ in range(2))
     for m in range(min(top, nlon // 2) + 1):
         n = np.arange(m, top + 1)
         scale = np.where(n > 0, -RADIUS * RADIUS / np.maximum(n * (n + 1), 1), 0.0)
         chi, psi = order(div, m) * scale, order(vor, m) * scale
-        e = lambda k: math.sqrt((k * k - m * m) / (4 * k * k - 1)) if k else 0.0  # noqa: B023, E731
-        h = np.array([(k + 1) * e(k) * p[m, k - 1] * (k > m) - k * e(k + 1) * p[m, k + 1] for k in n])
-        q = p[m, m : top + 1]
-        fu[:, m] = (1j * m * (chi @ q) - psi @ h) / RADIUS / cos
-        fv[:, m] = (1j * m * (psi @ q) + chi @ h) / RADIUS / cos
+        h, q = slopes(p, m, top), p[m, m : top + 1]
+        fu[..., m] = (1j * m * (chi @ q) - psi @ h) / RADIUS / cos
+        fv[..., m] = (1j * m * (psi @ q) + chi @ h) / RADIUS / cos
         if m:
-            fu[:, nlon - m], fv[:, nlon - m] = np.conj(fu[:, m]), np.conj(fv[:, m])
-    return np.fft.ifft(fu, axis=1).real * nlon, np.fft.ifft(fv, axis=1).real * nlon
+            fu[..., nlon - m], fv[..., nlon - m] = np.conj(fu[..., m]), np.conj(fv[..., m])
+    return np.fft.ifft(fu, axis=-1).real * nlon, np.fft.ifft(fv, axis=-1).real * nlon

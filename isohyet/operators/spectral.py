@@ -10,16 +10,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from isohyet.dataset import SERIES, Dataset
-from isohyet.functions.kernels import RADIUS, detrended, dv_to_uv, from_fourier, from_spectral, order, passband, resized, taper, to_fourier, to_spectral, uv_to_dv
+from isohyet.dataset import SERIES, Dataset, apply_in_groups
+from isohyet.functions.kernels import RADIUS, detrended, dv_to_uv, from_fourier, from_spectral, passband, resized, stacked, taper, to_fourier, to_spectral, unstacked, uv_to_dv
 from isohyet.grid import Grid, gaussian_latitudes
 from isohyet.operators.modify import as_grid
 from isohyet.operators.registry import op, put
 from isohyet.operators.stats import middle
 
 V = F.col("v")
-CELLS = "var string, level double, ts long, t timestamp, x int, y int, v double"
 CELLS_AT_ONCE = 256  # series in a matrix product
+BLOCK = 65_536  # cells of the fields that go to Python together
 
 
 def by_series(d: Dataset, f) -> Dataset:  # noqa: ANN001
@@ -29,7 +29,7 @@ def by_series(d: Dataset, f) -> Dataset:  # noqa: ANN001
         pdf = pdf.sort_values("ts")
         return pdf.assign(v=f(pdf["v"].to_numpy(float)))
 
-    return d.of(d.cells.groupBy(*SERIES).applyInPandas(run, CELLS))
+    return d.of(apply_in_groups(d.cells, SERIES, run))
 
 
 def _filter(d: Dataset, low: float | None, high: float | None, rate: float = 365.0) -> Dataset:
@@ -61,7 +61,7 @@ def fourier(re: Dataset, sign: int = -1, im: Dataset | None = None) -> tuple[Dat
         f = (np.fft.fft(z) if sign < 0 else np.fft.ifft(z) * len(z)) / math.sqrt(len(z))
         return pdf.assign(v=f.real, w=f.imag)
 
-    out = cells.groupBy(*SERIES).applyInPandas(run, CELLS + ", w double")
+    out = apply_in_groups(cells, SERIES, run, ", w double")
     return re.of(out), re.of(out.withColumn("v", F.col("w")))
 
 
@@ -102,19 +102,18 @@ def spectrum(d: Dataset, detrend: int = 0, segments: int = 1, length: int | None
             part = (detrended(part) if detrend == 3 else part) * w
             power = np.abs(np.fft.fft(part)) ** 2 / seg
             total[0] += power[0]
-            for k in range(1, (seg + 1) // 2):
-                total[k] += power[k] + power[seg - k]
+            half = (seg + 1) // 2
+            total[1:half] += power[1:half] + power[: seg - half : -1]
             if seg % 2 == 0:
                 total[seg // 2] += power[seg // 2]
         total *= seg / (segments * (w * w).sum() * seg)
         total[0] *= 2
         if seg % 2 == 0:
             total[seg // 2] *= 2
-        first = pdf.iloc[[0]]
-        out = pd.concat([first] * len(total), ignore_index=True)
+        out = pdf.iloc[np.zeros(len(total), int)]
         return out.assign(ts=np.arange(len(total)), v=total)
 
-    return d.of(d.cells.groupBy(*SERIES).applyInPandas(run, CELLS))
+    return d.of(apply_in_groups(d.cells, SERIES, run))
 
 
 # Empirical orthogonal functions
@@ -214,21 +213,20 @@ def truncation(grid: Grid, linear: bool = False) -> int:
     return (grid.ny * 2 - 1) // (2 if linear else 3)
 
 
-def by_field(d: Dataset, f, grid: Grid, keys: tuple[str, ...] = ("var", "level", "ts")) -> Dataset:  # noqa: ANN001
-    """Each field as a matrix [y, x] through a numpy function to another matrix."""
+def _block(grid: Grid) -> Column:
+    """Steps whose fields are BLOCK cells together, or one."""
+    return F.floor(F.col("ts") / max(1, BLOCK // grid.size))
+
+
+def by_field(d: Dataset, f, grid: Grid) -> Dataset:  # noqa: ANN001
+    """Fields as matrices [step, y, x] through a numpy function to other matrices, some steps at once."""
     nx, ny = d.grid.nx, d.grid.ny
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        field = np.full((ny, nx), np.nan)
-        field[pdf["y"], pdf["x"]] = pdf["v"]
-        out = f(field)
-        y, x = np.indices(out.shape)
-        rows = pd.DataFrame({"x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "v": out.ravel()})
-        for c in ("var", "level", "ts", "t"):
-            rows[c] = pdf[c].iloc[0]
-        return rows[["var", "level", "ts", "t", "x", "y", "v"]]
+        (fields,), steps = stacked(pdf, (pdf["var"].iloc[0],), ny, nx, np.nan)
+        return unstacked(f(fields), steps, pdf["var"].iloc[0])
 
-    return d.of(d.cells.groupBy(*keys).applyInPandas(run, CELLS), grid=grid)
+    return d.of(apply_in_groups(d.cells, ["var", "level", _block(d.grid)], run), grid=grid)
 
 
 def spectral_grid(top: int) -> Grid:
@@ -298,24 +296,15 @@ def sp2fc(d: Dataset) -> Dataset:
 
 
 def _wind(d: Dataset, names: tuple[str, str], made: tuple[str, str], f, grid: Grid) -> Dataset:  # noqa: ANN001
-    """Two variables of a field together through a numpy function to two others."""
+    """Two variables of a field together through a numpy function to two others, some steps at once."""
     nx, ny = d.grid.nx, d.grid.ny
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fields = []
-        for name in names:
-            own = pdf[pdf["var"] == name]
-            a = np.zeros((ny, nx))
-            a[own["y"], own["x"]] = own["v"]
-            fields.append(a)
-        parts = []
-        for name, out in zip(made, f(*fields)):
-            y, x = np.indices(out.shape)
-            rows = pd.DataFrame({"x": x.ravel().astype("int32"), "y": y.ravel().astype("int32"), "v": out.ravel()})
-            parts.append(rows.assign(var=name, level=pdf["level"].iloc[0], ts=pdf["ts"].iloc[0], t=pdf["t"].iloc[0]))
-        return pd.concat(parts)[["var", "level", "ts", "t", "x", "y", "v"]]
-
-    return d.of(d.cells.where(F.col("var").isin(list(names))).groupBy("level", "ts").applyInPandas(run, CELLS), grid=grid, variables={n: {} for n in made})
+        fields, steps = stacked(pdf, names, ny, nx, 0.0)
+        return pd.concat([unstacked(out, steps, name) for name, out in zip(made, f(*fields))])
+
+    cells = d.cells.where(F.col("var").isin(list(names)))
+    return d.of(apply_in_groups(cells, ["level", _block(d.grid)], run), grid=grid, variables={n: {} for n in made})
 
 
 def _to_divergence(d: Dataset, linear: bool, u: str, v: str) -> Dataset:

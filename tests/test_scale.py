@@ -30,3 +30,35 @@ def late_duck(late):
 @pytest.mark.parametrize("name", ["boxavg", "enlarge", "enlargegrid", "fldavg", "fldcor", "fldcovar", "ensbrs", "enscrps", "ensrkhist_time", "eofcoeff", "eofcoeff3d", "ml2pl"])
 def test_dates_of_long_tables(spark, late, late_duck, name):
     assert rows(catalogue.queries()[name](spark, late).toPandas()) == rows(late_duck.sql(catalogue.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize(("name", "shift"), [("bandpass", 615000), ("fc2sp", 615000), ("fc2gp", 615000), ("dv2uv", 153750), ("dv2ps", 153750)])
+def test_dates_after_2262_in_python(spark, late, sf, name, shift):
+    query = catalogue.queries()[name]
+    found = query(spark, late).toPandas()
+    assert found["ts"].max() >= shift
+    found["ts"] = found["ts"].where(found["ts"] < shift, found["ts"] - shift)
+    assert rows(found) == rows(query(spark, sf).toPandas())
+
+
+def test_fields_of_several_steps_go_through_at_once(spark):
+    """Steps with gaps in their numbers, fields with missing and absent cells."""
+    import datetime as dt
+
+    import numpy as np
+
+    from isohyet.dataset import Dataset
+    from isohyet.functions.kernels import from_fourier, to_fourier
+    from isohyet.grid import named
+
+    grid, steps = named("r4x2"), (-3, 0, 1, 9_000, 9_001, 70_000)
+    value = np.random.default_rng(1).normal(size=(len(steps), grid.ny, grid.nx))
+    value[1, 0, 2] = value[2, 1, 1] = np.nan
+    cells = [("v", 0.0, s, dt.datetime(2001, 1, 1) + dt.timedelta(days=s), x, y, None if np.isnan(value[i, y, x]) else float(value[i, y, x])) for i, s in enumerate(steps) for y in range(2) for x in range(4) if (i, y, x) != (2, 1, 1)]
+    d = Dataset(spark.createDataFrame(cells, "var string, level double, ts int, t timestamp, x int, y int, v double"), grid, {"v": {}}, single=frozenset({"var", "level"}))
+    got = d.gp2fc().fc2gp().cells.collect()
+    assert len(got) == value.size
+    for r in got:
+        want = from_fourier(to_fourier(value[steps.index(r["ts"])]))[r["y"], r["x"]]
+        assert r["t"] == dt.datetime(2001, 1, 1) + dt.timedelta(days=r["ts"])
+        assert r["v"] is None if np.isnan(want) else r["v"] == pytest.approx(want)
