@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
 RADIUS = 6371000.0
+VECTORS_AT_ONCE = 256  # in a matrix product
 
 
 def passband(n: int, low: float, high: float, rate: float) -> np.ndarray:
@@ -61,6 +63,51 @@ def unstacked(fields: np.ndarray, steps: pd.DataFrame, name: str) -> pd.DataFram
     return out[["var", "level", "ts", "t", "x", "y", "v"]]
 
 
+# Symmetric matrices, a row (at, g) each
+
+
+def products(frames: Iterator[pd.DataFrame], group: list[str]) -> Iterator[pd.DataFrame]:
+    """Sums of w x' x over rows of w, positions at and values v, which come group by group."""
+    held, g = None, np.zeros((0, 0))
+    for pdf in frames:
+        for key, rows in pdf.groupby(group, sort=False):
+            if key != held:
+                yield from matrix_rows(group, held, g)
+                held, g = key, np.zeros((0, 0))
+            size = max(int(a.max()) + 1 for a in rows["at"])
+            g = np.pad(g, (0, size - len(g))) if size > len(g) else g
+            for first in range(0, len(rows), VECTORS_AT_ONCE):
+                part = rows.iloc[first : first + VECTORS_AT_ONCE]
+                x = np.zeros((len(part), len(g)))
+                for i, (a, v) in enumerate(zip(part["at"], part["v"])):
+                    x[i, a] = v
+                g += x.T @ (x * part["w"].to_numpy()[:, None])
+    yield from matrix_rows(group, held, g)
+
+
+def matrix_rows(group: list[str], key: tuple | None, g: np.ndarray) -> Iterator[pd.DataFrame]:
+    for first in range(0, len(g), VECTORS_AT_ONCE):
+        part = g[first : first + VECTORS_AT_ONCE]
+        yield pd.DataFrame({**dict(zip(group, key)), "at": range(first, first + len(part)), "g": list(part)})
+
+
+def added_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of several of the same place; shorter ones end with zeros."""
+    out = np.zeros(max(map(len, pdf["g"])))
+    for g in pdf["g"]:
+        out[: len(g)] += g
+    return pdf.iloc[[0]].assign(g=[out])
+
+
+def symmetric(at: pd.Series, rows: pd.Series) -> np.ndarray:
+    """The matrix of its rows; those that are not there are 0."""
+    size = max(int(at.max()) + 1, *map(len, rows))
+    out = np.zeros((size, size))
+    for k, row in zip(at, rows):
+        out[k, : len(row)] = row
+    return out
+
+
 # Fields and coefficients: the last two axes are those of one, any before them count several.
 
 

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.dataset import SERIES, Dataset, apply_in_groups
-from isohyet.functions.kernels import RADIUS, detrended, dv_to_uv, from_fourier, from_spectral, passband, resized, stacked, taper, to_fourier, to_spectral, unstacked, uv_to_dv
+from isohyet.functions.kernels import RADIUS, added_rows, detrended, dv_to_uv, from_fourier, from_spectral, passband, products, resized, stacked, symmetric, taper, to_fourier, to_spectral, unstacked, uv_to_dv
 from isohyet.grid import Grid, gaussian_latitudes
 from isohyet.operators.modify import as_grid
 from isohyet.operators.registry import op, put
 from isohyet.operators.stats import middle
 
 V = F.col("v")
-CELLS_AT_ONCE = 256  # series in a matrix product
+FEW = 1024  # cells whose matrix is made whatever the number of steps
 BLOCK = 65_536  # cells of the fields that go to Python together
 
 
@@ -119,68 +118,77 @@ def spectrum(d: Dataset, detrend: int = 0, segments: int = 1, length: int | None
 # Empirical orthogonal functions
 
 
+def _gram(vectors: DataFrame, group: list[str]) -> DataFrame:
+    """Sums of w x' x over vectors with w, positions at and values v: rows at of a symmetric matrix for each group, as arrays g.
+
+    Each task adds its vectors up in one matrix at a time, then matrices are added row by row.
+    """
+    shape = f"{_kinds(group)}, at int, g array<double>"
+    parts = vectors.sortWithinPartitions(*group).mapInPandas(lambda frames: products(frames, group), shape)
+    return parts.groupBy(*group, "at").applyInPandas(added_rows, shape)
+
+
+def _kinds(group: list[str]) -> str:
+    return ", ".join({"var": "var string", "level": "level double"}[c] for c in group)
+
+
+def _vectors(own: DataFrame, group: list[str], by: list[str], at: Column, w: Column) -> DataFrame:
+    """own's values gathered by some of its columns, each with its position."""
+    lists = own.groupBy(*group, *by).agg(F.collect_list(F.struct(at.cast("int").alias("at"), "v")).alias("s"), F.first(w).alias("w"))
+    return lists.select(*group, "w", F.col("s.at").alias("at"), F.col("s.v").alias("v"))
+
+
 def eof(d: Dataset, n: int, three: bool = False, weights: bool = True) -> tuple[Dataset, Dataset]:
     """Eigenvalues and patterns of the covariance between cells (or levels and cells); data are not centred.
 
-    Each task adds up the products of steps over its cells, a series a row, in one matrix of steps,
-    whose size does not depend on the grid; matrices are added row by row. Its eigenvectors
-    give the patterns by one more weighted sum. Patterns have unit weighted norm, and the sign
-    that makes their largest value positive.
+    The matrix is one of cells or one of steps, whichever are fewer, as both have the same eigenvalues other
+    than 0; up to FEW cells nothing is counted for that. A task holds one such matrix. Patterns have unit
+    weighted norm, and the sign that makes their largest value positive.
     """
     n = int(n)
     group = ["var"] if three else ["var", "level"]
     cell = ["level", "x", "y"] if three else ["x", "y"]
-    w = d.grid.weight() if weights else F.lit(1.0)
-    dense = d.dense()
-    own = dense.cells.where(V.isNotNull()).withColumn("_w", w)
-    total = own.where("ts = 0").groupBy(*group).agg(F.sum("_w").alias("_sw"))
-    kinds = ", ".join({"var": "var string", "level": "level double"}[c] for c in group)
-    series = own.groupBy(*group, *cell).agg(F.collect_list(F.struct("ts", "v")).alias("s"), F.first("_w").alias("_w")).select(*group, "_w", F.col("s.ts").alias("ts"), F.col("s.v").alias("v"))
-
-    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in frames:
-            for key, rows in pdf.groupby(group, sort=False):
-                size = max(int(t.max()) + 1 for t in rows["ts"])
-                g = sums.get(key, np.zeros((0, 0)))
-                g = np.pad(g, (0, max(0, size - len(g))))
-                for at in range(0, len(rows), CELLS_AT_ONCE):
-                    part = rows.iloc[at : at + CELLS_AT_ONCE]
-                    x = np.zeros((len(part), len(g)))
-                    for i, (t, v) in enumerate(zip(part["ts"], part["v"])):
-                        x[i, t] = v
-                    g += x.T @ (x * part["_w"].to_numpy()[:, None])
-                sums[key] = g
-        for key, g in sums.items():
-            yield pd.DataFrame({**dict(zip(group, key)), "ts": range(len(g)), "g": list(g)})
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(max(map(len, pdf["g"])))
-        for g in pdf["g"]:
-            out[: len(g)] += g
-        return pdf.iloc[[0]].assign(g=[out])
-
-    shape = f"{kinds}, ts int, g array<double>"
-    gram = series.mapInPandas(products, shape).groupBy(*group, "ts").applyInPandas(added, shape).join(total, group)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = int(pdf["ts"].max()) + 1
-        g = np.zeros((size, size))
-        for t, row in zip(pdf["ts"], pdf["g"]):
-            g[t, : len(row)] = row
-        g /= float(pdf["_sw"].iloc[0]) * size
-        value, vector = np.linalg.eigh(g)
-        order = np.argsort(-value)[: min(n, size)]
-        rows = [{**{c: pdf[c].iloc[0] for c in group}, "eof": k, "value": value[o], "ts": t, "c": vector[t, o]} for k, o in enumerate(order) for t in range(size)]
-        return pd.DataFrame(rows)
-
-    found = gram.groupBy(*group).applyInPandas(solve, f"{kinds}, eof int, value double, ts int, c double")
-    stamp = dense.cells.groupBy(*group).agg(F.max("t").alias("t"))
+    levels = sorted(r[0] for r in d.cells.select("level").distinct().collect()) if three and "level" not in d.single else []
+    size = d.grid.size * max(1, len(levels))
+    cells = d.cells.withColumn("_w", d.grid.weight() if weights else F.lit(1.0))
+    axis = d.steps()
+    span = axis.agg(F.min("ts").alias("_first"), F.count(F.lit(1)).alias("_steps"))
+    places = cells.join(F.broadcast(span)).groupBy(*group, *cell).agg(F.first("_w").alias("_w"), F.first("_steps").alias("_steps"), F.max("t").alias("t"), F.count("v").alias("_n"), F.count(F.when(F.col("ts") == F.col("_first"), V)).alias("_begun"))
+    total = places.groupBy(*group).agg(F.max("t").alias("t"), F.max("_steps").alias("_steps"), F.sum(F.when(F.col("_begun") > 0, F.col("_w"))).alias("_sw"))
+    stamp = total.select(*group, "t")
+    kinds = _kinds(group)
+    if size <= FEW or size <= axis.count():
+        at = F.col("y") * d.grid.nx + F.col("x") + ((F.array_position(F.lit(levels), F.col("level")) - 1) * d.grid.size if levels else 0)
+        gram = _gram(_vectors(cells.where(V.isNotNull()), group, ["ts"], at, F.lit(1.0)), group)
+        own = places.where("_n > 0").select(*group, *[c for c in cell if c not in group], "_w", at.cast("int").alias("at"))
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Of cells: a pattern is the sum of steps, each times its share in the eigenvector."""
+            at, root, steps = pdf["at"].to_numpy(), np.sqrt(pdf["_w"].to_numpy()), int(pdf["_steps"].iloc[0])
+            g = symmetric(pdf["at"], pdf["g"])[np.ix_(at, at)]
+            value, vector = np.linalg.eigh(g * root * root[:, None] / (float(pdf["_sw"].iloc[0]) * steps))
+            best = np.argsort(-value)[: min(n, steps)]
+            return pd.concat([pd.DataFrame({**{c: pdf[c].iloc[0] for c in group}, "eof": k, "value": value[o], "at": at, "p": g @ (root * vector[:, o])}) for k, o in enumerate(best)])
+
+        found = gram.join(own.select(*group, "at", "_w"), [*group, "at"]).join(total, group).drop("t").groupBy(*group).applyInPandas(solve, f"{kinds}, eof int, value double, at int, p double")
+        raw = found.join(own, [*group, "at"])
+    else:
+        own = d.dense().cells.where(V.isNotNull()).drop("t").withColumn("_w", d.grid.weight() if weights else F.lit(1.0))
+        gram = _gram(_vectors(own, group, cell, F.col("ts"), F.col("_w")), group)
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Of steps: shares of the steps in a pattern."""
+            steps = int(pdf["_steps"].iloc[0])
+            value, vector = np.linalg.eigh(symmetric(pdf["at"], pdf["g"]) / (float(pdf["_sw"].iloc[0]) * steps))
+            best = np.argsort(-value)[: min(n, steps)]
+            return pd.concat([pd.DataFrame({**{c: pdf[c].iloc[0] for c in group}, "eof": k, "value": value[o], "ts": range(len(value)), "c": vector[:, o]}) for k, o in enumerate(best)])
+
+        found = gram.join(total, group).drop("t").groupBy(*group).applyInPandas(solve, f"{kinds}, eof int, value double, ts int, c double")
+        raw = own.join(found.select(*group, "ts", "eof", "c"), [*group, "ts"]).groupBy(*group, *cell, "eof").agg(F.sum(V * F.col("c")).alias("p"), F.first("_w").alias("_w"))
     place = {"x": F.lit(0), "y": F.lit(0)} | ({"level": F.lit(0.0)} if three else {})
     values = found.select(*group, "eof", "value").distinct().join(stamp, group).withColumns(place | {"ts": F.col("eof"), "v": F.col("value")})
-    raw = own.drop("t").join(found.select(*group, "ts", "eof", "c"), [*group, "ts"]).groupBy(*group, *cell, "eof").agg(F.sum(V * F.col("c")).alias("p"), F.first("_w").alias("_w"))
-    norm = raw.groupBy(*group, "eof").agg(F.sqrt(F.sum(F.col("_w") * F.col("p") ** 2)).alias("_norm"), F.max_by("p", F.abs("p")).alias("_top"), F.sum("_w").alias("_sw"))
-    scaled = raw.join(norm, [*group, "eof"]).withColumn("v", F.signum("_top") * F.col("p") / F.nullif(F.col("_norm"), F.lit(0.0)) * F.sqrt("_sw")).join(stamp, group)
+    norm = raw.groupBy(*group, "eof").agg(F.sqrt(F.sum(F.col("_w") * F.col("p") ** 2)).alias("_norm"), F.max_by("p", F.abs("p")).alias("_top"), F.sum("_w").alias("_all"))
+    scaled = raw.join(norm, [*group, "eof"]).withColumn("v", F.signum("_top") * F.col("p") / F.nullif(F.col("_norm"), F.lit(0.0)) * F.sqrt("_all")).join(stamp, group)
     grid = d.grid.with_(lons=(0.0,), lats=(0.0,), areas=None)
     return d.of(values, grid=grid), d.of(scaled.withColumn("ts", F.col("eof")))
 

@@ -62,3 +62,49 @@ def test_fields_of_several_steps_go_through_at_once(spark):
         want = from_fourier(to_fourier(value[steps.index(r["ts"])]))[r["y"], r["x"]]
         assert r["t"] == dt.datetime(2001, 1, 1) + dt.timedelta(days=r["ts"])
         assert r["v"] is None if np.isnan(want) else r["v"] == pytest.approx(want)
+
+
+def test_eof_of_many_steps_holds_no_matrix_of_steps(spark):
+    """40,000 steps of two cells: their own matrix would take 12.8 GB."""
+    from pyspark.sql import functions as F
+
+    from isohyet.dataset import Dataset
+    from isohyet.grid import named
+
+    cells = spark.range(80_000).select(F.lit("v").alias("var"), F.lit(0.0).alias("level"), F.expr("cast(id div 2 as int)").alias("ts"), F.expr("timestamp_seconds((id div 2) * 86400)").alias("t"), F.expr("cast(id % 2 as int)").alias("x"), F.lit(0).alias("y"), F.expr("if(id % 2 = 0, 3.0, if(id % 4 = 1, 1.0, -1.0))").alias("v"))
+    found, patterns = Dataset(cells, named("r2x1"), {"v": {}}, single=frozenset({"var", "level"})).eof(2, "off")
+    assert [r["v"] for r in found.cells.orderBy("ts").collect()] == pytest.approx([4.5, 0.5])
+    assert [r["v"] for r in patterns.cells.orderBy("ts", "x").collect()] == pytest.approx([2**0.5, 0, 0, 2**0.5])
+
+
+@pytest.mark.parametrize("few", [1024, 0])
+@pytest.mark.parametrize("steps", [4, 40])
+@pytest.mark.parametrize("three", [False, True])
+def test_eof_of_cells_and_of_steps(spark, monkeypatch, few, steps, three):
+    """Two levels, weights, missing values: both matrices give the patterns of the whole one."""
+    import datetime as dt
+
+    import numpy as np
+
+    from isohyet.dataset import Dataset
+    from isohyet.grid import named
+    from isohyet.operators import spectral
+
+    monkeypatch.setattr(spectral, "FEW", few)
+    grid, levels = named("r4x3"), (10.0, 500.0)
+    x = np.random.default_rng(5).normal(size=(steps, 2, grid.ny, grid.nx))
+    x[2, 1, 1, 1] = np.nan
+    cells = [("v", levels[k], 7 * i, dt.datetime(2001, 1, 1) + dt.timedelta(days=i), c, r, None if np.isnan(x[i, k, r, c]) else float(x[i, k, r, c])) for i, k, r, c in np.ndindex(steps, 2, grid.ny, grid.nx)]
+    d = Dataset(spark.createDataFrame(cells, "var string, level double, ts int, t timestamp, x int, y int, v double"), grid, {"v": {}}, single=frozenset({"var"}))
+    found, patterns = spectral.eof(d, 2, three)
+    got = {(r["level"], r["ts"], r["y"], r["x"]): r["v"] for r in patterns.cells.collect()}
+    own = {(r["level"], r["ts"]): r["v"] for r in found.cells.collect()}
+    w = np.broadcast_to(np.array(grid.row_weights())[:, None], (2, grid.ny, grid.nx))
+    for group in [(0, 1)] if three else [(0,), (1,)]:
+        flat, root = np.nan_to_num(x)[:, group].reshape(steps, -1), np.sqrt(w[list(group)].ravel())
+        value, vector = np.linalg.eigh(flat.T @ flat * root * root[:, None] / (root**2).sum() / steps)
+        for k in range(2):
+            assert own[0.0 if three else levels[group[0]], k] == pytest.approx(value[-1 - k])
+            want = vector[:, -1 - k] / root
+            want = want * np.sign(want[np.argmax(abs(want))]) / np.sqrt((root**2 * want**2).sum()) * np.sqrt((root**2).sum())
+            assert [got[levels[g], k, r, c] for g in group for r in range(grid.ny) for c in range(grid.nx)] == pytest.approx(list(want), abs=1e-9)
