@@ -63,6 +63,23 @@ def unstacked(fields: np.ndarray, steps: pd.DataFrame, name: str) -> pd.DataFram
     return out[["var", "level", "ts", "t", "x", "y", "v"]]
 
 
+def growing_season(v: np.ndarray, late: np.ndarray, n: int, t: float) -> tuple[float, int | None]:
+    """Its length in days, and its first day's place in the year whose days these are; late: days of the second half."""
+    warm, cold, start = 0, 0, None
+    for k, (value, second) in enumerate(zip(v.tolist(), late.tolist())):
+        if start is None:
+            warm = warm + 1 if value > t else 0
+            if warm == n:
+                start = k - n + 1
+            elif second and warm == 0:
+                return 0.0, None
+        elif second:
+            cold = cold + 1 if value < t else 0
+            if cold == n:
+                return float(k - n + 1 - start), start
+    return (0.0, None) if start is None else (float(len(v) - start - cold), start)
+
+
 # Symmetric matrices, a row (at, g) each
 
 

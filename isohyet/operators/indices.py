@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from isohyet.dataset import SERIES, Dataset
+from isohyet.functions.kernels import growing_season
 from isohyet.operators.pairs import beside
 from isohyet.operators.registry import op, put
 from isohyet.operators.windows import islands, run_length
@@ -193,28 +194,8 @@ def eca_gsl(d: Dataset, land: Dataset, n: int = 6, t: float = 5.0, fraction: flo
     day = F.when(south, F.add_months("t", -6)).otherwise(F.to_date("t"))
     cells = d.cells.join(lnd, ["x", "y"]).withColumns({"_year": F.year(day), "_late": F.month(day) > 6})
 
-    def season(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        warm, cold, start, length = 0, 0, None, None
-        for k, (v, late, when) in enumerate(zip(pdf["v"], pdf["_late"], pdf["t"])):
-            if start is None:
-                warm = warm + 1 if v > t else 0
-                if warm == n:
-                    start = k - n + 1
-                elif late and warm == 0:
-                    break
-            elif late:
-                cold = cold + 1 if v < t else 0
-                if cold == n:
-                    length = k - n + 1 - start
-                    break
-        if start is not None and length is None:
-            length = len(pdf) - start - cold
-        row = pdf.iloc[[0]][["var", "level", "x", "y", "_year"]].copy()
-        row["t"] = pdf["t"].iloc[-1]
-        row["length"], row["start"] = (0.0, None) if start is None else (float(length), float(pdf["t"].iloc[start].dayofyear))
-        return row
-
-    out = cells.groupBy(*SERIES, "_year").applyInPandas(season, "var string, level double, x int, y int, _year int, t timestamp, length double, start double")
+    found = F.pandas_udf(lambda v, late: pd.DataFrame([growing_season(a, b, n, t) for a, b in zip(v, late)], columns=["length", "start"]), "length double, start int")
+    years = cells.groupBy(*SERIES, "_year").agg(F.max("t").alias("t"), F.array_sort(F.collect_list(F.struct("t", "v", "_late"))).alias("_s"))
+    out = years.withColumn("_f", found("_s.v", "_s._late")).withColumns({"length": F.col("_f.length"), "start": F.dayofyear(F.get("_s.t", F.col("_f.start")))})
     named = out.withColumn("ts", F.col("_year"))
-    return d.of(named.withColumn("v", F.col("length"))), d.of(named.withColumn("v", F.col("start")))
+    return d.of(named.withColumn("v", F.col("length"))), d.of(named.withColumn("v", F.col("start").cast("double")))
