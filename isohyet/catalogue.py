@@ -359,7 +359,7 @@ for _p in (75, 90, 95, 99):
     _add(f"eca_r{_p}ptot", f"eca_r{_p}ptot evd -timpctl,{_p} evd", "evd", _ALL.format(keys=KEYS, valid="v", v="100.0 * coalesce(sum(CASE WHEN v >= 1 AND v > w THEN v END), 0) / nullif(sum(v), 0)", s=_s))
 _add("eca_etr", "eca_etr m0 m1", "m0 m1", "SELECT a.var, a.level, 0 AS ts, a.x, a.y, max(a.v) - min(b.v) AS v FROM m0 a JOIN m1 b USING (ts, x, y) GROUP BY ALL")
 _add("fdns", "fdns m0 m1", "m0 m1", "SELECT a.var, a.level, 0 AS ts, a.x, a.y, count(*) FILTER (a.v <= 273.15 AND b.v <= 0.01) AS v FROM m0 a JOIN m1 b USING (ts, x, y) GROUP BY ALL")
-_add("eca_gsl", "eca_gsl,2,-400 m0 -addc,1 -timmean m0", "m0", None)
+_add("eca_gsl", "eca_gsl,2,-273.15 m0 -addc,1 -timmean m0", "m0", None)
 
 # Changes of coordinates and time
 

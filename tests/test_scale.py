@@ -108,3 +108,46 @@ def test_eof_of_cells_and_of_steps(spark, monkeypatch, few, steps, three):
             want = vector[:, -1 - k] / root
             want = want * np.sign(want[np.argmax(abs(want))]) / np.sqrt((root**2 * want**2).sum()) * np.sqrt((root**2).sum())
             assert [got[levels[g], k, r, c] for g in group for r in range(grid.ny) for c in range(grid.nx)] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_growing_seasons_begin_and_end(spark, sf, tmp_path):
+    """The query's seasons end within their years; each whose first half is there against a plain search, after 2262."""
+    import datetime as dt
+    from itertools import groupby
+
+    import duckdb
+
+    begin = (dt.date(2299, 7, 1) - dt.date(2000, 1, 1)).days
+    duckdb.sql(f"COPY (SELECT {begin} + vec_id AS vec_id, embedding, label FROM '{sf}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '{tmp_path}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    want, others = {}, 0
+    for cell in range(64):
+        days = [(dt.date(2000, 1, 1) + dt.timedelta(n), e[cell]) for n, e in table]
+        south = cell // 8 < 4
+        year = lambda day: day.year - (south and day.month < 7)  # noqa: B023, E731
+        for y, season in groupby(days, lambda d: year(d[0])):
+            season = list(season)
+            second = [d.month < 7 if south else d.month > 6 for d, _ in season]
+            if second[0]:
+                others += 1
+                continue
+            pairs = [(a > 0 and b > 0, a < 0 and b < 0) for (_, a), (_, b) in zip(season, season[1:])]
+            start = next((k for k, (warm, _) in enumerate(pairs) if warm and not second[k]), None)
+            end = None if start is None else next((k for k, (_, cold) in enumerate(pairs) if cold and second[k] and k > start), None)
+            tail = start is not None and end is None and second[-1] and season[-1][1] < 0
+            want[cell % 8, cell // 8, y] = 0 if start is None else (end if end is not None else len(season) - tail) - start
+    got = {(r["x"], r["y"], r["ts"]): r["v"] for r in catalogue.queries()["eca_gsl"](spark, str(tmp_path)).collect()}
+    assert {k: got.get(k) for k in want} == want
+    assert len(got) == len(want) + others
+    assert len(set(want.values())) > 20
+
+
+def test_a_season_without_a_start(spark):
+    import numpy as np
+
+    from isohyet.functions.kernels import growing_season
+
+    late = np.arange(10) > 4
+    assert growing_season(np.array([1.0, 0, 1, np.nan, 1, 0, 0, 1, 1, 1]), late, 2, 0.5) == (0.0, None)
+    assert growing_season(np.array([0.0, 1, 1, np.nan, 1, 0, 1, 0, 0, 1]), late, 2, 0.5) == (6.0, 1)
+    assert growing_season(np.array([0.0, 1, 1, 1, 1, 1, 1, 1, 1, 0]), late, 2, 0.5) == (8.0, 1)
