@@ -176,24 +176,27 @@ def sealevelpressure(d: Dataset, t: str = "t", ps: str = "ps", geosp: str = "geo
 # From model levels to pressure or height
 
 
-def _below_lowest(p: Column, half: Column, full: Column, geopotential: Column, temperature: Column) -> Column:
+def _below_lowest(own: DataFrame, p: Column, half: Column, full: Column, geopotential: Column, temperature: Column, wanted: Column) -> tuple[DataFrame, Column]:
     """Temperature below the lowest full level: to the ground linear towards the surface's, below it along a lapse rate.
 
     The surface's temperature follows the standard lapse rate from the lowest level; it is drawn to
     255 K when cold, and to 290.5 K when it and its sea level value are warm. Below ground the lapse
     rate is that from the surface to sea level, whose temperature is held to 298 K over high terrain.
+    Its parts are columns of *own*, set where *wanted*: one expression repeats them until it is too long to be compiled.
     """
     height = geopotential / GRAVITY
-    surface = (1 + GAS * LAPSE / GRAVITY * (half / full - 1)) * temperature
-    mild = F.when(surface < 255, (255 + surface) / 2).otherwise(surface)
-    mild = F.when((mild > 290.5) & (mild + LAPSE * height > 290.5), (290.5 + mild) / 2).otherwise(mild)
+    mild, surface, sea = F.col("_mild"), F.col("_surface"), F.col("_sea")
+    own = own.withColumn("_surface", F.when(wanted, (1 + GAS * LAPSE / GRAVITY * (half / full - 1)) * temperature))
+    own = own.withColumn("_mild", F.when(surface < 255, (255 + surface) / 2).otherwise(surface))
+    own = own.withColumn("_mild", F.when((mild > 290.5) & (mild + LAPSE * height > 290.5), (290.5 + mild) / 2).otherwise(mild))
     above_ground = ((half - p) * temperature + (p - full) * mild) / (half - full)
-    sea = surface + LAPSE * height
+    own = own.withColumn("_sea", surface + LAPSE * height)
     held = F.when(height < 2500, 0.002 * ((2500 - height) * sea + (height - 2000) * 298)).otherwise(298.0)
-    sea = F.when((height > 2000) & (sea > 298), held).otherwise(sea)
+    own = own.withColumn("_sea", F.when((height > 2000) & (sea > 298), held).otherwise(sea))
     rate = F.when(sea - surface < 1e-6, 0.0).when(F.abs(geopotential) > 1e-4, GAS * (sea - surface) / geopotential).otherwise(GAS * LAPSE / GRAVITY)
-    x = rate * F.log(p / half)
-    return F.when(p <= half, above_ground).otherwise(surface * (1 + x * (1 + x * (0.5 + x / 6))))
+    own = own.withColumn("_x", F.when(wanted & (p > half), rate * F.log(p / half)))
+    x = F.col("_x")
+    return own, F.when(p <= half, above_ground).otherwise(surface * (1 + x * (1 + x * (0.5 + x / 6))))
 
 
 def _onto(name: str, heights: bool, extrapolate: bool, logarithmic: bool, from_pressure: bool) -> None:
@@ -208,29 +211,39 @@ def _onto(name: str, heights: bool, extrapolate: bool, logarithmic: bool, from_p
         if logarithmic and extrapolate and not from_pressure and temperature in d.variables:
             raise ValueError("temperature has no logarithmic extrapolation")
         named = lambda n: F.max(F.when(F.col("var") == n, V))
+        at = F.log if logarithmic else lambda p: p
+        data = d.cells.where(~F.col("var").isin(ps, pressure, geosp, deltap))
         if from_pressure:
-            own = d.cells.where(F.col("var") == pressure).select("level", *KT, F.col("v").alias("_p"))
-            sums = d.cells.where(F.col("var").isin(pressure, deltap)).groupBy(*KT).agg(F.coalesce(F.sum(F.when(F.col("var") == deltap, V)), F.lit(110000.0)).alias("_ps"))
-            own = own.join(sums, KT).withColumn("_g", F.lit(0.0))
+            # the pressures of a column as a map by level, so that it meets the data by step and cell only
+            entry = F.collect_list(F.when(F.col("var") == pressure, F.struct("level", "v")))
+            own = d.cells.where(F.col("var").isin(pressure, deltap)).groupBy(*KT).agg(F.map_from_entries(entry).alias("_m"), F.coalesce(F.sum(F.when(F.col("var") == deltap, V)), F.lit(110000.0)).alias("_ps"), F.lit(0.0).alias("_g"))
+            there, full = F.map_contains_key("_m", F.col("level")), F.try_element_at("_m", F.col("level"))
         else:
-            halves = half_levels(d)
-            surface = d.cells.where(F.col("var").isin(ps, geosp)).groupBy(*KT).agg(named(ps).alias("_ps"), F.coalesce(named(geosp), F.lit(0.0)).alias("_g"))
-            rows = F.array(*[F.struct(F.lit(float(k + 1)).alias("level"), ((_half(F.col("_ps"), k, halves) + _half(F.col("_ps"), k + 1, halves)) / 2).alias("_p")) for k in range(len(halves) - 1)])
-            own = surface.withColumn("_r", F.explode(rows)).select(*KT, "_ps", "_g", "_r.level", "_r._p")
+            own = d.cells.where(F.col("var").isin(ps, geosp)).groupBy(*KT).agg(named(ps).alias("_ps"), F.coalesce(named(geosp), F.lit(0.0)).alias("_g"))
+            halves, k = half_levels(d), F.col("level").cast("int")
+            there = F.col("level").isin([float(k + 1) for k in range(len(halves) - 1)])
+            table = [F.lit(list(map(float, c))) for c in zip(*halves)]
+            half = lambda k: F.get(table[0], k) + F.get(table[1], k) * F.col("_ps")
+            full = (half(k - 1) + half(k)) / 2
+        rows = data.join(own, KT).where(there).select("var", *KT, "t", at(F.col("_ps")).alias("_ps"), "_g", at(full).alias("_p"), "v")
+        cols = rows.groupBy("var", *KT).agg(F.max("t").alias("t"), F.max("_ps").alias("_ps"), F.max("_g").alias("_g"), F.sort_array(F.collect_list(F.struct(F.col("_p").alias("p"), "v"))).alias("_c"))
         # heights follow from pressure in a fixed atmosphere: -7000 log(p / p0)
         goal = [101325.0 * math.exp(-z / 7000.0) for z in targets] if heights else targets
-        at = F.log if logarithmic else lambda p: p
-        data = d.cells.where(~F.col("var").isin(ps, pressure, geosp, deltap)).join(own, ["level", *KT])
-        cols = data.groupBy("var", *KT).agg(F.max("t").alias("t"), F.max(at(F.col("_ps"))).alias("_ps"), F.max("_g").alias("_g"), F.array_sort(F.collect_list(F.struct(at(F.col("_p")).alias("p"), "v"))).alias("_c"))
         each = cols.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(math.log(p) if logarithmic else p).alias("p")) for z, p in zip(targets, goal)])))
-        p = F.col("_z.p")
-        upper = F.greatest(F.size(F.filter("_c", lambda c: c["p"] < p)) - 1, F.lit(0))
-        a, b = F.get("_c", upper), F.get("_c", upper + 1)
-        inside = a["v"] + (p - a["p"]) * (b["v"] - a["v"]) / (b["p"] - a["p"])
-        lowest = a["v"]
+        p, upper = F.col("_z.p"), F.col("_k")
+        # a column of its own, as filters in an expression are worked out wherever they stand
+        each = each.withColumn("_k", F.greatest(F.size(F.filter("_c", lambda c: c["p"] < p)) - 1, F.lit(0)))
+        pair = {"_p": F.get("_c", upper)["p"], "_v": F.get("_c", upper)["v"], "_p2": F.get("_c", upper + 1)["p"], "_v2": F.get("_c", upper + 1)["v"]}
+        each = each.select("var", *KT, "t", "_ps", "_g", "_z", (upper + 1 >= F.size("_c")).alias("_last"), *[c.alias(name) for name, c in pair.items()])
+        a, b = F.col("_p"), F.col("_p2")
+        inside = F.col("_v") + (p - a) * (F.col("_v2") - F.col("_v")) / (b - a)
+        lowest = F.col("_v")
         if not from_pressure:
-            lowest = F.when(F.col("var") == temperature, _below_lowest(p, F.col("_ps"), a["p"], F.col("_g"), a["v"])).otherwise(a["v"])
-        v = F.when(upper + 1 >= F.size("_c"), lowest).otherwise(inside)
+            warm = F.col("_last") & (F.col("var") == temperature)
+            warm = warm if extrapolate else warm & (p <= F.col("_ps"))
+            each, below = _below_lowest(each, p, F.col("_ps"), a, F.col("_g"), F.col("_v"), warm)
+            lowest = F.when(F.col("var") == temperature, below).otherwise(F.col("_v"))
+        v = F.when(F.col("_last"), lowest).otherwise(inside)
         v = v if extrapolate else F.when(p <= F.col("_ps"), v)
         return d.of(each.withColumn("v", v).withColumn("level", F.col("_z.z")))
 

@@ -151,3 +151,40 @@ def test_a_season_without_a_start(spark):
     assert growing_season(np.array([1.0, 0, 1, np.nan, 1, 0, 0, 1, 1, 1]), late, 2, 0.5) == (0.0, None)
     assert growing_season(np.array([0.0, 1, 1, np.nan, 1, 0, 1, 0, 0, 1]), late, 2, 0.5) == (6.0, 1)
     assert growing_season(np.array([0.0, 1, 1, 1, 1, 1, 1, 1, 1, 0]), late, 2, 0.5) == (8.0, 1)
+
+
+def test_extrapolation_below_the_lowest_level_is_written_once(spark, sf):
+    """Repeated in one expression it makes a method too long for the JVM to compile, which took most of the time."""
+    query = catalogue.queries()["ml2hl_lp"](spark, sf)
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("255.0") <= 3
+
+
+@pytest.mark.parametrize("of_pressure", [False, True])
+def test_columns_with_gaps_onto_pressure(spark, of_pressure):
+    """A level that is not there is passed over, a missing value or surface pressure leaves values missing."""
+    import datetime as dt
+
+    from isohyet.dataset import Dataset
+    from isohyet.grid import named
+
+    def row(var, level, x, v):
+        return (var, float(level), 0, dt.datetime(2001, 1, 1), x, 0, v)
+
+    full = [10_000.0, 40_000.0, 70_000.0, 95_000.0]
+    ps = [100_000.0, 100_000.0, None]
+    cells = [row("q", k + 1, x, None if (k, x) == (0, 1) else full[k] / 1000) for k in range(4) for x in range(3) if (k, x) != (1, 0)]
+    cells += [row("q", 9, 0, 1.0)]  # on no level
+    if of_pressure:
+        cells += [row("pressure", k + 1, x, full[k] if ps[x] else None) for k in range(4) for x in range(3)]
+        cells += [row("deltap", 1, x, p) for x, p in enumerate(ps) if p]
+    else:
+        cells += [row("ps", 0, x, p) for x, p in enumerate(ps)]
+    vct = (5_000.0, 15_000.0, 65_000.0, 75_000.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.15)
+    d = Dataset(spark.createDataFrame(cells, "var string, level double, ts int, t timestamp, x int, y int, v double"), named("r3x1"), {}, vct=vct)
+    out = (d.ap2pl if of_pressure else d.ml2pl)(20_000, 60_000, 99_000, 101_000)
+    got = {(r["x"], r["level"]): r["v"] for r in out.cells.collect()}
+    assert len(got) == 12
+    assert [got[0, z] for z in (20e3, 60e3, 99e3, 101e3)] == [pytest.approx(20), pytest.approx(60), 95, None]
+    assert [got[1, z] for z in (20e3, 60e3, 99e3, 101e3)] == [None, pytest.approx(60), 95, None]
+    if not of_pressure:
+        assert [got[2, z] for z in (20e3, 60e3, 99e3, 101e3)] == [None] * 4
